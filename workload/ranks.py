@@ -44,7 +44,8 @@ def active_runs(spark, sf):
 WITH {C.TR}, g AS (SELECT *, row_number() OVER (PARTITION BY symbol, is_buyer_maker ORDER BY {U.format("'3', 'cap', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)")}, l_orderkey, l_partkey, l_suppkey, l_linenumber) AS rn FROM tr),
 s AS (SELECT symbol, is_buyer_maker, count(*) AS size, sum(count(*)) OVER () AS total FROM tr GROUP BY 1, 2),
 a AS (SELECT *, greatest(floor(1003 * size / total), 1)::BIGINT AS a FROM s), o AS (SELECT *, 1003 - sum(a) OVER () AS off FROM a),
-d AS (SELECT *, row_number() OVER (ORDER BY size - a DESC, symbol, is_buyer_maker) AS dr FROM o), k AS (SELECT symbol, is_buyer_maker, a + CASE WHEN dr <= off THEN 1 ELSE 0 END AS keep FROM d)
+d AS (SELECT symbol, is_buyer_maker, off, row_number() OVER (ORDER BY size - a - r.range DESC, symbol, is_buyer_maker) AS dr FROM o, range(1, 100) r WHERE r.range <= off),
+k AS (SELECT symbol, is_buyer_maker, max(a) + count(dr) AS keep FROM o LEFT JOIN (SELECT * FROM d WHERE dr <= off) USING (symbol, is_buyer_maker) GROUP BY 1, 2)
 SELECT g.symbol, g.is_buyer_maker, l_orderkey, l_partkey, l_suppkey, l_linenumber FROM g JOIN k USING (symbol, is_buyer_maker) WHERE rn <= keep""")
 def stratified_cap(spark, sf):
     ids = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -98,7 +99,7 @@ def actor_scores(spark, sf):
 
 @query("largest_gap_select", f"""
 WITH {SCORES}, r AS (SELECT *, row_number() OVER w AS rn, s - lead(s) OVER w AS gap, ln(greatest(s, 1e-12)) - ln(greatest(lead(s) OVER w, 1e-12)) AS lgap FROM sc WINDOW w AS (PARTITION BY session_id ORDER BY s DESC, actor DESC)),
-c AS (SELECT session_id, greatest(coalesce(arg_min(rn, (-gap, rn)) FILTER (WHERE gap IS NOT NULL), 1), 2) AS cut, greatest(coalesce(arg_min(rn, (-lgap, rn)) FILTER (WHERE lgap IS NOT NULL), 1), 1) AS lcut FROM r GROUP BY 1)
+c AS (SELECT session_id, greatest(coalesce(arg_min(rn, (-gap, rn)) FILTER (WHERE gap IS NOT NULL), 1), 2) AS cut, greatest(coalesce(arg_min(rn, (-lgap, rn)) FILTER (WHERE gap IS NOT NULL), 1), 1) AS lcut FROM r GROUP BY 1)
 SELECT session_id, actor, CAST(CASE WHEN rn <= cut THEN 1 ELSE 0 END AS INTEGER) AS selected, CAST(CASE WHEN rn <= lcut THEN 1 ELSE 0 END AS INTEGER) AS selected_log FROM r JOIN c USING (session_id)""")
 def largest_gap_select(spark, sf):
     s = actor_scores(spark, sf)
