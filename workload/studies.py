@@ -15,7 +15,9 @@ def pairs(spark, sf):
 
 @query("paired_bootstrap", f"""
 WITH {PAIRS}, p AS (SELECT d, row_number() OVER (ORDER BY window_id, seed) - 1 AS pos FROM pr), n AS (SELECT count(*) AS n, avg(d) AS mean_delta FROM pr),
-b AS (SELECT r.range AS boot, avg(d) AS m FROM range(200) r, n, range(100000) j JOIN p ON pos = CAST(floor(('0x' || substr(md5(concat_ws('|', '0', 'boot', CAST(r.range AS VARCHAR), CAST(j.range AS VARCHAR))), 1, 13))::BIGINT / 4503599627370496.0 * n) AS BIGINT) WHERE j.range < n GROUP BY 1)
+dr AS (SELECT r.range AS boot, CAST(floor(('0x' || substr(md5(concat_ws('|', '0', 'boot', CAST(r.range AS VARCHAR), CAST(j.range AS VARCHAR))), 1, 13))::BIGINT / 4503599627370496.0 * n) AS BIGINT) AS pos
+  FROM range(200) r CROSS JOIN range(1000) j CROSS JOIN n WHERE j.range < n),
+b AS (SELECT boot, avg(d) AS m FROM dr JOIN p USING (pos) GROUP BY 1)
 SELECT max(n) AS n_pairs, round(max(mean_delta), 6) AS mean_delta, round(quantile_cont(m, 0.025), 6) AS ci_lo, round(quantile_cont(m, 0.975), 6) AS ci_hi FROM b, n""")
 def paired_bootstrap(spark, sf):
     return rounded(T.paired_bootstrap(pairs(spark, sf), ["window_id", "seed"], "d", 200, 0))
