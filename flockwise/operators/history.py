@@ -33,6 +33,7 @@ class Layout:
     cells: DataFrame  # chunk, fit_id, b
     n_chunks: int
     n_fits: int
+    spans: bool  # some fit is larger than a chunk, so state must be carried
     K: int
     M: int
     dt: float
@@ -47,8 +48,12 @@ class Layout:
         self.cells.unpersist()
 
 
-def layout(events: DataFrame, k: int, m: int, dt: float, horizon: float, chunk_rows: int = 16384, keep: tuple[str, ...] = ()) -> Layout:
-    """Order and chunk events; rows outside the window or the model are dropped."""
+def layout(events: DataFrame, k: int, m: int, dt: float, horizon: float, chunk_rows: int | None = None, keep: tuple[str, ...] = ()) -> Layout:
+    """Order and chunk events; rows outside the window or the model are dropped.
+
+    A fit that fits into a chunk is never cut; a larger one spans as many as it needs. By
+    default chunks hold 1,024 to 16,384 rows, enough of them to occupy every core.
+    """
     from flockwise.operators.events import in_domain
 
     spark = events.sparkSession
@@ -66,20 +71,26 @@ def layout(events: DataFrame, k: int, m: int, dt: float, horizon: float, chunk_r
     for pid in range(parts):
         offsets.append(total)
         total += counts.get(pid, 0)
+    if chunk_rows is None:
+        chunk_rows = int(min(16384, max(1024, total // (2 * parts))))
     start = F.array(*[F.lit(o).cast("long") for o in offsets])
+    placed = placed.withColumn("pos", start[F.col("__pid")] + F.col("__row")).drop("__pid", "__row")
+    sizes = placed.groupBy("fit_id").agg(F.min("pos").alias("__first"), F.count(F.lit(1)).alias("__size"))
     b = interval_index(F.col("t"), dt, F.lit(float(horizon)), "clip")
+    anchor = F.when(F.col("__size") > chunk_rows, F.col("pos")).otherwise(F.col("__first"))
     out = (
-        placed.withColumn("pos", start[F.col("__pid")] + F.col("__row"))
-        .withColumn("chunk", F.floor(F.col("pos") / chunk_rows).cast("long"))
+        placed.join(sizes, "fit_id")
+        .withColumn("chunk", F.floor(anchor / chunk_rows).cast("long"))
         .withColumn("b", b)
         .withColumn("t_end", F.least((F.col("b") + 1) * F.lit(float(dt)), F.lit(float(horizon))))
-        .drop("__pid", "__row")
+        .drop("__first", "__size")
     )
     n_chunks = max(1, -(-total // chunk_rows))
-    out = out.repartition(min(max(n_chunks, 1), parts), "chunk").persist()
+    out = out.repartition(min(n_chunks, 4 * parts), "chunk").persist()
     cells = out.select("chunk", "fit_id", "b").distinct().persist()
-    n_fits = cells.select("fit_id").distinct().count()
-    return Layout(out, cells, n_chunks, n_fits, k, m, float(dt), float(horizon))
+    seen = sizes.agg(F.count(F.lit(1)).alias("fits"), F.max("__size").alias("largest")).first()
+    spans = (seen["largest"] or 0) > chunk_rows
+    return Layout(out, cells, n_chunks, seen["fits"], spans, k, m, float(dt), float(horizon))
 
 
 # --- numpy inside a chunk ---------------------------------------------------------------
@@ -241,7 +252,7 @@ def carry_states(lay: Layout, params: DataFrame, weights: DataFrame | None) -> D
     Each chunk contributes one element (its last fit). Elements combine associatively, so
     chunks are folded in groups of ``FAN``, those groups again, and so on.
     """
-    if lay.n_chunks == 1:
+    if not lay.spans:
         return None
     K, M = lay.K, lay.M
 
