@@ -85,31 +85,30 @@ def power_iterate(edges: DataFrame, keys: Sequence[str], gram: bool = False, max
     change over all keys reaches the driver. A unit shift keeps periodic graphs from
     oscillating; it is subtracted from the returned eigenvalue.
     """
-    e = edges.select(*keys, "src", "dst", "w").persist()
+    e = cut_lineage(edges.select(*keys, "src", "dst", "w"))
     nodes = e.select(*keys, F.col("src").alias("i")).union(e.select(*keys, F.col("dst").alias("i"))).distinct()
-    vec = _normalised(nodes.withColumn("x", F.lit(1.0)), keys).select(*keys, "i", "x")
+    vec = cut_lineage(_normalised(nodes.withColumn("x", F.lit(1.0)), keys).select(*keys, "i", "x"))
+
+    def push(v: DataFrame, along: str, to: str) -> DataFrame:
+        """One product with the edge table: from column ``along`` to column ``to``."""
+        hit = e.join(v.withColumnRenamed("i", along), [*keys, along])
+        return hit.groupBy(*keys, F.col(to).alias("i")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+
+    def step(v: DataFrame) -> DataFrame:
+        new = push(push(v, "dst", "src"), "src", "dst") if gram else push(v, "src", "dst").unionByName(v)
+        zero = v.withColumn("x", F.lit(0.0))
+        return _normalised(zero.unionByName(new).groupBy(*keys, "i").agg(F.sum("x").alias("x")), keys)
+
     out = vec
     for it in range(1, max_iter + 1):
-        if gram:
-            mid = e.join(vec, (F.col("dst") == F.col("i")) if not keys else [e[k] == vec[k] for k in keys] + [F.col("dst") == F.col("i")])
-            mid = mid.groupBy(*[e[k] for k in keys], F.col("src").alias("i")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-            back = e.join(mid, [e[k] == mid[k] for k in keys] + [F.col("src") == F.col("i")])
-            new = back.groupBy(*[e[k] for k in keys], F.col("dst").alias("i")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-        else:
-            step = e.join(vec, [e[k] == vec[k] for k in keys] + [F.col("src") == F.col("i")])
-            new = step.groupBy(*[e[k] for k in keys], F.col("dst").alias("i")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-            new = new.unionByName(vec)
-        new = nodes.withColumn("x", F.lit(0.0)).unionByName(new).groupBy(*keys, "i").agg(F.sum("x").alias("x"))
-        out = _normalised(new, keys)
+        out = step(vec)
         if it % check_every == 0 or it == max_iter:
             out = cut_lineage(out)
-            change = out.join(vec.withColumnRenamed("x", "__old"), [*keys, "i"]).agg(F.max(F.abs(F.col("x") - F.col("__old")))).first()[0]
-            vec = out.select(*keys, "i", "x")
+            pair = out.join(vec.withColumnRenamed("x", "__old"), [*keys, "i"])
+            change = pair.agg(F.max(F.abs(F.col("x") - F.col("__old")))).first()[0]
             if change is None or change < tol:
                 break
-        else:
-            vec = out.select(*keys, "i", "x")
-    e.unpersist()
+        vec = out.select(*keys, "i", "x")
     value = F.sqrt("norm") if gram else F.col("norm") - 1.0
     return out.select(*keys, "i", "x", value.alias("value"))
 

@@ -31,6 +31,7 @@ class Layout:
 
     events: DataFrame  # fit_id, chunk, pos, event_id, t, actor, mark, b, t_end
     cells: DataFrame  # chunk, fit_id, b
+    fits: DataFrame  # chunk, fit_id
     n_chunks: int
     n_fits: int
     spans: bool  # some fit is larger than a chunk, so state must be carried
@@ -46,6 +47,7 @@ class Layout:
     def release(self) -> None:
         self.events.unpersist()
         self.cells.unpersist()
+        self.fits.unpersist()
 
 
 def layout(events: DataFrame, k: int, m: int, dt: float, horizon: float, chunk_rows: int | None = None, keep: tuple[str, ...] = ()) -> Layout:
@@ -90,7 +92,8 @@ def layout(events: DataFrame, k: int, m: int, dt: float, horizon: float, chunk_r
     cells = out.select("chunk", "fit_id", "b").distinct().persist()
     seen = sizes.agg(F.count(F.lit(1)).alias("fits"), F.max("__size").alias("largest")).first()
     spans = (seen["largest"] or 0) > chunk_rows
-    return Layout(out, cells, n_chunks, seen["fits"], spans, k, m, float(dt), float(horizon))
+    fits = cells.select("chunk", "fit_id").distinct().persist()
+    return Layout(out, cells, fits, n_chunks, seen["fits"], spans, k, m, float(dt), float(horizon))
 
 
 # --- numpy inside a chunk ---------------------------------------------------------------
@@ -137,6 +140,11 @@ class Segment:
         fade = np.exp(-beta1 * (t - t[first]))[:, None]
         base = self.P[first]
         self.same = U - U[first] * fade
+        # sources with no event in the interval yet are exactly zero, not a rounding rest
+        hits = np.zeros((len(t), S), dtype=np.int32)
+        hits[np.arange(len(t)), src] = 1
+        hits = np.cumsum(hits, axis=0) - hits
+        self.same[hits == hits[first]] = 0.0
         if last_b == b[0]:
             q_now = q0 * np.exp(-beta1 * (t[0] - tau))
             here = first == 0
@@ -195,15 +203,19 @@ def unpack_params(v, K: int, M: int):
 CONTEXT = "chunk long, fit_id long, kind string, cand int, b int, arr array<double>"
 
 
+def place_weights(lay: Layout, weights: DataFrame) -> DataFrame:
+    """Interval weights beside the chunks that use them; worth storing when many passes follow."""
+    return lay.cells.join(weights.select("fit_id", "b", "w", "g1"), ["fit_id", "b"])
+
+
 def context(lay: Layout, params: DataFrame, weights: DataFrame | None, carries: DataFrame | None) -> DataFrame:
     """What each chunk needs beside its events: parameters, interval weights, carried state."""
-    fits = lay.cells.select("chunk", "fit_id").distinct()
-    p = fits.join(params.select("fit_id", "cand", params_vector().alias("arr")), "fit_id").select(
+    p = lay.fits.join(params.select("fit_id", "cand", params_vector().alias("arr")), "fit_id").select(
         "chunk", "fit_id", F.lit("p").alias("kind"), "cand", F.lit(0).alias("b"), "arr"
     )
     out = p
     if weights is not None:
-        w = lay.cells.join(weights.select("fit_id", "b", "w", "g1"), ["fit_id", "b"])
+        w = weights if "chunk" in weights.columns else place_weights(lay, weights)
         out = out.unionByName(w.select("chunk", "fit_id", F.lit("g").alias("kind"), F.lit(0).alias("cand"), "b", F.array("w", "g1").alias("arr")))
     if carries is not None:
         out = out.unionByName(carries.select("chunk", "fit_id", F.lit("c").alias("kind"), "cand", F.lit(0).alias("b"), "arr"))
@@ -262,67 +274,68 @@ def carry_states(lay: Layout, params: DataFrame, weights: DataFrame | None) -> D
             if is_last:
                 *_, b0, b1 = unpack_params(arr, K, M)
                 seg = Segment(ev, w, b0, b1, K, M)
-                rows.append((int(key[0]), fit, cand, bool(is_first), pack_state(seg.state), b0, b1))
-        return pd.DataFrame(rows, columns=["chunk", "fit_id", "cand", "whole", "arr", "b0", "b1"])
+                rows.append((int(key[0]), fit, cand, bool(is_first), pack_state(seg.state), [b0, b1]))
+        return pd.DataFrame(rows, columns=ELEMENT)
+
+    def join(x, y, aux):
+        return pack_state(join_states(unpack_state(x, K * M), unpack_state(y, K * M), aux[0], aux[1]))
 
-    schema = "chunk long, fit_id long, cand int, whole boolean, arr array<double>, b0 double, b1 double"
     ctx = context(lay, params, weights, None)
-    elements = lay.events.groupBy("chunk").cogroup(ctx.groupBy("chunk")).applyInPandas(summarise, schema)
-    out = _scan(cut_lineage(elements), lay.n_chunks, K * M)
+    elements = lay.events.groupBy("chunk").cogroup(ctx.groupBy("chunk")).applyInPandas(summarise, element_schema(lay))
+    out = scan(cut_lineage(elements), lay.n_chunks, join, element_schema(lay))
     return out.select("chunk", "fit_id", "cand", "arr")
 
 
-def _fold(S: int):
-    def combine(x, y):
-        """Elements are (fit, whole, state, b0, b1)."""
-        if x is None:
-            return y
-        if y[1] and x[0] == y[0]:
-            return (y[0], x[1], join_states(x[2], y[2], y[3], y[4]), y[3], y[4])
-        return y
+ELEMENT = ["chunk", "fit_id", "cand", "whole", "arr", "aux"]
+
+
+def element_schema(lay: Layout) -> str:
+    return f"chunk long, fit_id {dict(lay.events.dtypes)['fit_id']}, cand int, whole boolean, arr array<double>, aux array<double>"
 
-    return combine
 
+def scan(elements: DataFrame, n: int, join: Callable, schema: str) -> DataFrame:
+    """Exclusive segmented scan over ``chunk`` (0..n-1): rows hold the state into ``chunk``.
 
-def _element(r, S):
-    return (r.fit_id, bool(r.whole), unpack_state(r.arr, S), r.b0, r.b1)
+    ``join(x, y, aux)`` combines states of one fit; an element that is its chunk's only fit
+    (``whole``) extends the state before it, any other starts afresh.
+    """
+
+    def combine(x, y):
+        if x is not None and y[1] and x[0] == y[0]:
+            return (y[0], x[1], join(x[2], y[2], y[3]), y[3])
+        return y
 
+    def element(r):
+        return (r.fit_id, bool(r.whole), list(r.arr), list(r.aux))
 
-def _scan(elements: DataFrame, n: int, S: int) -> DataFrame:
-    """Exclusive segmented scan over ``chunk`` (0..n-1): rows hold the state into ``chunk``."""
-    schema = "chunk long, fit_id long, cand int, whole boolean, arr array<double>, b0 double, b1 double"
-    cols = ["chunk", "fit_id", "cand", "whole", "arr", "b0", "b1"]
-    combine = _fold(S)
     grouped = elements.withColumn("grp", F.floor(F.col("chunk") / FAN).cast("long"))
-    if n > FAN:
-        def total(key, pdf: pd.DataFrame) -> pd.DataFrame:
-            acc = None
-            whole = bool(pdf.sort_values("chunk")["whole"].all() and pdf["fit_id"].nunique() == 1)
-            for r in pdf.sort_values("chunk").itertuples():
-                acc = combine(acc, _element(r, S))
-            return pd.DataFrame([(int(key[0]), acc[0], int(key[1]), whole, pack_state(acc[2]), acc[3], acc[4])], columns=cols)
-
-        totals = cut_lineage(grouped.groupBy("grp", "cand").applyInPandas(total, schema))
-        into = _scan(totals, -(-n // FAN), S).select(F.col("chunk").alias("grp"), *[F.col(c) for c in cols if c != "chunk"])
-        left = grouped.groupBy("grp", "cand").cogroup(into.groupBy("grp", "cand"))
-    else:
-        left = None
-
-    def spread(pdf: pd.DataFrame, acc) -> list:
+
+    def spread(pdf: pd.DataFrame, acc) -> pd.DataFrame:
         rows = []
         for r in pdf.sort_values("chunk").itertuples():
-            acc = combine(acc, _element(r, S))
-            rows.append((int(r.chunk) + 1, acc[0], int(r.cand), acc[1], pack_state(acc[2]), acc[3], acc[4]))
-        return rows
+            acc = combine(acc, element(r))
+            rows.append((int(r.chunk) + 1, acc[0], int(r.cand), acc[1], acc[2], acc[3]))
+        return pd.DataFrame(rows, columns=ELEMENT)
+
+    if n <= FAN:
+        return grouped.groupBy("grp", "cand").applyInPandas(lambda pdf: spread(pdf, None), schema)
+
+    def total(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        acc = None
+        for r in pdf.itertuples():
+            acc = combine(acc, element(r))
+        whole = bool(pdf["whole"].all() and pdf["fit_id"].nunique() == 1)
+        return pd.DataFrame([(int(key[0]), acc[0], int(key[1]), whole, acc[2], acc[3])], columns=ELEMENT)
 
-    if left is None:
-        return grouped.groupBy("grp", "cand").applyInPandas(lambda pdf: pd.DataFrame(spread(pdf, None), columns=cols), schema)
+    totals = cut_lineage(grouped.groupBy("grp", "cand").applyInPandas(total, schema))
+    into = scan(totals, -(-n // FAN), join, schema).select(F.col("chunk").alias("grp"), *[F.col(c) for c in ELEMENT if c != "chunk"])
 
     def within(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        acc = _element(next(start.itertuples()), S) if len(start) else None
-        return pd.DataFrame(spread(pdf, acc) if len(pdf) else [], columns=cols)
+        acc = element(next(start.itertuples())) if len(start) else None
+        return spread(pdf, acc) if len(pdf) else pd.DataFrame(columns=ELEMENT)
 
-    return left.applyInPandas(within, schema)
+    return grouped.groupBy("grp", "cand").cogroup(into.groupBy("grp", "cand")).applyInPandas(within, schema)
 
 
 def chunk_pass(lay: Layout, params: DataFrame, weights: DataFrame | None, fn: Callable, schema: str, columns: list[str]) -> DataFrame:

@@ -322,7 +322,7 @@ def top_intervals(em: DataFrame, top: int = 8) -> DataFrame:
     out = None
     for name, order in (("events", F.desc("n")), ("separation", F.desc(F.abs("delta"))), ("active", F.desc("delta"))):
         w = Window.partitionBy("fit_id").orderBy(order, F.asc("b"))
-        part = busy.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("fit_id", F.lit(name).alias("by"), "rank", "b", "n", "delta")
+        part = busy.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("fit_id", F.lit(name).alias("measure"), "rank", "b", "n", "delta")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -20,7 +20,7 @@ from flockwise.functions import scalar as S
 from flockwise.operators import likelihood as L
 from flockwise.operators import profile as P
 from flockwise.operators import smoothing as SM
-from flockwise.operators.history import Layout, layout
+from flockwise.operators.history import Layout, layout, place_weights
 from flockwise.plans import rows as R
 from flockwise.session import cut_lineage
 
@@ -298,6 +298,7 @@ def mstep(lay: Layout, params: DataFrame, weights: DataFrame, xi: DataFrame | No
     """Switch rates, baseline, gates, nuisance blocks, decays, baseline again, in that order."""
     K, M = lay.K, lay.M
     delta = lay.horizon / lay.B
+    weights = cut_lineage(place_weights(lay, weights))
     cur = params.select(*_columns(R.PARAM_SCHEMA))
     if xi is not None:
         sums = xi.select("fit_id", "x00", "x01", "x10", "x11", "occ0", "occ1")

@@ -1 +1,210 @@
+"""Fits over every session: EM steps, variants, baselines, held-out scores, diagnostics.
 
+Iteration counts are small here, because the queries are checks of the jobs, not studies.
+"""
+
+from pyspark.sql import functions as F
+
+from flockwise.operators import graph as G
+from flockwise.operators import intervals as I
+from flockwise.operators import likelihood as L
+from flockwise.operators import smoothing as S
+from flockwise.plans import baselines as B
+from flockwise.plans import diagnostics as D
+from flockwise.plans import em as EM
+from flockwise.plans import heldout as HO
+from flockwise.plans import pairs as PR
+from flockwise.plans import rows as R
+from flockwise.plans import selection as SE
+from flockwise.session import cut_lineage
+from workload import canon as C
+from workload.aggregates import binned
+from workload.processes import NB, fits, fixed_params, gates, laid_out, named, setup
+from workload.registry import query, rounded
+
+QUICK = EM.with_settings(EM.REPLICATION, max_iters=2, n_inner_steps=1)
+
+
+def start(spark, sf, **kw):
+    lay = laid_out(spark, sf)
+    return lay, cut_lineage(EM.init_params(lay.events, C.K, C.M, C.HORIZON, **kw))
+
+
+def summary(params):
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return named(params.select("fit_id", *[total(c).alias(f"sum_{c}") for c in ("nu", "a0", "a1", "g", "h")], "beta0", "beta1", "eta_on", "eta_off"))
+
+
+@query("estep")
+def estep(spark, sf):
+    return named(S.estep(*setup(spark, sf)).select("fit_id", "b", "g0", "g1", "loglik"))
+
+
+@query("estep_present")
+def estep_present(spark, sf):
+    lay, params, _ = setup(spark, sf)
+    return named(S.estep(lay, params, None, present=True).select("fit_id", "b", "g0", "g1", "loglik"))
+
+
+@query("init_params")
+def init_params(spark, sf):
+    return summary(start(spark, sf, adaptive=True)[1])
+
+
+def clamped(spark, sf):
+    lay, init = start(spark, sf)
+    w = cut_lineage(setup(spark, sf)[2])
+    vec = L.score_and_gradient(lay, init, w).select("fit_id", "vec")
+    cur = init.join(vec, "fit_id").withColumn("pen", F.lit(0.0)).withColumn("stop", F.lit(False))
+    return lay, cur, w
+
+
+def block(spark, sf, propose, rule, tol):
+    lay, cur, w = clamped(spark, sf)
+    return summary(EM._choose(EM._score(lay, R.update(cur, C.K, C.M, propose, EM.WORK), w), rule, tol))
+
+
+@query("gate_step")
+def gate_step(spark, sf):
+    return block(spark, sf, lambda p: EM.gate_candidates(p, C.K, C.M, 0.02, 0.02, 0.01, 0.01), "first", 1e-8)
+
+
+@query("nuisance_step")
+def nuisance_step(spark, sf):
+    return block(spark, sf, lambda p: EM.block_candidates(p, C.K, C.M, "a0", 0.0025, 0.05, False), "first", 0.0)
+
+
+@query("decay_step")
+def decay_step(spark, sf):
+    return block(spark, sf, lambda p: EM.decay_candidates(p, QUICK), "best", 0.0)
+
+
+@query("switch_rate_step")
+def switch_rate_step(spark, sf):
+    lay, params, weights = setup(spark, sf)
+    xi = S.xi_sums(S.estep(lay, params, weights))
+    rates = F.udf(lambda a, b, c, d, o0, o1: list(EM.switch_rates(__import__("numpy").array([a, b, c, d]), o0 * C.DT, o1 * C.DT, 0.03, 0.3, C.DT, QUICK)), "array<double>")
+    out = xi.withColumn("r", rates("x00", "x01", "x10", "x11", "occ0", "occ1"))
+    return named(out.select("fit_id", F.col("r")[0].alias("eta_on"), F.col("r")[1].alias("eta_off"), "loglik"))
+
+
+@query("mstep")
+def mstep(spark, sf):
+    lay, init = start(spark, sf)
+    post = cut_lineage(S.estep(lay, init, EM.start_weights(lay, init, 0.15)))
+    return summary(EM.mstep(lay, init, post.select("fit_id", "b", F.col("g1").alias("w"), "g1"), S.xi_sums(post), QUICK))
+
+
+@query("stability_projection")
+def stability_projection(spark, sf):
+    """Radius of each session's joint coupling by power iteration, and its scale factor."""
+    a = G.active_coupling(gates(spark, sf), ["session_id"])
+    routine = a.withColumn("w", F.lit(0.05))
+    return rounded(G.stability_scale(routine, a, ["session_id"], tol=1e-9))
+
+
+@query("fit_regime_model")
+def fit_regime_model(spark, sf):
+    lay, init = start(spark, sf)
+    return named(EM.fit_regime_model(lay, init, QUICK).trace)
+
+
+@query("fit_variant")
+def fit_variant(spark, sf):
+    lay = laid_out(spark, sf)
+    out = None
+    for variant in ("single_gate", "present_time_gating"):
+        init = cut_lineage(EM.init_params(lay.events, C.K, C.M, C.HORIZON))
+        one = EM.fit_regime_model(lay, init, EM.with_settings(QUICK, variant=variant, max_iters=1)).trace.withColumn("variant", F.lit(variant))
+        out = one if out is None else out.unionByName(one)
+    return named(out)
+
+
+@query("fit_static_gates")
+def fit_static_gates(spark, sf):
+    lay, init = start(spark, sf)
+    return named(EM.fit_static_gates(lay, init, QUICK).trace)
+
+
+def count_grid(spark, sf):
+    ev = binned(C.events(spark, sf))
+    return I.interval_counts(ev, I.interval_grid(C.sessions(ev), C.DT).select("session_id", "b"), ["session_id"]).withColumnRenamed("session_id", "fit_id")
+
+
+@query("fit_count_hmm")
+def fit_count_hmm(spark, sf):
+    counts = count_grid(spark, sf)
+    return named(B.fit_count_hmm(counts, NB, counts.select("fit_id").distinct().count(), restarts=4, max_iters=8)[0])
+
+
+@query("pairwise_coupling")
+def pairwise_coupling(spark, sf):
+    ev = fits(spark, sf)
+    win = C.windows(spark, C.events(spark, sf)).withColumnRenamed("session_id", "fit_id")
+    seg = PR.pair_segments(ev, win, ["fit_id"], C.M, C.DT)
+    return named(PR.pairwise_coupling(seg, win, ["fit_id"], C.M, iters=4))
+
+
+@query("modular_pipeline")
+def modular_pipeline(spark, sf):
+    counts = count_grid(spark, sf)
+    n = counts.select("fit_id").distinct().count()
+    return named(B.modular_pipeline(fits(spark, sf), counts, C.DT, C.HORIZON, C.K, C.M, n, 3, restarts=2, hmm_iters=4, pair_iters=3)["roles"])
+
+
+@query("fit_full_matrix")
+def fit_full_matrix(spark, sf):
+    return summary(B.fit_full_matrix(laid_out(spark, sf), iters=4, every=4))
+
+
+@query("spectral_members")
+def spectral_members(spark, sf):
+    e = C.edge_table(spark, sf).withColumnRenamed("score", "w")
+    return rounded(G.spectral_members(e, ["seed"], 3, tol=1e-10))
+
+
+@query("select_mixture")
+def select_mixture(spark, sf):
+    return rounded(SE.select_mixture(gates(spark, sf), ["session_id"]))
+
+
+@query("select_posterior_ring")
+def select_posterior_ring(spark, sf):
+    a = gates(spark, sf)
+    return rounded(SE.select_posterior_ring(a, G.active_coupling(a, ["session_id"]), ["session_id"]))
+
+
+@query("heldout_regime")
+def heldout_regime(spark, sf):
+    return named(HO.heldout_regime(fits(spark, sf), C.K, C.M, C.DT, C.HORIZON, 0.2, EM.with_settings(EM.REAL_DATA, max_iters=1, n_inner_steps=1)))
+
+
+@query("heldout_static")
+def heldout_static(spark, sf):
+    b1 = HO.heldout_static_gates(fits(spark, sf), C.K, C.M, C.DT, C.HORIZON, 0.2, EM.with_settings(EM.REAL_DATA, max_iters=1, n_inner_steps=1)).withColumn("method", F.lit("static_gates"))
+    b3 = HO.heldout_full_matrix(fits(spark, sf), C.K, C.M, C.DT, C.HORIZON, 0.2, iters=3).withColumn("method", F.lit("full_matrix"))
+    return named(b1.unionByName(b3))
+
+
+@query("oracle_posterior")
+def oracle_posterior(spark, sf):
+    lay = laid_out(spark, sf)
+    return named(D.oracle_posterior(lay, fixed_params(lay), n_iters=4).select("fit_id", "b", "g1", "loglik"))
+
+
+@query("fit_clamped")
+def fit_clamped(spark, sf):
+    lay, init = start(spark, sf)
+    star = cut_lineage(S.estep(lay, fixed_params(lay), setup(spark, sf)[2]))
+    clamp = D.corrupt_posterior(star.select("fit_id", "b", "g1"), F.lit(0.2), "flatten", 1, ["fit_id", "b"])
+    return summary(D.fit_clamped(lay, init, clamp, cut_lineage(S.xi_sums(star)), EM.with_settings(QUICK, max_iters=1)).params)
+
+
+@query("dose_response")
+def dose_response(spark, sf):
+    lay, init = start(spark, sf)
+    ev = binned(C.events(spark, sf))
+    truth = I.active_event_truth(ev, I.interval_grid(C.sessions(ev), C.DT), ["session_id"]).select(
+        F.col("session_id").alias("fit_id"), "b", F.coalesce("birth_fraction", F.lit(0.0)).alias("birth"), F.col("n_events").alias("n"))
+    out = D.dose_response(lay, fixed_params(lay), init, cut_lineage(truth), [0, 1], 0, 0.25, EM.with_settings(QUICK, max_iters=1), doses=(0.0, 0.5))
+    return named(out)
