@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flockwise.functions import scalar as S
-from flockwise.session import cut_lineage
 
 
 def ordered_pairs(items: DataFrame, keys: Sequence[str], item: str, directed: bool = True) -> DataFrame:
@@ -72,71 +73,49 @@ def degree_members(edges: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     return top_flag(top_flag(scored, keys, "score", k, "member"), keys, "out_degree", 1, "hub")
 
 
-def _normalised(vec: DataFrame, keys: Sequence[str]) -> DataFrame:
-    size = vec.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return vec.join(size, list(keys)).withColumn("x", F.col("x") / F.greatest("norm", F.lit(1e-300)))
+def _per_graph(edges: DataFrame, keys: Sequence[str], fn, fields: str, columns: list[str]) -> DataFrame:
+    """Run ``fn(actors, matrix) -> rows`` on each key's coupling matrix.
 
+    A group is one model's edge list, so it is bounded by the square of the model's actor
+    count; models are spread over the cluster.
+    """
+    types = dict(edges.dtypes)
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], fields])
 
-def power_iterate(edges: DataFrame, keys: Sequence[str], gram: bool = False, max_iter: int = 200, tol: float = 1e-10,
-                  check_every: int = 5) -> DataFrame:
-    """Leading eigenvector of a non-negative edge table, or of ``AᵀA``, for every key at once.
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        actors = np.unique(np.r_[pdf["src"].to_numpy(), pdf["dst"].to_numpy()])
+        a = np.zeros((len(actors), len(actors)))
+        np.add.at(a, (np.searchsorted(actors, pdf["src"]), np.searchsorted(actors, pdf["dst"])), pdf["w"].to_numpy())
+        out = pd.DataFrame(fn(actors, a), columns=columns)
+        for k in reversed(list(keys)):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
 
-    Each step is a join of edges with the vector and a sum per destination; only the largest
-    change over all keys reaches the driver. A unit shift keeps periodic graphs from
-    oscillating; it is subtracted from the returned eigenvalue.
-    """
-    e = cut_lineage(edges.select(*keys, "src", "dst", "w"))
-    nodes = e.select(*keys, F.col("src").alias("i")).union(e.select(*keys, F.col("dst").alias("i"))).distinct()
-    vec = cut_lineage(_normalised(nodes.withColumn("x", F.lit(1.0)), keys).select(*keys, "i", "x"))
-
-    def push(v: DataFrame, along: str, to: str) -> DataFrame:
-        """One product with the edge table: from column ``along`` to column ``to``."""
-        hit = e.join(v.withColumnRenamed("i", along), [*keys, along])
-        return hit.groupBy(*keys, F.col(to).alias("i")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-
-    def step(v: DataFrame) -> DataFrame:
-        new = push(push(v, "dst", "src"), "src", "dst") if gram else push(v, "src", "dst").unionByName(v)
-        zero = v.withColumn("x", F.lit(0.0))
-        return _normalised(zero.unionByName(new).groupBy(*keys, "i").agg(F.sum("x").alias("x")), keys)
-
-    out = vec
-    for it in range(1, max_iter + 1):
-        out = step(vec)
-        if it % check_every == 0 or it == max_iter:
-            out = cut_lineage(out)
-            pair = out.join(vec.withColumnRenamed("x", "__old"), [*keys, "i"])
-            change = pair.agg(F.max(F.abs(F.col("x") - F.col("__old")))).first()[0]
-            if change is None or change < tol:
-                break
-        vec = out.select(*keys, "i", "x")
-    value = F.sqrt("norm") if gram else F.col("norm") - 1.0
-    return out.select(*keys, "i", "x", value.alias("value"))
-
-
-def spectral_radius(edges: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
-    return power_iterate(edges, keys, **kw).groupBy(*keys).agg(F.max("value").alias("radius"))
-
-
-def spectral_members(edges: DataFrame, keys: Sequence[str], k: int, **kw) -> DataFrame:
+    return edges.select(*keys, "src", "dst", "w").groupBy(*keys).applyInPandas(run, schema)
+
+
+def spectral_radius(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return _per_graph(edges, keys, lambda actors, a: [(float(np.max(np.abs(np.linalg.eigvals(a)))),)], "radius double", ["radius"])
+
+
+def spectral_members(edges: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     """Top-k of ``sqrt(|u| |v|)`` on the leading singular pair; the hub has the largest ``|u|``."""
     from flockwise.operators.ranking import top_flag
 
-    right = power_iterate(edges, keys, gram=True, **kw).select(*keys, F.col("i").alias("dst"), F.col("x").alias("v"), F.col("value").alias("sigma"))
-    left = (
-        edges.join(right, [*keys, "dst"])
-        .groupBy(*keys, F.col("src").alias("actor"))
-        .agg((F.sum(F.col("w") * F.col("v")) / F.greatest(F.max("sigma"), F.lit(1e-300))).alias("u"))
-    )
-    both = right.withColumnRenamed("dst", "actor").join(left, [*keys, "actor"], "left").fillna(0.0, ["u"])
-    scored = both.withColumn("score", F.sqrt(F.abs("u") * F.abs("v")))
+    def leading(actors, a):
+        u, _, vt = np.linalg.svd(a)
+        left, right = np.abs(u[:, 0]), np.abs(vt[0])
+        return list(zip(actors.tolist(), left, right, np.sqrt(left * right)))
+
+    scored = _per_graph(edges, keys, leading, "actor int, u double, v double, score double", ["actor", "u", "v", "score"])
     return top_flag(top_flag(scored, keys, "score", k, "member"), keys, "u", 1, "hub")
 
 
-def stability_scale(edges0: DataFrame, edges1: DataFrame, keys: Sequence[str], threshold: float = 0.95, target: float = 0.80, **kw) -> DataFrame:
+def stability_scale(edges0: DataFrame, edges1: DataFrame, keys: Sequence[str], threshold: float = 0.95, target: float = 0.80) -> DataFrame:
     """Scale factor per key that brings the radius of ``A0 + A1`` back to the target."""
     joint = edges0.select(*keys, "src", "dst", "w").unionByName(edges1.select(*keys, "src", "dst", "w"))
     joint = joint.groupBy(*keys, "src", "dst").agg(F.sum("w").alias("w"))
-    rad = spectral_radius(joint, keys, **kw)
+    rad = spectral_radius(joint, keys)
     scale = F.when(F.col("radius") > threshold, F.least(F.lit(target) / F.col("radius"), F.lit(1.0))).otherwise(F.lit(1.0))
     return rad.withColumn("scale", scale)
 

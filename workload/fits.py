@@ -100,7 +100,7 @@ def stability_projection(spark, sf):
     """Radius of each session's joint coupling by power iteration, and its scale factor."""
     a = G.active_coupling(gates(spark, sf), ["session_id"])
     routine = a.withColumn("w", F.lit(0.05))
-    return rounded(G.stability_scale(routine, a, ["session_id"], tol=1e-9))
+    return rounded(G.stability_scale(routine, a, ["session_id"]))
 
 
 @query("fit_regime_model")
@@ -160,7 +160,7 @@ def fit_full_matrix(spark, sf):
 @query("spectral_members")
 def spectral_members(spark, sf):
     e = C.edge_table(spark, sf).withColumnRenamed("score", "w")
-    return rounded(G.spectral_members(e, ["seed"], 3, tol=1e-10))
+    return rounded(G.spectral_members(e, ["seed"], 3))
 
 
 @query("select_mixture")
