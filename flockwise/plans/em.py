@@ -119,6 +119,17 @@ def switch_rates(x, occ0: float, occ1: float, on: float, off: float, delta: floa
     return float(np.clip(p1 * r, 1e-4, 5.0)), float(np.clip(off, 1e-4, 5.0))
 
 
+def switch_rate_table(xi: DataFrame, on: float, off: float, delta: float, s: Settings) -> DataFrame:
+    """Switch rates per fit from its expected transitions and occupancies."""
+    def run(batches):
+        for pdf in batches:
+            x = pdf[["x00", "x01", "x10", "x11"]].to_numpy(dtype=float)
+            got = [switch_rates(np.nan_to_num(r), a * delta, b * delta, on, off, delta, s) for r, a, b in zip(x, pdf["occ0"], pdf["occ1"])]
+            yield pdf[["fit_id", "loglik"]].assign(eta_on=[g[0] for g in got], eta_off=[g[1] for g in got])
+
+    return xi.mapInPandas(run, "fit_id long, loglik double, eta_on double, eta_off double")
+
+
 def gradient(vec, K: int, M: int):
     v = np.array(vec, dtype=float)[1:]
     a, b, c, d = np.split(v, np.cumsum([K * K, K * K, M * M]))

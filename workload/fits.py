@@ -83,9 +83,7 @@ def decay_step(spark, sf):
 def switch_rate_step(spark, sf):
     lay, params, weights = setup(spark, sf)
     xi = S.xi_sums(S.estep(lay, params, weights))
-    rates = F.udf(lambda a, b, c, d, o0, o1: list(EM.switch_rates(__import__("numpy").array([a, b, c, d]), o0 * C.DT, o1 * C.DT, 0.03, 0.3, C.DT, QUICK)), "array<double>")
-    out = xi.withColumn("r", rates("x00", "x01", "x10", "x11", "occ0", "occ1"))
-    return named(out.select("fit_id", F.col("r")[0].alias("eta_on"), F.col("r")[1].alias("eta_off"), "loglik"))
+    return named(EM.switch_rate_table(xi, 0.03, 0.3, C.DT, QUICK))
 
 
 @query("mstep")
