@@ -493,7 +493,7 @@ def fit_static_gates(lay: Layout, init: DataFrame, s: Settings) -> Fit:
 # --- estimator --------------------------------------------------------------------------
 
 
-class RegimeHawkes(Estimator):
+class TwoRegimeEstimator(Estimator):
     """Fits every ``fit_id`` of an event table ``(fit_id, event_id, t, actor, mark)``."""
 
     @keyword_only
@@ -502,16 +502,16 @@ class RegimeHawkes(Estimator):
         self.k, self.m, self.horizon, self.dt, self.d, self.seed = k, m, horizon, dt, d, seed
         self.settings, self.chunk_rows = settings, chunk_rows
 
-    def _fit(self, dataset: DataFrame) -> RegimeHawkesModel:
+    def _fit(self, dataset: DataFrame) -> TwoRegimeModel:
         lay = layout(dataset, self.k, self.m, self.dt, self.horizon, self.chunk_rows)
         dense = self.settings.variant == "dense_active_block"
         init = init_params(lay.events, self.k, self.m, self.horizon, self.d, self.seed, max(self.dt, self.horizon / 64), dense=dense)
         fit = fit_regime_model(lay, init, self.settings)
-        return RegimeHawkesModel(fit, self)
+        return TwoRegimeModel(fit, self)
 
 
-class RegimeHawkesModel(Model):
-    def __init__(self, fit: Fit, parent: RegimeHawkes):
+class TwoRegimeModel(Model):
+    def __init__(self, fit: Fit, parent: TwoRegimeEstimator):
         super().__init__()
         self.params_table, self.posterior, self.trace, self.parent_ = fit.params, fit.posterior, fit.trace, parent
         self._layout = fit.layout

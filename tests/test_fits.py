@@ -65,3 +65,10 @@ def test_registry_is_complete():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 100
+
+
+def test_estimator_fits_and_scores(table):
+    est = EM.TwoRegimeEstimator(k=3, m=2, horizon=60.0, dt=6.0, settings=EM.with_settings(EM.REPLICATION, max_iters=1, n_inner_steps=1))
+    model = est.fit(table)
+    assert model.params_table.count() == 2
+    assert model.transform(table).filter(F.abs(F.col("g0") + F.col("g1") - 1) > 1e-9).count() == 0
