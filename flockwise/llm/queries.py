@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flockwise.llm import bpe as _bpe
 from flockwise.llm import exact_dedup as _exact
 from flockwise.llm import line_dedup as _lines
+from flockwise.llm import packing as _packing
 from flockwise.llm import secrets as _secrets
 from flockwise.llm.common import table
 
@@ -116,3 +118,19 @@ FROM t
 )
 def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return _exact.exact_dedup(table(spark, sf, "documents")).drop("recipe")
+
+
+@query("op1_byte_bpe")
+def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    docs = table(spark, sf, "documents")
+    out = _bpe.encode_documents(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, keep_ids=False)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op7_nnls_packing")
+def op7_nnls_packing(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    return _packing.pack(table(spark, sf, "documents"), tokenizers.path("word_bpe_49k.json")).drop("ids")
