@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flockwise.llm import bpe as _bpe
 from flockwise.llm import exact_dedup as _exact
+from flockwise.llm import jaccard as _jaccard
 from flockwise.llm import line_dedup as _lines
 from flockwise.llm import packing as _packing
 from flockwise.llm import secrets as _secrets
@@ -134,3 +135,27 @@ def op7_nnls_packing(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
     return _packing.pack(table(spark, sf, "documents"), tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+@query(
+    "op5_ngram_jaccard",
+    r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(x) >= 3 THEN list_distinct(list_transform(range(1, len(x) - 1), lambda i: array_to_string(x[i:i+2], ' ')))
+    WHEN len(x) > 0 THEN [array_to_string(x, ' ')] ELSE [] END AS g FROM w),
+sets AS (SELECT g, len(g) AS n, min(doc_id) AS rep FROM (SELECT doc_id, list_sort(g) AS g FROM s WHERE len(g) > 0) GROUP BY g),
+reps AS (SELECT s.doc_id, sets.rep, sets.n FROM s JOIN sets ON list_sort(s.g) = sets.g),
+grams AS (SELECT rep, n, unnest(g) AS t FROM sets),
+common AS (SELECT a.rep AS x, b.rep AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS i FROM grams a JOIN grams b ON a.t = b.t AND a.rep < b.rep
+  AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY 1, 2),
+links AS (SELECT x, y FROM common WHERE 100 * i >= 90 * (nx + ny - i)),
+sym AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT rep, rep FROM sets UNION SELECT r.x, b.y FROM reach r JOIN sym b ON r.y = b.x),
+comp AS (SELECT x AS rep, min(y) AS component_id FROM reach GROUP BY 1)
+SELECT s.doc_id, len(s.g) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN reps USING (doc_id) LEFT JOIN comp ON comp.rep = reps.rep
+""",
+)
+def op5_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return _jaccard.jaccard_components(table(spark, sf, "documents"), words=3, percent=90)
