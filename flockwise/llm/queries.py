@@ -11,8 +11,11 @@ from flockwise.llm import bpe as _bpe
 from flockwise.llm import exact_dedup as _exact
 from flockwise.llm import jaccard as _jaccard
 from flockwise.llm import line_dedup as _lines
+from flockwise.llm import maxscore as _maxscore
 from flockwise.llm import packing as _packing
 from flockwise.llm import secrets as _secrets
+from flockwise.llm import toxicity as _toxicity
+from flockwise.llm import warc as _warc
 from flockwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +162,48 @@ FROM s LEFT JOIN reps USING (doc_id) LEFT JOIN comp ON comp.rep = reps.rep
 )
 def op5_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return _jaccard.jaccard_components(table(spark, sf, "documents"), words=3, percent=90)
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = _toxicity.fit(docs, table(spark, sf, "labels"))
+    slim = docs.select("doc_id", "text")
+    out = _toxicity.score(slim, model)
+    return out.select("doc_id", _toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"))
+
+
+@query(
+    "op4_warc",
+    r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT *, array_to_string(list_transform(range(0, 32), lambda i:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(((('0x' || h[i // 4 * 5 + 1 : i // 4 * 5 + 5])::BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1]), '') AS payload_digest,
+    max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d
+""",
+)
+def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
+    index = _warc.write_archives(table(spark, sf, "pages"), _warc.archive_folder(spark), min_revisit_bytes=0)
+    return _warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    "op6_maxscore",
+    r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+""",
+)
+def op6_maxscore(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return _maxscore.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
