@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flockwise.llm import bpe as _bpe
 from flockwise.llm import exact_dedup as _exact
+from flockwise.llm import html_mincut as _html
 from flockwise.llm import jaccard as _jaccard
 from flockwise.llm import line_dedup as _lines
 from flockwise.llm import maxscore as _maxscore
@@ -207,3 +208,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 def op6_maxscore(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return _maxscore.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+@query("op3_html_mincut")
+def op3_html_mincut(spark: SparkSession, sf: str) -> DataFrame:
+    return _html.extract(table(spark, sf, "pages"))
