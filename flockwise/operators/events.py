@@ -137,9 +137,13 @@ def head_n_events(df: DataFrame, keys: Sequence[str], n: int, width: float, orde
     Time cells are counted first; only cells that can hold one of the first ``n`` rows are
     ranked, so a hot key never sorts as a whole.
     """
-    return ordered.rank(df, keys, [F.asc(c) for c in order], ordered.time_bucket(F.col("t"), width), "rn").filter(
-        F.col("rn") <= n
-    )
+    cell = ordered.time_bucket(F.col("t"), width)
+    sizes = df.groupBy(*keys, cell.alias("__cell")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
+    first = sizes.withColumn("__before", F.coalesce(before, F.lit(0))).filter(F.col("__before") < n).select(*keys, "__cell", "__before")
+    rows = df.withColumn("__cell", cell).join(first, [*keys, "__cell"])
+    inside = F.row_number().over(Window.partitionBy(*keys, "__cell").orderBy(*[F.asc(c) for c in order]))
+    return rows.withColumn("rn", F.col("__before") + inside).filter(F.col("rn") <= n).drop("__cell", "__before")
 
 
 def split_by_time(df: DataFrame, keys: Sequence[str], horizon: float, fraction: float, min_rows: int = 10) -> DataFrame:
@@ -179,16 +183,17 @@ def dense_code(df: DataFrame, column: str, name: str = "code", null_as=1) -> Dat
     """Codes 0..M-1 over the sorted distinct values, nulls taken as ``null_as``."""
     value = F.coalesce(F.col(column), F.lit(null_as))
     coded = df.withColumn("__v", value)
-    table = coded.select("__v").distinct().withColumn(name, F.row_number().over(Window.orderBy("__v")) - 1)
+    table = ordered.rank(coded.select("__v").distinct(), [], [F.asc("__v")], ordered.value_bucket(F.col("__v")), name).withColumn(name, (F.col(name) - 1).cast("int"))
     return coded.join(table, "__v").drop("__v")
 
 
 def top_k_labels(df: DataFrame, label: str, k: int, keys: Sequence[str] = ()) -> DataFrame:
     """The ``k`` most frequent labels with codes 0..k-1, by count then label.
 
-    Without keys this is a top-k of the aggregated labels (sorted and cut per task first).
+    Null labels are neither counted nor ranked. Without keys this is a top-k of the aggregated
+    labels (sorted and cut per task first).
     """
-    counts = df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"))
     if keys:
         w = Window.partitionBy(*keys).orderBy(F.desc("n"), F.asc(label))
         return counts.withColumn("actor", (F.row_number().over(w) - 1).cast("int")).filter(F.col("actor") < k)
@@ -219,8 +224,7 @@ def overlay_events(background: DataFrame, overlay: DataFrame) -> DataFrame:
 def stable_order(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: int, label: str, name: str = "pos") -> DataFrame:
     """A fixed pseudo-random order inside each key; any prefix of it is nested in longer ones."""
     drawn = df.withColumn("__u", S.uniform_draw(seed, label, *[F.col(c) for c in ids]))
-    bucket = F.floor(F.col("__u") * 256).cast("long")
-    return ordered.rank(drawn, keys, [F.asc("__u"), *[F.asc(c) for c in ids]], bucket, name).drop("__u")
+    return ordered.rank(drawn, keys, [F.asc("__u"), *[F.asc(c) for c in ids]], ordered.value_bucket(F.col("__u")), name).drop("__u")
 
 
 def volume_neutral_removal(background: DataFrame, overlay: DataFrame, windows: DataFrame, keys: Sequence[str],
@@ -237,7 +241,7 @@ def volume_neutral_removal(background: DataFrame, overlay: DataFrame, windows: D
     flagged = in_window(background, windows, keys, ["event_id"], width=width)
     u = S.uniform_draw(seed, "remove", F.col("inside"), F.col("event_id"))
     flagged = flagged.withColumn("__u", u)
-    bucket = (F.col("inside") * 256 + F.floor(F.col("__u") * 256)).cast("long")
+    bucket = ordered.value_bucket(F.col("inside") + F.col("__u"))
     placed = ordered.rank(flagged, group, [F.asc("inside"), F.asc("__u"), F.asc("event_id")], bucket, "__rn")
     need = overlay.groupBy(*group).agg(F.count(F.lit(1)).alias("__need"))
     out = (

@@ -39,6 +39,11 @@ class Layout:
     M: int
     dt: float
     horizon: float
+    outside: DataFrame | None = None  # events that the window or the model leaves out
+
+    def dropped(self) -> DataFrame:
+        """How many events of each fit were left out: ``fit_id, n_dropped``."""
+        return self.outside.groupBy("fit_id").agg(F.count(F.lit(1)).alias("n_dropped"))
 
     @property
     def B(self) -> int:
@@ -51,7 +56,7 @@ class Layout:
 
 
 def layout(events: DataFrame, k: int, m: int, dt: float, horizon: float, chunk_rows: int | None = None, keep: tuple[str, ...] = ()) -> Layout:
-    """Order and chunk events; rows outside the window or the model are dropped.
+    """Order and chunk events; rows outside the window or the model are left out and counted by ``Layout.dropped``.
 
     A fit that fits into a chunk is never cut; a larger one spans as many as it needs. By
     default chunks hold 1,024 to 16,384 rows, enough of them to occupy every core.
@@ -93,7 +98,7 @@ def layout(events: DataFrame, k: int, m: int, dt: float, horizon: float, chunk_r
     seen = sizes.agg(F.count(F.lit(1)).alias("fits"), F.max("__size").alias("largest")).first()
     spans = (seen["largest"] or 0) > chunk_rows
     fits = cells.select("chunk", "fit_id").distinct().persist()
-    return Layout(out, cells, fits, n_chunks, seen["fits"], spans, k, m, float(dt), float(horizon))
+    return Layout(out, cells, fits, n_chunks, seen["fits"], spans, k, m, float(dt), float(horizon), events.filter(~in_domain(0.0, horizon, k, m)).select("fit_id"))
 
 
 # --- numpy inside a chunk ---------------------------------------------------------------

@@ -8,17 +8,44 @@ bucket function only has to be monotone, so results never depend on the bucket w
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "__bucket"
 
 
-def value_bucket(x: Column, per_fold: float = 64.0, unit: float = 1e-3) -> Column:
-    """A monotone integer bucket for any double, about 1.5 percent wide."""
-    return (F.signum(x) * F.floor(F.log1p(F.abs(x) / F.lit(unit)) * per_fold)).cast("long")
+@dataclass(frozen=True)
+class Splits:
+    """Buckets of a column cut at quantiles of its own values, so that they hold like numbers of rows at any magnitude.
+
+    A key with a share s of all rows is cut into about s * ``parts`` buckets; equal values share one.
+    """
+
+    column: Column
+    parts: int = 1024
+
+
+def value_bucket(x: Column, parts: int = 1024) -> Splits:
+    return Splits(x.cast("double"), parts)
+
+
+def with_bucket(df: DataFrame, bucket: Column | Splits) -> DataFrame:
+    """Add the bucket; for ``Splits`` one pass fetches at most ``parts`` split points to the driver."""
+    if not isinstance(bucket, Splits):
+        return df.withColumn(BUCKET, bucket)
+    points = F.percentile_approx(bucket.column, [i / bucket.parts for i in range(1, bucket.parts)], 4 * bucket.parts)
+    found = df.select(points.alias("p")).first()["p"] or []
+    splits = [float("-inf"), *sorted({p for p in found if math.isfinite(p)}), float("inf")]
+    marked = df.withColumn("__key", bucket.column)
+    if len(splits) < 3:
+        return marked.withColumn(BUCKET, F.lit(0).cast("long")).drop("__key")
+    cut = Bucketizer(splits=splits, inputCol="__key", outputCol=BUCKET, handleInvalid="keep")
+    return cut.transform(marked).withColumn(BUCKET, F.coalesce(F.col(BUCKET).cast("long"), F.lit(-1).cast("long"))).drop("__key")
 
 
 def time_bucket(t: Column, width: float) -> Column:
@@ -37,11 +64,11 @@ def _with_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]
     return df.withColumn("__all", F.lit(0)), ["__all"]
 
 
-def rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column,
+def rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column | Splits,
          name: str = "rn", descending: bool = False) -> DataFrame:
     """``row_number`` over ``keys`` by ``order``; ``bucket`` must be monotone in ``order[0]``."""
     df, ks = _with_keys(df, keys)
-    df = df.withColumn(BUCKET, bucket)
+    df = with_bucket(df, bucket)
     totals = df.groupBy(*ks, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
     offs = _offsets(totals, ks, "__n", descending).drop("__n")
     local = df.withColumn("__local", F.row_number().over(Window.partitionBy(*ks, BUCKET).orderBy(*order)))
@@ -49,10 +76,10 @@ def rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Co
     return out.drop("__local", "__before", BUCKET, "__all")
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column,
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column | Splits,
                 value: str, name: str, descending: bool = False, inclusive: bool = True) -> DataFrame:
     df, ks = _with_keys(df, keys)
-    df = df.withColumn(BUCKET, bucket)
+    df = with_bucket(df, bucket)
     totals = df.groupBy(*ks, BUCKET).agg(F.sum(value).alias("__v"))
     offs = _offsets(totals, ks, "__v", descending).drop("__v")
     frame = Window.partitionBy(*ks, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -61,11 +88,11 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], buc
     return out.drop("__s", "__before", BUCKET, "__all")
 
 
-def lag(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column,
+def lag(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column | Splits,
         columns: Sequence[str], prefix: str = "prev_") -> DataFrame:
     """Previous row's ``columns`` in the order; null on each key's first row."""
     df, ks = _with_keys(df, keys)
-    df = df.withColumn(BUCKET, bucket)
+    df = with_bucket(df, bucket)
     inside = Window.partitionBy(*ks, BUCKET).orderBy(*order)
     packed = F.struct(*columns)
     local = (
@@ -91,8 +118,8 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str
         df.filter(F.col(value).isNotNull())
         .groupBy(*ks, F.col(value).cast("double").alias("__x"))
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn(BUCKET, value_bucket(F.col("__x")))
     )
+    counts = with_bucket(counts, value_bucket(F.col("__x")))
     totals = counts.groupBy(*ks, BUCKET).agg(F.sum("__n").alias("__n"))
     whole = Window.partitionBy(*ks)
     offs = _offsets(totals, ks, "__n", False).withColumn("__total", F.sum("__n").over(whole))

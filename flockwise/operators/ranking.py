@@ -122,7 +122,7 @@ def metrics_at_edge_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def one_to_one_join(scores: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join that fails on duplicate keys on either side.
+    """Inner join that fails on duplicate keys on either side, and if it has no row.
 
     The check rides along: each side is grouped by the join keys anyway, and a group larger
     than one raises inside the job.
@@ -133,13 +133,14 @@ def one_to_one_join(scores: DataFrame, truth: DataFrame, keys: Sequence[str]) ->
         guard = F.when(F.col("__n") > 1, F.raise_error(F.lit(f"duplicate keys in {side}")).cast("long")).otherwise(F.col("__n"))
         return g.withColumn("__n", guard).filter("__n = 1").drop("__n")
 
-    return unique(scores, "scores").join(unique(truth, "truth"), list(keys))
+    return require_rows(unique(scores, "scores").join(unique(truth, "truth"), list(keys)), "join of scores and truth")
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:
-    if df.isEmpty():
-        raise ValueError(f"{what} is empty")
-    return df
+    """``df``, with a count beside it that raises inside the job if there is no row."""
+    empty = F.when(F.col("__n") == 0, F.raise_error(F.lit(f"{what} is empty")).cast("boolean")).otherwise(F.lit(False))
+    guard = df.agg(F.count(F.lit(1)).alias("__n")).filter(empty)
+    return df.unionByName(guard.select(*[F.lit(None).cast(t).alias(c) for c, t in df.dtypes]))
 
 
 # --- sets -------------------------------------------------------------------------------

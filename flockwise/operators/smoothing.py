@@ -198,7 +198,7 @@ def _check(log_z):
         raise FloatingPointError("smoothing produced a non-finite log normaliser")
 
 
-def forward_backward(emissions: DataFrame, chains: DataFrame, n_intervals: int, n_series: int = 1, block: int = 65536) -> DataFrame:
+def forward_backward(emissions: DataFrame, chains: DataFrame, n_intervals: int, n_series: int, block: int = 65536) -> DataFrame:
     """Posterior ``g0, g1``, the posterior of the transition into each interval, and loglik.
 
     ``emissions`` has ``fit_id, cand, b, ell0, ell1`` on a dense grid; ``chains`` has one row

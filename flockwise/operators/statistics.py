@@ -227,9 +227,10 @@ def lag_correlation(counts: DataFrame, keys: Sequence[str], item: str, b: str, n
 
     ``counts`` holds the non-empty bins only. Sums over all ``bins - lag`` positions follow
     from the non-empty cells, so empty bins are never materialised: the join runs on bins
-    where both items are active.
+    where both items are active. Rows outside ``[0, bins)`` take no part.
     """
     lag_arr = F.array(*[F.lit(i) for i in lags])
+    counts = counts.filter((F.col(b) >= 0) & (F.col(b) < bins))  # both sides and all sums cover the same bins
     left = counts.select(*keys, F.col(item).alias("source"), F.col(b).alias("__b"), F.col(n).alias("__x")).withColumn("lag", F.explode(lag_arr))
     left = left.filter(F.col("__b") + F.col("lag") < bins).withColumn("__at", F.col("__b") + F.col("lag"))
     right = counts.select(*keys, F.col(item).alias("target"), F.col(b).alias("__at"), F.col(n).alias("__y"))

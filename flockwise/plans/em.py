@@ -67,10 +67,15 @@ REAL_DATA = Settings(lambda_g=0.05, lambda_h=0.05, lambda_e=0.05, lambda_0=0.10,
 # --- schedules and small algebra --------------------------------------------------------
 
 
-def floors(it: int, warm: int = 12) -> tuple[float, float]:
-    """Floors of the stationary share and of the posterior, falling over the warm-up."""
-    a = min(max((it - 1) / (warm - 1), 0.0), 1.0)
-    return (1 - a) * 0.05 + a * 0.005, (1 - a) * 0.05 + a * 0.001
+#: The iteration from which the floors are constant, and both floors at the first iteration and from then on.
+SETTLED = 12
+SHARE_FLOOR, POSTERIOR_FLOOR = (0.05, 0.005), (0.05, 0.001)
+
+
+def floors(it: int, settled: int = SETTLED) -> tuple[float, float]:
+    """Floors of the stationary share and of the posterior, falling linearly until ``settled``."""
+    share, posterior = (float(np.interp(it, (1, settled), ends)) for ends in (SHARE_FLOOR, POSTERIOR_FLOOR))
+    return share, posterior
 
 
 def floored_rates(eta_on, eta_off, share: float):
@@ -184,26 +189,24 @@ def block_candidates(p: dict, K: int, M: int, block: str, step: float, ridge: fl
 
 
 def decay_projection(b0: float, b1: float, s: Settings) -> tuple[float, float]:
-    b0, b1 = float(np.clip(b0, s.beta_min, s.beta_max)), float(np.clip(b1, s.beta_min, s.beta_max))
-    if b1 < s.beta_ratio * b0:
-        geo = np.sqrt(b0 * b1)
-        b0 = float(np.clip(geo / np.sqrt(s.beta_ratio), s.beta_min, s.beta_max))
-        b1 = float(np.clip(geo * np.sqrt(s.beta_ratio), s.beta_ratio * b0, s.beta_max))
-    return b0, b1
+    """The decays as a mean and a half-gap of logarithms: the gap is widened to the least one, then both ends are bounded."""
+    low, high, gap = np.log([s.beta_min, s.beta_max, s.beta_ratio])
+    u = np.clip(np.log(np.maximum([b0, b1], 1e-300)), low, high)
+    half = max(u[1] - u[0], gap) / 2
+    first = float(np.clip(u.mean() - half, low, high))
+    second = float(np.clip(u.mean() + half, min(first + gap, high), high))
+    return float(np.exp(first)), float(np.exp(second))
 
 
 def decay_candidates(p: dict, s: Settings, factors=(0.75, 1.0, 1.3)) -> list[dict]:
     """Projected grid around the current decays; an infeasible current point never wins."""
-    feasible = decay_projection(p["beta0"], p["beta1"], s) == (p["beta0"], p["beta1"])
+    here = (p["beta0"], p["beta1"])
+    label = lambda pair: tuple(np.round(np.log(pair), 12))
+    feasible = label(decay_projection(*here, s)) == label(here)
+    grid = {label(q): q for q in (decay_projection(here[0] * a, here[1] * b, s) for a in factors for b in factors)}
+    grid.pop(label(here), None)
     out = [{**p, "cand": 0, "pen": 0.0 if feasible else float("inf")}]
-    seen = {(p["beta0"], p["beta1"])}
-    for a in factors:
-        for b in factors:
-            pair = decay_projection(p["beta0"] * a, p["beta1"] * b, s)
-            if pair not in seen:
-                seen.add(pair)
-                out.append({**p, "cand": len(out), "vec": None, "pen": 0.0, "beta0": pair[0], "beta1": pair[1]})
-    return out
+    return out + [{**p, "cand": i, "vec": None, "pen": 0.0, "beta0": q[0], "beta1": q[1]} for i, q in enumerate(grid.values(), 1)]
 
 
 def enforce(p: dict, variant: str) -> dict:
@@ -222,15 +225,16 @@ def enforce(p: dict, variant: str) -> dict:
 
 
 def stabilise(p: dict, threshold: float, target: float, keep_a0: bool, gates_only: bool = False) -> tuple[dict, float]:
-    """Scale the joint branching matrix back when its spectral radius is too large."""
-    rad = R.spectral_radius(p["a0"] + p["a1"])
-    if not np.isfinite(rad) or rad <= threshold:
-        return p, rad
-    scale = min(max(target / max(rad, 1e-12), 0.0), 1.0)
-    q = {**p, "g": p["g"] * np.sqrt(scale), "h": p["h"] * np.sqrt(scale)}
-    if not (keep_a0 or gates_only):
-        q["a0"] = p["a0"] * scale
-    q = R.with_coupling(q)
+    """Shrink the coupling by ``target / radius`` where the joint branching matrix's spectral radius is over the threshold.
+
+    The active part is a product of two gates, so each takes the factor's square root; the other part takes all of it, or none.
+    """
+    radius = R.spectral_radius(p["a0"] + p["a1"])
+    if not (np.isfinite(radius) and radius > threshold):
+        return p, radius
+    factor = float(np.clip(target / radius, 0.0, 1.0))
+    powers = {"g": 0.5, "h": 0.5} if keep_a0 or gates_only else {"g": 0.5, "h": 0.5, "a0": 1.0}
+    q = R.with_coupling({**p, **{name: p[name] * factor**power for name, power in powers.items()}})
     return q, R.spectral_radius(q["a0"] + q["a1"])
 
 

@@ -95,6 +95,7 @@ def heldout_count_hmm(sides: DataFrame, train_horizon: float, test_horizon: floa
         *keys, F.lit(0).alias("cand"), "b", S.poisson_logpmf("k", "lambda0", "log_factorial", 1e-9).alias("ell0"), S.poisson_logpmf("k", "lambda1", "log_factorial", 1e-9).alias("ell1"))
     chain = fit.withColumn("p01", 1.0 - F.col("p00")).withColumn("p10", 1.0 - F.col("p11"))
     n = int(-(-test_horizon // dt))
-    post = SM.forward_backward(em, chain.select(*keys, "cand", "p00", "p01", "p10", "p11", "pi0", "pi1"), n)
+    series = sides.select(*keys).distinct().count()
+    post = SM.forward_backward(em, chain.select(*keys, "cand", "p00", "p01", "p10", "p11", "pi0", "pi1"), n, series)
     ll = post.groupBy(*keys).agg(F.first("loglik").alias("heldout_loglik"))
     return ll.join(fit, keys).select(*keys, "heldout_loglik", "lambda0", "lambda1", "p00", "p11", (F.col("lambda1") / (F.col("lambda0") + F.col("lambda1"))).alias("rate_share"))

@@ -116,16 +116,14 @@ def file_key(path: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(col, r"^[a-z0-9]+:/+", "/"), r"/+", "/")
 
 
-def read_sessions(spark: SparkSession, manifest: DataFrame, fmt: str | None = None, max_files: int = 100_000) -> DataFrame:
-    """One scan over every file of the manifest, with the manifest row attached to each event.
+def read_sessions(spark: SparkSession, manifest: DataFrame, root: str, fmt: str) -> DataFrame:
+    """One scan over the folder ``root``, with its manifest row attached to each event.
 
-    Only the path column reaches the driver, because the scan needs its file list there;
-    ``max_files`` guards that list and larger manifests should use partitioned tables.
+    Files that the manifest doesn't name fall out in the join, so no file list is collected
+    and a manifest may have any number of rows.
     """
-    rows = manifest.select("path").distinct().limit(max_files + 1).collect()
-    if len(rows) > max_files:
-        raise ValueError(f"manifest names more than {max_files} files; use a partitioned table")
-    raw = read_table(spark, [r["path"] for r in rows], fmt)
+    reader = spark.read.option("recursiveFileLookup", True)
+    raw = reader.parquet(root) if fmt == "parquet" else reader.option("header", True).csv(root)
     file = F.url_decode(file_key(F.col("_metadata.file_path")))
     # a manifest entry may be a file or a folder of part files
     folder = F.regexp_replace(file, r"/part-[^/]*$", "")
@@ -135,10 +133,10 @@ def read_sessions(spark: SparkSession, manifest: DataFrame, fmt: str | None = No
     return events_from(joined, extra=[c for c in manifest.columns if c != "path"])
 
 
-def read_truth(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Truth sidecars, one JSON object per file."""
+def read_truth(spark: SparkSession, path: str | Sequence[str], one_per_file: bool = True) -> DataFrame:
+    """Truth sidecars: one JSON object per file, or one per line."""
     schema = "true_ring array<int>, true_hub int, alpha1_strength double, seed long"
-    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn(
+    return spark.read.schema(schema).option("multiLine", one_per_file).json(path).withColumn(
         "truth_json", F.url_decode(file_key(F.col("_metadata.file_path")))
     )
 
@@ -159,8 +157,8 @@ def active_windows(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     ).dropna(subset=["s", "e"])
 
 
-def read_active_windows(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    return active_windows(read_table(spark, path, "csv"))
+def read_active_windows(spark: SparkSession, path: str | Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    return active_windows(read_table(spark, path, "csv"), extra)
 
 
 def candidate_windows(df: DataFrame, order: Sequence[Column], max_windows: int | None = None,

@@ -73,7 +73,7 @@ def read_sessions(spark, sf):
         F.concat(F.lit("day"), F.col("day").cast("string")).alias("session"), F.lit("real").alias("condition"),
         F.concat(F.lit(f"{path}/day="), F.col("day").cast("string")).alias("path"),
     )
-    got = R.read_sessions(spark, manifest, "parquet")
+    got = R.read_sessions(spark, manifest, path, "parquet")
     return got.groupBy("session", "condition", "actor").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("t"), 4).alias("total_t"))
 
 
@@ -94,7 +94,7 @@ def read_truth(spark, sf):
     truth.write.json(path)
     manifest_ring = F.when(F.col("seed") < 5, F.lit("[1, 2]"))
     # part files hold one object per line, so the line reader is used here
-    got = spark.read.schema("true_ring array<int>, true_hub int, seed long").json(path)
+    got = R.read_truth(spark, path, one_per_file=False)
     ring = R.resolve_ring(F.col("true_ring"), manifest_ring, F.lit(C.K), 4)
     return got.select("seed", "true_hub", F.array_join(ring.cast("array<string>"), ",").alias("ring"))
 
@@ -105,7 +105,7 @@ def read_active_windows(spark, sf):
     path = scratch_path(spark, "windows") + ".csv"
     e = C.events(spark, sf).filter("z = 1").groupBy("session_id").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"))
     e.write.option("header", True).csv(path)
-    got = R.active_windows(R.read_table(spark, path, "csv"), extra=["session_id"])
+    got = R.read_active_windows(spark, path, extra=["session_id"])
     return rounded(got.withColumn("session_id", F.col("session_id").cast("long")))
 
 
