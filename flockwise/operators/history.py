@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -367,8 +369,6 @@ def chunk_pass(lay: Layout, params: DataFrame, weights: DataFrame | None, fn: Ca
     return lay.events.groupBy("chunk").cogroup(ctx.groupBy("chunk")).applyInPandas(run, schema)
 
 
-def sum_vectors(rows: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
-    """Elementwise sum of array columns per key, with partial sums before the shuffle."""
-    long = rows.select(*keys, F.posexplode(vec).alias("__i", "__x")).groupBy(*keys, "__i").agg(F.sum("__x").alias("__x"))
-    pairs = long.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", "__x"))).alias("__p"))
-    return pairs.select(*keys, F.transform("__p", lambda s: s["__x"]).alias(vec))
+def sum_vectors(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Element-wise sums of ``vec`` per key, added within each task first."""
+    return rows.groupBy(*keys).agg(vector_to_array(Summarizer.sum(array_to_vector("vec"))).alias("vec"))

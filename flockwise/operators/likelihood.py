@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flockwise.operators import ordered
-from flockwise.operators.history import EPS, Layout, chunk_pass, sum_vectors
+from flockwise.operators.batched import Chunk
+from flockwise.operators.history import EPS, Layout, carry_states, chunk_pass, context, sum_vectors
 
 
 def rates(seg, p, present: bool = False):
@@ -96,44 +98,17 @@ def score_and_gradient(lay: Layout, params: DataFrame, weights: DataFrame, gradi
     if asked, the gradients in A1, A0, rho0 and rho1.
 
     Later intervals telescope in the compensator (posterior rows sum to one), so every term
-    is a sum over events and no interval pass is needed.
+    is a sum over events and no interval pass is needed. All fits and candidates of a chunk are summed together.
     """
     horizon, K, M = lay.horizon, lay.K, lay.M
+    ctx = context(lay, params, weights, carry_states(lay, params, weights))
+    names = ["fit_id", "cand", "vec"]
 
-    def fn(fit, cand, seg, w, g1, p):
-        nu, a0, a1, rho0, rho1, b0, b1 = p
-        lam0, lam1, _, _, _, _, fr, f0, f1 = rates(seg, p)
-        i, m = seg.ev["actor"], seg.ev["mark"]
-        left = horizon - seg.ev["t"]
-        rem = np.maximum(seg.ev["t_end"] - seg.ev["t"], 0.0)
-        c0 = -np.expm1(-b0 * left)
-        e1 = np.exp(-b1 * rem)
-        c1 = w * (e1 - np.exp(-b1 * left)) + g1 * (1.0 - e1)
-        s0, s1 = rho0.sum(axis=1)[m], rho1.sum(axis=1)[m]
-        out0, out1 = a0.sum(axis=1)[i], a1.sum(axis=1)[i]
-        g0 = 1.0 - g1
-        q = float(np.sum(g0 * np.log(lam0) + g1 * np.log(lam1)) - np.sum(out0 * s0 * c0) - np.sum(out1 * s1 * c1))
-        if not gradient:
-            return [(fit, cand, [q])]
-        r0, r1 = g0 / lam0, g1 / lam1
-        ga1 = np.zeros((K, K))
-        np.add.at(ga1.T, i, r0[:, None] * f0 + r1[:, None] * f1)
-        ga1 -= np.bincount(i, weights=s1 * c1, minlength=K)[:, None]
-        ga0 = np.zeros((K, K))
-        np.add.at(ga0.T, i, (r0 + r1)[:, None] * fr)
-        ga0 -= np.bincount(i, weights=s0 * c0, minlength=K)[:, None]
-        n = len(i)
-        route0 = np.einsum("njk,jn->nk", seg.R.reshape(n, K, M), a0[:, i])
-        pre = np.einsum("njk,jn->nk", seg.pre.reshape(n, K, M), a1[:, i])
-        same = np.einsum("njk,jn->nk", seg.same.reshape(n, K, M), a1[:, i])
-        gr0, gr1 = np.zeros((M, M)), np.zeros((M, M))
-        np.add.at(gr0.T, m, (r0 + r1)[:, None] * route0)
-        np.add.at(gr1.T, m, r0[:, None] * pre + r1[:, None] * (pre + same))
-        gr0 -= np.bincount(m, weights=out0 * c0, minlength=M)[:, None]
-        gr1 -= np.bincount(m, weights=out1 * c1, minlength=M)[:, None]
-        return [(fit, cand, [q, *ga1.ravel(), *ga0.ravel(), *gr0.ravel(), *gr1.ravel()])]
+    def run(pdf: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        rows = Chunk(pdf, c, K, M).score_and_gradient(horizon, gradient) if len(pdf) and len(c) else []
+        return pd.DataFrame(rows, columns=names)
 
-    rows = chunk_pass(lay, params, weights, fn, "fit_id long, cand int, vec array<double>", ["fit_id", "cand", "vec"])
+    rows = lay.events.groupBy("chunk").cogroup(ctx.groupBy("chunk")).applyInPandas(run, "fit_id long, cand int, vec array<double>")
     return sum_vectors(rows, ["fit_id", "cand"])
 
 
