@@ -19,7 +19,7 @@ from flockwise.plans import selection as SE
 from flockwise.session import cut_lineage
 from workload import canon as C
 from workload.aggregates import binned
-from workload.processes import NB, fits, fixed_params, gates, laid_out, named, setup
+from workload.processes import NB, SMOOTHED, SMOOTHED_PRESENT, fits, fixed_params, gates, laid_out, named, setup
 from workload.registry import query, rounded
 
 QUICK = EM.with_settings(EM.REPLICATION, max_iters=2, n_inner_steps=1)
@@ -35,12 +35,12 @@ def summary(params):
     return named(params.select("fit_id", *[total(c).alias(f"sum_{c}") for c in ("nu", "a0", "a1", "g", "h")], "beta0", "beta1", "eta_on", "eta_off"))
 
 
-@query("estep")
+@query("estep", SMOOTHED)
 def estep(spark, sf):
     return named(S.estep(*setup(spark, sf)).select("fit_id", "b", "g0", "g1", "loglik"))
 
 
-@query("estep_present")
+@query("estep_present", SMOOTHED_PRESENT)
 def estep_present(spark, sf):
     lay, params, _ = setup(spark, sf)
     return named(S.estep(lay, params, None, present=True).select("fit_id", "b", "g0", "g1", "loglik"))

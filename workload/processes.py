@@ -237,15 +237,35 @@ def forward_loglik(spark, sf):
     return named(S.estep(*setup(spark, sf)).groupBy("fit_id").agg(F.first("loglik").alias("loglik")))
 
 
-@query("forward_backward")
+def smoothed(e0: str, e1: str) -> str:
+    """Posterior per interval by a forward and a backward recursion over the grid."""
+    back = lambda a, b: lse(f"(y0 + e.e0 + ln({a}))", f"(y1 + e.e1 + ln({b}))")
+    return f"""
+WITH RECURSIVE {EMIT}, sm AS (SELECT session_id, b, {e0} AS e0, {e1} AS e1 FROM em),
+fw AS (SELECT session_id, b, ln({OFF / _s}) + e0 AS x0, ln({ON / _s}) + e1 AS x1 FROM sm WHERE b = 0
+  UNION ALL SELECT f.session_id, e.b, e.e0 + {lse(f'(x0 + ln({P00}))', f'(x1 + ln({1 - P11}))')}, e.e1 + {lse(f'(x0 + ln({1 - P00}))', f'(x1 + ln({P11}))')} FROM fw f JOIN sm e ON e.session_id = f.session_id AND e.b = f.b + 1),
+bw AS (SELECT session_id, b, 0::DOUBLE AS y0, 0::DOUBLE AS y1 FROM sm WHERE b = {NB - 1}
+  UNION ALL SELECT k.session_id, p.b, {back(P00, 1 - P00)}, {back(1 - P11, P11)} FROM bw k JOIN sm e ON e.session_id = k.session_id AND e.b = k.b JOIN sm p ON p.session_id = k.session_id AND p.b = k.b - 1),
+met AS (SELECT session_id, b, x0 + y0 AS z0, x1 + y1 AS z1 FROM fw JOIN bw USING (session_id, b)), total AS (SELECT *, {lse('z0', 'z1')} AS ll FROM met)
+SELECT session_id, b, round(exp(z0 - ll), 6) AS g0, round(exp(z1 - ll), 6) AS g1, round(ll, 6) AS loglik FROM total"""
+
+
+SMOOTHED, SMOOTHED_PRESENT = smoothed("ell0", "ell1"), smoothed("pell0", "pell1")
+
+
+@query("forward_backward", SMOOTHED)
 def forward_backward(spark, sf):
     """Smoothing with the grid cut into blocks of eight intervals."""
     lay, params, weights = setup(spark, sf)
     em = S.interval_emissions(lay, params, weights)
-    return named(S.forward_backward(em, S.ctmc_chains(params, C.DT), NB, lay.n_fits, block=8).drop("xi"))
+    return named(S.forward_backward(em, S.ctmc_chains(params, C.DT), NB, lay.n_fits, block=8).select("fit_id", "b", "g0", "g1", "loglik"))
 
 
-@query("gate_features")
+@query("gate_features", f"""
+WITH {RATE}, y AS (SELECT *, {S_RHO1} * {B1} * exp(-{B1} * dt) AS x FROM h),
+f AS (SELECT event_id, sum(CASE WHEN kb < b THEN w * x ELSE 0 END) AS f0, sum(CASE WHEN kb < b THEN w * x ELSE x END) AS f1 FROM y GROUP BY 1)
+SELECT session_id, l.event_id, l.b, actor, round(base + routine, 6) AS routine_base, round(coalesce(f0, 0), 6) AS feat0, round(coalesce(f1, 0), 6) AS feat1,
+  round((1 - exp(-{B1} * ((l.b + 1) * 24.0 - l.t))) / {B1}, 6) AS comp_within FROM lam l LEFT JOIN f USING (event_id)""")
 def gate_features(spark, sf):
     f = L.gate_features(*setup(spark, sf))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
@@ -301,7 +321,11 @@ def rescaled_residuals(spark, sf):
     return named(L.rescaled_residuals(*setup(spark, sf)))
 
 
-@query("rescaled_residuals_present")
+@query("rescaled_residuals_present", f"""
+WITH {HIST}, {OUT}, p AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY session_id ORDER BY t, actor, mark, event_id), 0) AS pt FROM evb),
+r AS (SELECT p.session_id, p.event_id, p.b, p.t - p.pt AS dt, coalesce(sum(o0 * exp(-{B0} * (p.pt - k.t))), 0) AS s0, coalesce(sum(o1 * exp(-{B1} * (p.pt - k.t))), 0) AS s1
+  FROM p LEFT JOIN evb k ON k.session_id = p.session_id AND (k.t, k.actor, k.mark, k.event_id) < (p.t, p.actor, p.mark, p.event_id) LEFT JOIN o ON o.j = k.actor GROUP BY ALL)
+SELECT session_id, event_id, b, round({NU_SUM} * dt + s0 * (1 - exp(-{B0} * dt)) + {S_G.format(b='b')} * s1 * (1 - exp(-{B1} * dt)), 6) AS residual FROM r""")
 def rescaled_residuals_present(spark, sf):
     lay, params, weights = setup(spark, sf)
     return named(L.rescaled_residuals(lay, params, weights.withColumn("w", F.lit(1.0)), present=True))
