@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flockwise.functions import scalar as S
+from flockwise.operators import ordered
 
 
 def replicate_summary(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], zero_std: bool = False) -> DataFrame:
@@ -64,82 +67,80 @@ def paired_bootstrap(pairs: DataFrame, ids: Sequence[str], d: str, n_boot: int,
     return size.join(F.broadcast(ci), F.lit(True)).withColumnRenamed("n", "n_pairs")
 
 
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta by its continued fraction (Lentz)."""
-    if x <= 0.0 or x >= 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _incomplete_beta(b, a, 1.0 - x)
-    tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + num * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + num / (c if abs(c) > tiny else tiny)
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-14:
-            break
-    return front * h / a
-
-
-def t_two_sided(t: float | None, df: int) -> float | None:
-    if t is None or df < 1 or math.isnan(t):
-        return None
-    return _incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
+def t_two_sided(t: Column, df: Column) -> Column:
+    """Two-sided tail of Student's t for whole degrees of freedom: a finite sum over powers of the cosine of atan(t / sqrt(df)).
+
+    Null without a t or a degree of freedom. One group's sum has df / 2 terms.
+    """
+    angle = F.atan(F.abs(t) / F.sqrt(df))
+    c2, odd = F.cos(angle) * F.cos(angle), df % 2 == 1
+    # each term is the last one times c2 and (2k-1)/(2k), or 2k/(2k+1) where df is odd
+    last = F.floor((df - F.when(odd, 3).otherwise(2)) / 2).cast("int")
+    ratio = lambda k: F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+    first = F.when(odd, F.cos(angle)).otherwise(F.lit(1.0))
+    start = F.struct(first.alias("term"), first.alias("total"))
+
+    def add(acc: Column, k: Column) -> Column:
+        term = acc["term"] * c2 * ratio(k.cast("double"))
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    steps = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    series = F.aggregate(steps, start, add)["total"] * F.sin(angle)
+    inside = F.when(odd, (angle + F.when(df > 1, series).otherwise(0.0)) * (2.0 / math.pi)).otherwise(series)
+    return F.when((df >= 1) & t.isNotNull() & ~F.isnan(t), F.greatest(F.lit(1.0) - inside, F.lit(0.0)))
 
 
 def paired_t_test(pairs: DataFrame, keys: Sequence[str], d: str) -> DataFrame:
     """Per group: pairs, mean, deviation, standard error, t and two-sided p."""
-    from pyspark.sql.functions import udf
-
-    p_value = udf(lambda t, n: t_two_sided(t, n - 1), "double")  # one call per group, not per row
     n = F.count(d)
     sd = F.stddev_samp(d)
     out = pairs.groupBy(*keys).agg(n.alias("n"), F.avg(d).alias("mean_d"), sd.alias("sd_d"), (sd / F.sqrt(n)).alias("se"))
     t = F.when(F.col("se") > 0, F.col("mean_d") / F.col("se"))
-    return out.withColumn("t", t).withColumn("p", p_value("t", F.col("n").cast("int")))
+    return out.withColumn("t", t).withColumn("p", t_two_sided(F.col("t"), F.col("n") - 1))
 
 
 def signed_ranks(pairs: DataFrame, keys: Sequence[str], d: str) -> DataFrame:
-    """Signed-rank statistic: zeros dropped, mid-ranks of absolute differences."""
-    rows = pairs.filter(F.col(d) != 0)
-    levels = rows.groupBy(*keys, F.abs(d).alias("__a")).agg(
-        F.count(F.lit(1)).alias("__n"), F.sum((F.col(d) > 0).cast("long")).alias("__pos")
-    )
-    w = Window.partitionBy(*keys).orderBy("__a").rowsBetween(Window.unboundedPreceding, 0)
-    mid = F.sum("__n").over(w) - (F.col("__n") - 1) / 2.0
-    return levels.withColumn("__mid", mid).groupBy(*keys).agg(
+    """Signed-rank statistic: zeros dropped and counted, mid-ranks of absolute differences, cut by value so that no key is ranked in one task."""
+    x = F.abs(d).alias("__a")
+    levels = pairs.filter(F.col(d).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("__rows"), F.sum((F.col(d) > 0).cast("long")).alias("__pos"))
+    levels = levels.withColumn("__n", F.when(F.col("__a") > 0, F.col("__rows")).otherwise(F.lit(0)))
+    placed = ordered.running_sum(levels, keys, [F.asc("__a")], ordered.value_bucket(F.col("__a")), "__n", "__upto")
+    mid = F.col("__upto") - (F.col("__n") - 1) / 2.0
+    return placed.withColumn("__mid", mid).groupBy(*keys).agg(
         F.sum("__n").alias("n"),
-        F.sum(F.col("__mid") * F.col("__pos")).alias("w_plus"),
-        F.sum(F.col("__mid") * (F.col("__n") - F.col("__pos"))).alias("w_minus"),
+        F.sum(F.when(F.col("__a") > 0, F.col("__mid") * F.col("__pos")).otherwise(0.0)).alias("w_plus"),
+        F.sum(F.when(F.col("__a") > 0, F.col("__mid") * (F.col("__n") - F.col("__pos"))).otherwise(0.0)).alias("w_minus"),
         F.sum(F.col("__n") * F.col("__n") * F.col("__n") - F.col("__n")).alias("tie_term"),
-    )
+        F.sum(F.col("__rows") - F.col("__n")).alias("n_zero"),
+    ).filter("n > 0")
 
 
-def wilcoxon_p_greater(w: float | None, n: int, tie_term: int) -> float | None:
-    """One-sided p of ``W+``: exact counts up to 50 untied pairs, else the normal limit."""
+def wilcoxon_p_greater(w: float | None, n: int, tie_term: int, n_zero: int = 0, method: str = "auto") -> float | None:
+    """One-sided p of ``W+``: exact counts of rank sums, or the normal limit with a correction for ties.
+
+    ``auto`` takes exact counts for at most 50 pairs without ties or dropped zeros.
+    """
+    if method not in ("auto", "exact", "normal"):
+        raise ValueError(f"unknown method: {method}")
     if w is None or n < 1:
         return None
-    if n <= 50 and tie_term == 0:
-        ways = [1] + [0] * (n * (n + 1) // 2)
+    if method == "exact" or method == "auto" and n <= 50 and tie_term == 0 and n_zero == 0:
+        ways = np.ones(1)
         for r in range(1, n + 1):
-            for s in range(len(ways) - 1, r - 1, -1):
-                ways[s] += ways[s - r]
-        return sum(ways[math.ceil(w):]) / 2.0**n
+            ways = np.pad(ways, (0, r)) + np.pad(ways, (r, 0))
+        return float(ways[math.ceil(w) :].sum() / ways.sum())
     mean = n * (n + 1) / 4.0
     var = n * (n + 1) * (2 * n + 1) / 24.0 - tie_term / 48.0
     return 0.5 * math.erfc((w - mean) / math.sqrt(2.0 * var)) if var > 0 else None
 
 
-def wilcoxon_signed(pairs: DataFrame, keys: Sequence[str], d: str) -> DataFrame:
-    from pyspark.sql.functions import udf
+def wilcoxon_signed(pairs: DataFrame, keys: Sequence[str], d: str, method: str = "auto") -> DataFrame:
+    @F.pandas_udf("double")
+    def p(w: pd.Series, n: pd.Series, ties: pd.Series, zeros: pd.Series) -> pd.Series:
+        return pd.Series([wilcoxon_p_greater(*row, method) for row in zip(w, n, ties, zeros, strict=True)], dtype=float)
 
-    p = udf(wilcoxon_p_greater, "double")
     out = signed_ranks(pairs, keys, d)
-    return out.withColumn("p_greater", p("w_plus", F.col("n").cast("int"), F.col("tie_term")))
+    return out.withColumn("p_greater", p("w_plus", F.col("n"), F.col("tie_term"), F.col("n_zero")))
 
 
 def recovery_threshold(df: DataFrame, keys: Sequence[str], level: str, exposure: str, metric: str, alpha: str, n_eff: str, at: float = 0.9,

@@ -84,9 +84,17 @@ def test_removals_are_nested_prefixes(spark):
     assert not any(10 <= i < 20 for i in taken[1])
 
 
-def test_t_and_wilcoxon_p_values():
-    assert T.t_two_sided(2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
+def test_t_and_wilcoxon_p_values(spark):
+    rows = [(2.0, 10), (1.0, 1), (1.0, 2), (2.5, 3), (-2.5, 3), (0.0, 7), (3.3, 29), (None, 4), (1.0, 0)]
+    want = [0.07338803, 0.5, 0.42264973, 0.08770665, 0.08770665, 1.0, 0.00256, None, None]
+    got = spark.createDataFrame(rows, "t double, df int").select(T.t_two_sided(F.col("t"), F.col("df")).alias("p")).collect()
+    for r, w in zip(got, want, strict=True):
+        assert r.p is None if w is None else r.p == pytest.approx(w, abs=3e-5)
     assert T.wilcoxon_p_greater(15.0, 5, 0) == pytest.approx(1 / 32)
+    assert T.wilcoxon_p_greater(15.0, 5, 0, n_zero=1) == T.wilcoxon_p_greater(15.0, 5, 0, method="normal")
+    pairs = spark.createDataFrame([(1, v) for v in (0.0, 0.0, 1.0, -1.0, 2.0, 3.0, None)] + [(2, 0.0)], "k int, d double")
+    r = T.signed_ranks(pairs, ["k"], "d").collect()
+    assert [(x.k, x.n, x.w_plus, x.w_minus, x.tie_term, x.n_zero) for x in r] == [(1, 4, 8.5, 1.5, 6, 2)]
 
 
 def test_method_aliases():

@@ -29,7 +29,14 @@ def paired_t_test(spark, sf):
     return rounded(T.paired_t_test(pairs(spark, sf), ["window_id"], "d").drop("p"))
 
 
-@query("paired_t_test_p")
+@query("paired_t_test_p", f"""
+WITH {PAIRS}, s AS (SELECT window_id, count(d) AS n, avg(d) AS mean_d, stddev_samp(d) AS sd_d, stddev_samp(d) / sqrt(count(d)) AS se FROM pr GROUP BY 1),
+a AS (SELECT *, mean_d / se AS t, atan(abs(mean_d / se) / sqrt(n - 1)) AS th FROM s),
+b AS (SELECT window_id, sum(CASE WHEN (n - 1) % 2 = 0 THEN exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1.0)) * pow(cos(th), 2 * k)
+  ELSE exp(lgamma(0.5) + lgamma(k + 1.0) - ln(2) - lgamma(k + 1.5)) * pow(cos(th), 2 * k + 1) END) AS q
+  FROM (SELECT *, unnest(range(0, greatest((n - 1) // 2, 0))) AS k FROM a) GROUP BY 1)
+SELECT window_id, n, round(mean_d, 6) AS mean_d, round(sd_d, 6) AS sd_d, round(se, 6) AS se, round(t, 6) AS t,
+  round(1 - CASE WHEN (n - 1) % 2 = 0 THEN sin(th) * q ELSE (th + sin(th) * coalesce(q, 0)) * 2 / pi() END, 6) AS p FROM a LEFT JOIN b USING (window_id)""")
 def paired_t_test_p(spark, sf):
     return rounded(T.paired_t_test(pairs(spark, sf), ["window_id"], "d"))
 
@@ -38,7 +45,7 @@ def paired_t_test_p(spark, sf):
 WITH {PAIRS}, m AS (SELECT window_id, d, rank() OVER (PARTITION BY window_id ORDER BY abs(d)) + (count(*) OVER (PARTITION BY window_id, abs(d)) - 1) / 2.0 AS mid FROM pr WHERE d <> 0)
 SELECT window_id, count(*) AS n, coalesce(sum(mid) FILTER (WHERE d > 0), 0)::DOUBLE AS w_plus, coalesce(sum(mid) FILTER (WHERE d < 0), 0)::DOUBLE AS w_minus FROM m GROUP BY 1""")
 def wilcoxon_signed(spark, sf):
-    return rounded(T.signed_ranks(pairs(spark, sf), ["window_id"], "d").drop("tie_term"))
+    return rounded(T.signed_ranks(pairs(spark, sf), ["window_id"], "d").drop("tie_term", "n_zero"))
 
 
 @query("wilcoxon_signed_p")
