@@ -69,6 +69,7 @@ class Cuts:
 
     def __init__(self, percent: int):
         self.percent = percent
+        self.known: dict[int, int] = {}
 
     def number(self, size: int) -> int:
         return int(math.log(size) / math.log(STEP) + 1e-9)
@@ -81,6 +82,11 @@ class Cuts:
         return 2 * largest * (100 - self.percent) // (100 + self.percent)
 
     def fragments(self, number: int) -> int:
+        if number not in self.known:
+            self.known[number] = self._fragments(number)
+        return self.known[number]
+
+    def _fragments(self, number: int) -> int:
         """Enough that few sets have more empty fragments than are to spare."""
         need, least = self.spoiled(number) + 1, max(1, self.percent * int(STEP**number) // 100)
         m = need
@@ -208,8 +214,10 @@ def jaccard_components(
 
     Equal sets are folded first. Of the candidates that share a signature, ``rounds`` rounds
     check all against one leader, and only between groups that aren't linked yet; the last round
-    checks every remaining pair of unlinked groups. So a large group of copies costs few pairs,
-    and no link is lost. Signatures are sorted by range, which splits a frequent one over tasks.
+    checks every remaining pair of unlinked groups. A pair is left out only if its overlap can't
+    reach the bound: by sizes, and by the shingles that no other candidate has, which each copy
+    with edits of its own brings along. So a large group of copies costs few pairs, and no link
+    is lost. Signatures are sorted by range, which splits a frequent one over tasks.
 
     Hash collisions of 64 bits could add a wrong shingle to an overlap; sets are told apart by 128 bits.
     Null and empty texts and texts without words have no shingles and link with nothing: their
@@ -232,21 +240,29 @@ def jaccard_components(
     texts = rows.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
     segments = texts.mapInArrow(_segmenter(words, parts), "k1 long, k2 long, part long, segment array<long>")
     segments = stored(segments.join(wanted.select("k1", "k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2", "part"]), "segments")
-    names = wanted.select("node", "n", "k1", "k2")
-    comp = stored(wanted.select("node", F.col("node").alias("comp")), "comp")
+    # shingles of no other candidate can't be shared: what remains bounds any overlap of the set
+    alone = segments.select("k1", "k2", F.explode("segment").alias("t")).groupBy("t").agg(F.count("*").alias("c"), F.min("k1").alias("k1"), F.min("k2").alias("k2"))
+    alone = alone.where("c = 1").groupBy("k1", "k2").agg(F.count("*").alias("alone"))
+    names = wanted.select("node", "n", "k1", "k2").join(alone, ["k1", "k2"], "left").withColumn("free", F.col("n") - F.coalesce("alone", F.lit(0)))
+    names = stored(names.where(f"100 * free >= {percent} * n").select("node", "n", "free", "k1", "k2"), "names")
+    groups = stored(groups.join(names.select("node", "n", "free"), "node"), "groups")
+    comp = stored(names.select("node", F.col("node").alias("comp")), "comp")
+    can = lambda na, nb, fa, fb: f"{100 + percent} * least({fa}, {fb}) >= {percent} * ({na} + {nb})"
     done = None
     for turn in range(rounds + 1):
-        key = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")
+        key = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp", "n", "free")
         heads = groups.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(key).alias("head")).where("lo <> hi")
-        heads = heads.select("sig", F.col("head.node").alias("x"), F.col("head.comp").alias("cx"))
+        heads = heads.select("sig", F.col("head.node").alias("x"), F.col("head.comp").alias("cx"), F.col("head.n").alias("nx"), F.col("head.free").alias("fx"))
         groups = stored(groups.join(heads, "sig"), "groups")
         if groups.isEmpty():
             break
         if turn < rounds:
-            pairs = groups.where("comp <> cx").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+            pairs = groups.where("comp <> cx").where(can("n", "nx", "free", "fx")).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
         else:
-            other = groups.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"))
-            pairs = groups.join(other, "sig").where("node < b AND comp <> cb").select(F.col("node").alias("a"), "b")
+            one = groups.select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("free").alias("fa"))
+            other = groups.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("free").alias("fb"))
+            near = F.expr(f"a < b AND ca <> cb AND {can('na', 'nb', 'fa', 'fb')}")
+            pairs = one.alias("l").join(other.alias("r"), (F.col("l.sig") == F.col("r.sig")) & near).select("a", "b")
         pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -259,7 +275,7 @@ def jaccard_components(
         joined = components(links.join(at("a"), "a").join(at("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         joined = joined.select(F.col("node").alias("comp"), F.col("component").alias("now"))
         comp = stored(comp.join(joined, "comp", "left").select("node", F.coalesce("now", "comp").alias("comp")), "comp")
-        groups = groups.select("sig", "node").join(comp, "node")
+        groups = groups.select("sig", "node", "n", "free").join(comp, "node")
     whole = of_row.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = whole.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = whole.join(least, "comp", "left")
