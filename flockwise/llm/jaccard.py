@@ -250,7 +250,9 @@ def jaccard_components(
     can = lambda na, nb, fa, fb: f"{100 + percent} * least({fa}, {fb}) >= {percent} * ({na} + {nb})"
     done = None
     for turn in range(rounds + 1):
-        key = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp", "n", "free")
+        # the first leader is a set with fewest shingles of its own: what the others are copies of
+        own = F.col("n") - F.col("free") if turn == 0 else F.lit(0).cast("long")
+        key = F.struct(own.alias("own"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp", "n", "free")
         heads = groups.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(key).alias("head")).where("lo <> hi")
         heads = heads.select("sig", F.col("head.node").alias("x"), F.col("head.comp").alias("cx"), F.col("head.n").alias("nx"), F.col("head.free").alias("fx"))
         groups = stored(groups.join(heads, "sig"), "groups")
