@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from flockwise.llm.common import offsets_of
 
 #: Entries that a cache of a worker process may hold before it starts again.
-CACHE_ROWS = 800_000
+CACHE_ROWS = 400_000
 
 
 class Cache(dict):

@@ -124,14 +124,14 @@ def features(word: str) -> set[str]:
 
 
 class Restorer:
-    """Restored words of whole batches; each distinct word is restored once per worker and model."""
+    """Restored words of whole batches; up to ``limit`` distinct words are kept with their values."""
 
-    def __init__(self, model: CharModel, weigh=None):
-        self.model, self.weigh, self.memo = model, weigh, {}
+    def __init__(self, model: CharModel, weigh=None, limit: int = 200_000):
+        self.model, self.weigh, self.limit, self.memo = model, weigh, limit, {}
 
     def value(self, word: str):
         if word not in self.memo:
-            if len(self.memo) > 600_000:
+            if len(self.memo) > self.limit:
                 self.memo.clear()
             clean = restore(word, self.model) if NOISY.fullmatch(word) else word
             self.memo[word] = self.weigh(clean) if self.weigh else clean
@@ -247,14 +247,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = stored(sample.select("text", "y", F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(2)).alias("fold")), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, seen = Restorer(chars, features), Counter()
-        for batch in slices(batches, 0):
+        restorer, seen = Restorer(chars, features, limit=5_000), Counter()  # a word's parts take far more room than a weight
+        for batch in slices(batches, 0, 1 << 20):
             names, codes, ends = restorer.words(batch.column(0).cast(pa.string()))
             parts = [restorer.value(w) for w in names]
             for i, (y, fold) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 own: set[str] = set().union(*(parts[c] for c in set(codes[ends[i] : ends[i + 1]].tolist())))
                 seen.update((f, fold, y) for f in own)
-            if len(seen) > 1_000_000:
+            if len(seen) > 300_000:
                 yield _counted(seen)
                 seen.clear()
         yield _counted(seen)
