@@ -1,6 +1,6 @@
 """Fits over every session: EM steps, variants, baselines, held-out scores, diagnostics.
 
-Iteration counts are small here, because the queries are checks of the jobs, not studies.
+Every fit runs up to the limit of its preset or operator and stops earlier by its own rule.
 """
 
 from pyspark.sql import functions as F
@@ -22,8 +22,6 @@ from workload.aggregates import binned
 from workload.processes import NB, SMOOTHED, SMOOTHED_PRESENT, fits, fixed_params, gates, laid_out, named, setup
 from workload.registry import query, rounded
 
-QUICK = EM.with_settings(EM.REPLICATION, max_iters=2, n_inner_steps=1)
-
 
 def start(spark, sf, **kw):
     lay = laid_out(spark, sf)
@@ -76,21 +74,21 @@ def nuisance_step(spark, sf):
 
 @query("decay_step")
 def decay_step(spark, sf):
-    return block(spark, sf, lambda p: EM.decay_candidates(p, QUICK), "best", 0.0)
+    return block(spark, sf, lambda p: EM.decay_candidates(p, EM.REPLICATION), "best", 0.0)
 
 
 @query("switch_rate_step")
 def switch_rate_step(spark, sf):
     lay, params, weights = setup(spark, sf)
     xi = S.xi_sums(S.estep(lay, params, weights))
-    return named(EM.switch_rate_table(xi, 0.03, 0.3, C.DT, QUICK))
+    return named(EM.switch_rate_table(xi, 0.03, 0.3, C.DT, EM.REPLICATION))
 
 
 @query("mstep")
 def mstep(spark, sf):
     lay, init = start(spark, sf)
     post = cut_lineage(S.estep(lay, init, EM.start_weights(lay, init, 0.15)))
-    return summary(EM.mstep(lay, init, post.select("fit_id", "b", F.col("g1").alias("w"), "g1"), S.xi_sums(post), QUICK))
+    return summary(EM.mstep(lay, init, post.select("fit_id", "b", F.col("g1").alias("w"), "g1"), S.xi_sums(post), EM.REPLICATION))
 
 
 @query("stability_projection")
@@ -104,7 +102,7 @@ def stability_projection(spark, sf):
 @query("fit_regime_model")
 def fit_regime_model(spark, sf):
     lay, init = start(spark, sf)
-    return named(EM.fit_regime_model(lay, init, QUICK).trace)
+    return named(EM.fit_regime_model(lay, init, EM.REPLICATION).trace)
 
 
 @query("fit_variant")
@@ -113,7 +111,7 @@ def fit_variant(spark, sf):
     out = None
     for variant in ("single_gate", "present_time_gating"):
         init = cut_lineage(EM.init_params(lay.events, C.K, C.M, C.HORIZON))
-        one = EM.fit_regime_model(lay, init, EM.with_settings(QUICK, variant=variant, max_iters=1)).trace.withColumn("variant", F.lit(variant))
+        one = EM.fit_regime_model(lay, init, EM.with_settings(EM.REPLICATION, variant=variant)).trace.withColumn("variant", F.lit(variant))
         out = one if out is None else out.unionByName(one)
     return named(out)
 
@@ -121,7 +119,7 @@ def fit_variant(spark, sf):
 @query("fit_static_gates")
 def fit_static_gates(spark, sf):
     lay, init = start(spark, sf)
-    return named(EM.fit_static_gates(lay, init, QUICK).trace)
+    return named(EM.fit_static_gates(lay, init, EM.REPLICATION).trace)
 
 
 def count_grid(spark, sf):
@@ -132,7 +130,7 @@ def count_grid(spark, sf):
 @query("fit_count_hmm")
 def fit_count_hmm(spark, sf):
     counts = count_grid(spark, sf)
-    return named(B.fit_count_hmm(counts, NB, counts.select("fit_id").distinct().count(), restarts=4, max_iters=8)[0])
+    return named(B.fit_count_hmm(counts, NB, counts.select("fit_id").distinct().count())[0])
 
 
 @query("pairwise_coupling")
@@ -140,19 +138,19 @@ def pairwise_coupling(spark, sf):
     ev = fits(spark, sf)
     win = C.windows(spark, C.events(spark, sf)).withColumnRenamed("session_id", "fit_id")
     seg = PR.pair_segments(ev, win, ["fit_id"], C.M, C.DT)
-    return named(PR.pairwise_coupling(seg, win, ["fit_id"], C.M, iters=4))
+    return named(PR.pairwise_coupling(seg, win, ["fit_id"], C.M))
 
 
 @query("modular_pipeline")
 def modular_pipeline(spark, sf):
     counts = count_grid(spark, sf)
     n = counts.select("fit_id").distinct().count()
-    return named(B.modular_pipeline(fits(spark, sf), counts, C.DT, C.HORIZON, C.K, C.M, n, 3, restarts=2, hmm_iters=4, pair_iters=3)["roles"])
+    return named(B.modular_pipeline(fits(spark, sf), counts, C.DT, C.HORIZON, C.K, C.M, n, 3)["roles"])
 
 
 @query("fit_full_matrix")
 def fit_full_matrix(spark, sf):
-    return summary(B.fit_full_matrix(laid_out(spark, sf), iters=4, every=4))
+    return summary(B.fit_full_matrix(laid_out(spark, sf)))
 
 
 @query("spectral_members")
@@ -174,20 +172,20 @@ def select_posterior_ring(spark, sf):
 
 @query("heldout_regime")
 def heldout_regime(spark, sf):
-    return named(HO.heldout_regime(fits(spark, sf), C.K, C.M, C.DT, C.HORIZON, 0.2, EM.with_settings(EM.REAL_DATA, max_iters=1, n_inner_steps=1)))
+    return named(HO.heldout_regime(fits(spark, sf), C.K, C.M, C.DT, C.HORIZON, 0.2, EM.REAL_DATA))
 
 
 @query("heldout_static")
 def heldout_static(spark, sf):
-    b1 = HO.heldout_static_gates(fits(spark, sf), C.K, C.M, C.DT, C.HORIZON, 0.2, EM.with_settings(EM.REAL_DATA, max_iters=1, n_inner_steps=1)).withColumn("method", F.lit("static_gates"))
-    b3 = HO.heldout_full_matrix(fits(spark, sf), C.K, C.M, C.DT, C.HORIZON, 0.2, iters=3).withColumn("method", F.lit("full_matrix"))
+    b1 = HO.heldout_static_gates(fits(spark, sf), C.K, C.M, C.DT, C.HORIZON, 0.2, EM.REAL_DATA).withColumn("method", F.lit("static_gates"))
+    b3 = HO.heldout_full_matrix(fits(spark, sf), C.K, C.M, C.DT, C.HORIZON, 0.2, iters=200).withColumn("method", F.lit("full_matrix"))
     return named(b1.unionByName(b3))
 
 
 @query("oracle_posterior")
 def oracle_posterior(spark, sf):
     lay = laid_out(spark, sf)
-    return named(D.oracle_posterior(lay, fixed_params(lay), n_iters=4).select("fit_id", "b", "g1", "loglik"))
+    return named(D.oracle_posterior(lay, fixed_params(lay)).select("fit_id", "b", "g1", "loglik"))
 
 
 @query("fit_clamped")
@@ -195,7 +193,7 @@ def fit_clamped(spark, sf):
     lay, init = start(spark, sf)
     star = cut_lineage(S.estep(lay, fixed_params(lay), setup(spark, sf)[2]))
     clamp = D.corrupt_posterior(star.select("fit_id", "b", "g1"), F.lit(0.2), "flatten", 1, ["fit_id", "b"])
-    return summary(D.fit_clamped(lay, init, clamp, cut_lineage(S.xi_sums(star)), EM.with_settings(QUICK, max_iters=1)).params)
+    return summary(D.fit_clamped(lay, init, clamp, cut_lineage(S.xi_sums(star)), EM.REPLICATION).params)
 
 
 @query("dose_response")
@@ -204,5 +202,5 @@ def dose_response(spark, sf):
     ev = binned(C.events(spark, sf))
     truth = I.active_event_truth(ev, I.interval_grid(C.sessions(ev), C.DT), ["session_id"]).select(
         F.col("session_id").alias("fit_id"), "b", F.coalesce("birth_fraction", F.lit(0.0)).alias("birth"), F.col("n_events").alias("n"))
-    out = D.dose_response(lay, fixed_params(lay), init, cut_lineage(truth), [0, 1], 0, 0.25, EM.with_settings(QUICK, max_iters=1), doses=(0.0, 0.5))
+    out = D.dose_response(lay, fixed_params(lay), init, cut_lineage(truth), [0, 1], 0, 0.25, EM.REPLICATION, doses=(0.0, 0.5))
     return named(out)
