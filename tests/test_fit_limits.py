@@ -69,3 +69,31 @@ def test_limits_are_the_operators_own(spark, mocked, query, module, operator, li
         mocked.setattr(HO, "heldout_full_matrix", MagicMock())
     getattr(W, query)(spark, "")
     assert len(seen) == 1 and {k: seen[0][k] for k in limits} == limits
+
+
+def test_every_variant_is_fitted(spark, mocked):
+    fits, starts = calls_of(mocked, EM, "fit_regime_model"), calls_of(mocked, EM, "init_params")
+    W.fit_variant(spark, "")
+    assert [f["s"] for f in fits] == [EM.with_settings(EM.REPLICATION, variant=v) for v in EM.VARIANTS]
+    assert [i["kwargs"]["dense"] for i in starts] == [v == "dense_active_block" for v in EM.VARIANTS]
+
+
+def test_all_doses_are_given(spark, mocked):
+    seen = calls_of(mocked, D, "dose_response")
+    W.dose_response(spark, "")
+    assert seen[0]["doses"] == (0.0, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0)
+
+
+def test_slope_is_resampled_as_often_as_in_the_reference():
+    import __spark_entry__ as entry
+
+    assert "FROM range(1000) r" in entry.oracle_sql()["seed_bootstrap_slope_full"]
+
+
+def test_every_nuisance_block_moves(spark):
+    rows = {(r.block, r.session_id): r for r in W.nuisance_step(spark, "/root/testdata/sf0.001").collect()}
+    names, sessions = {b for b, _ in rows}, {s for _, s in rows}
+    assert names == {"a0", "rho0", "rho1"} and len(rows) == 3 * len(sessions)
+    differ = lambda column, a, b: any(getattr(rows[a, s], column) != getattr(rows[b, s], column) for s in sessions)
+    assert differ("rho0", "rho0", "a0") and differ("rho1", "rho1", "a0") and differ("sum_a0", "a0", "rho0")
+    assert not differ("rho1", "rho0", "a0") and not differ("rho0", "rho1", "a0")

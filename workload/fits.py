@@ -28,9 +28,9 @@ def start(spark, sf, **kw):
     return lay, cut_lineage(EM.init_params(lay.events, C.K, C.M, C.HORIZON, **kw))
 
 
-def summary(params):
+def summary(params, *more):
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    return named(params.select("fit_id", *[total(c).alias(f"sum_{c}") for c in ("nu", "a0", "a1", "g", "h")], "beta0", "beta1", "eta_on", "eta_off"))
+    return named(params.select("fit_id", *[total(c).alias(f"sum_{c}") for c in ("nu", "a0", "a1", "g", "h")], "beta0", "beta1", "eta_on", "eta_off", *more))
 
 
 @query("estep", SMOOTHED)
@@ -57,9 +57,12 @@ def clamped(spark, sf):
     return lay, cur, w
 
 
+def moved(lay, cur, w, propose, rule, tol):
+    return EM._choose(EM._score(lay, R.update(cur, C.K, C.M, propose, EM.WORK), w), rule, tol)
+
+
 def block(spark, sf, propose, rule, tol):
-    lay, cur, w = clamped(spark, sf)
-    return summary(EM._choose(EM._score(lay, R.update(cur, C.K, C.M, propose, EM.WORK), w), rule, tol))
+    return summary(moved(*clamped(spark, sf), propose, rule, tol))
 
 
 @query("gate_step")
@@ -69,7 +72,14 @@ def gate_step(spark, sf):
 
 @query("nuisance_step")
 def nuisance_step(spark, sf):
-    return block(spark, sf, lambda p: EM.block_candidates(p, C.K, C.M, "a0", 0.0025, 0.05, False), "first", 0.0)
+    """Every block from the same start."""
+    lay, cur, w = clamped(spark, sf)
+    cur, out = cut_lineage(cur), None
+    for name in ("a0", "rho0", "rho1"):
+        one = moved(lay, cur, w, lambda p, name=name: EM.block_candidates(p, C.K, C.M, name, 0.0025, 0.05, False), "first", 0.0)
+        one = summary(one, "rho0", "rho1").withColumn("block", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("decay_step")
@@ -109,8 +119,8 @@ def fit_regime_model(spark, sf):
 def fit_variant(spark, sf):
     lay = laid_out(spark, sf)
     out = None
-    for variant in ("single_gate", "present_time_gating"):
-        init = cut_lineage(EM.init_params(lay.events, C.K, C.M, C.HORIZON))
+    for variant in EM.VARIANTS:
+        init = cut_lineage(EM.init_params(lay.events, C.K, C.M, C.HORIZON, dense=variant == "dense_active_block"))
         one = EM.fit_regime_model(lay, init, EM.with_settings(EM.REPLICATION, variant=variant)).trace.withColumn("variant", F.lit(variant))
         out = one if out is None else out.unionByName(one)
     return named(out)
@@ -202,5 +212,5 @@ def dose_response(spark, sf):
     ev = binned(C.events(spark, sf))
     truth = I.active_event_truth(ev, I.interval_grid(C.sessions(ev), C.DT), ["session_id"]).select(
         F.col("session_id").alias("fit_id"), "b", F.coalesce("birth_fraction", F.lit(0.0)).alias("birth"), F.col("n_events").alias("n"))
-    out = D.dose_response(lay, fixed_params(lay), init, cut_lineage(truth), [0, 1], 0, 0.25, EM.REPLICATION, doses=(0.0, 0.5))
+    out = D.dose_response(lay, fixed_params(lay), init, cut_lineage(truth), [0, 1], 0, 0.25, EM.REPLICATION)
     return named(out)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from flockwise.operators import statistics as T
 from workload import canon as C
-from workload.registry import query, rounded
+from workload.registry import SQL, query, rounded
 
 PAIRS = f"{C.RES}, pr AS (SELECT a.window_id, a.seed, a.f1 - b.f1 AS d FROM res a JOIN res b ON a.window_id = b.window_id AND a.seed = b.seed WHERE a.method = 'F' AND b.method = 'O')"
 
@@ -86,6 +86,15 @@ def seed_bootstrap_slope(spark, sf):
     return rounded(T.seed_bootstrap_slope(weak(spark, sf), "seed", "level", "exposure", "recovered", "alpha", "n_eff", 60, 1))
 
 
+#: The reference's number of resamples; the query above stays at the 60 that its SQL draws.
+RESAMPLES = 1000
+
+
+@query("seed_bootstrap_slope_full", SQL["seed_bootstrap_slope"].replace("FROM range(60) r", f"FROM range({RESAMPLES}) r"))
+def seed_bootstrap_slope_full(spark, sf):
+    return rounded(T.seed_bootstrap_slope(weak(spark, sf), "seed", "level", "exposure", "recovered", "alpha", "n_eff", RESAMPLES, 1))
+
+
 @query("task_grid", f"""
 WITH {C.EV}, s AS (SELECT DISTINCT session_id FROM ev) SELECT session_id, seed, strength, method, CAST(hash_ok AS INTEGER) AS is_new FROM s, (SELECT unnest([0, 1, 2]) AS seed), (SELECT unnest([0.5, 1.0]::DOUBLE[]) AS strength),
 (SELECT unnest(['proposed', 'b1', 'b2', 'b3', 'b4']) AS method), (SELECT 1 AS hash_ok) WHERE NOT (seed = 0 AND method = 'b1')""")
