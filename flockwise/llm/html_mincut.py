@@ -31,6 +31,8 @@ AGAINST = frozenset(
     reviews search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar toc topbar widget widgets complementary contentinfo""".split()
 )
 FOR = frozenset("article articlebody body content entry main maincontent post posttext story storybody text".split())
+#: Elements that hold a whole page or text: their own words say nothing against it.
+WHOLE = frozenset("html body main article".split())
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<(script|style|textarea|title)\b[^>]*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S | re.I
 )
@@ -64,7 +66,7 @@ def _element(tag: str, attributes: str, number: int) -> Element:
                 words.update(re.split(r"\s+", value))
             elif name.lower() == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 hidden = True
-        hidden = hidden or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes, re.I))
+        hidden = hidden or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes), re.I))
     return Element(tag, frozenset(words - {""}), hidden, number)
 
 
@@ -121,20 +123,54 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def preference(block: Block) -> int:
+def _suspect(e: Element) -> bool:
+    """A form, or boilerplate words below html, body, main and article: weighed by what the element encloses."""
+    return e.tag == "form" or (e.tag not in WHOLE and bool(e.words & AGAINST))
+
+
+def suspicion(blocks: list[Block]) -> dict[int, float]:
+    """How far each suspect element is boilerplate, by number: 1 up to three quarters of the page's prose, 0 if it holds all.
+
+    Prose is text outside links: that of articles if there is any, else that of main, else all. What
+    lies in suspects with less than half of it is left out before shares are taken.
+    """
+    suspects = {e.number for b in blocks for e in b.path if _suspect(e)}
+    if not suspects:
+        return {}
+    prose = [max(len(b.text) - b.linked, 0) for b in blocks]
+    for tag in ("article", "main"):
+        within = [n if any(e.tag == tag for e in b.path) else 0 for n, b in zip(prose, blocks, strict=True)]
+        if any(within):
+            prose = within
+            break
+
+    def shares() -> dict[int, float]:
+        held = dict.fromkeys(suspects, 0)
+        for n, b in zip(prose, blocks, strict=True):
+            for e in b.path if n else ():
+                if e.number in held:
+                    held[e.number] += n
+        total = max(sum(prose), 1)
+        return {k: n / total for k, n in held.items()}
+
+    small = {k for k, share in shares().items() if share < 0.5}
+    prose = [0 if any(e.number in small for e in b.path) else n for n, b in zip(prose, blocks, strict=True)]
+    return {k: 1.0 if k in small else min(1.0, 4 * (1 - share)) for k, share in shares().items()}
+
+
+def preference(block: Block, suspects: dict[int, float]) -> int:
     """How much dearer it is to call the block boilerplate than content (negative: the other way), in tenths."""
     score = 0
-    inside = outside = False
+    inside, outside = False, 0.0
     for e in block.path:
         if e.tag in ("article", "main") or e.words & {"main"}:
             inside = True
-        if e.tag in ("nav", "footer", "aside", "form", "dialog", "menu") or e.hidden or e.words & AGAINST:
-            outside = True
-        if e.tag == "header" and not inside:
-            outside = True
+        if e.tag in ("nav", "footer", "aside", "dialog", "menu") or e.hidden or (e.tag == "header" and not inside):
+            outside = 1.0
+        outside = max(outside, suspects.get(e.number, 0.0))
     named = any(e.words & FOR for e in block.path)
     score += 40 if inside else (15 if named else 0)
-    score -= 90 if outside else 0
+    score -= round(90 * outside)
     size = len(block.text)
     share = block.linked / max(size, 1)
     score += min(size // 10, 20) - 6
@@ -230,6 +266,7 @@ def main_text(page: str) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
+    suspects = suspicion(blocks)
     edges: dict[tuple[int, int], int] = {}
     last: dict[int, int] = {}
     for i, block in enumerate(blocks):
@@ -240,7 +277,7 @@ def main_text(page: str) -> str:
                 key = (last[up.number], i)
                 edges[key] = max(edges.get(key, 0), smoothness(blocks[key[0]], block) // 2 + 1)
             last[up.number] = i
-    cut = minimum_cut(tuple(preference(b) for b in blocks), tuple((a, b, c) for (a, b), c in sorted(edges.items())))
+    cut = minimum_cut(tuple(preference(b, suspects) for b in blocks), tuple((a, b, c) for (a, b), c in sorted(edges.items())))
     return "\n".join(b.text for b, content in zip(blocks, cut, strict=True) if content)
 
 

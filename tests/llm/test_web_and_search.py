@@ -32,6 +32,32 @@ def test_main_text_of_a_page(spark):
     assert html_mincut.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+ARTICLE = "<h1>A heading.</h1>" + "".join(f"<p>Sentence {i} of the story goes on for quite a while, with commas, and then it ends.</p>" for i in range(6))
+NOISE = """<div class="sidebar"><p>Other stories of this week, picked for you by us.</p></div><div class="comments"><p>I think this is a long comment by a reader. It goes on.</p></div>"""
+
+
+@pytest.mark.parametrize("page", [
+    "<body class='has-sidebar'><article>{a}</article>{n}</body>",
+    "<html class='no-ads'><body><div>{a}</div>{n}</body>",
+    "<main class='search-results'>{a}</main>{n}",
+    "<article class='post hidden-ads'>{a}</article>{n}",
+    "<article class='post hidden wide'>{a}</article>{n}",
+    "<div id='content-header-wrap'><article>{a}</article></div>{n}",
+    "<div class='layout sidebar-right'><div>{a}</div>{n}</div>",
+    "<form id='aspnetForm'><div>{a}</div>{n}</form>",
+    "<form><div class='has-sidebar'><main>{a}</main>{n}</div></form>",
+])
+def test_words_of_wide_ancestors_do_not_cost_the_article(page):
+    want = html_mincut.main_text(f"<article>{ARTICLE}</article>").split("\n")
+    assert len(want) == 7 and html_mincut.main_text(page.format(a=ARTICLE, n=NOISE)).split("\n") == want
+
+
+def test_more_comments_than_article_stay_out():
+    comment = "".join(f"<p>I think this is comment {i}, long and by a reader. It goes on and on.</p>" for i in range(30))
+    got = html_mincut.main_text(f"<article>{ARTICLE}</article><section id='comments'>{comment}</section>")
+    assert "Sentence 5" in got and "comment" not in got
+
+
 def test_minimum_cut_is_least():
     rng = random.Random(5)
     for _ in range(200):
