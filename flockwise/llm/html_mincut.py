@@ -20,10 +20,13 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 SILENT = frozenset("head script style noscript template textarea select button iframe svg object title math canvas audio video datalist option".split())
+#: Silent elements that may lie in their own kind, and tags that a head may hold; any other start tag ends it.
+NESTED = frozenset("object svg math template datalist canvas audio video".split())
+HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that a start tag closes if they are open and nothing else lies between.
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Words of a class, id or role that speak for boilerplate and for content.
 AGAINST = frozenset(
     """ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disclaimer discussion disqus footer gdpr
@@ -70,12 +73,36 @@ def _element(tag: str, attributes: str, number: int) -> Element:
     return Element(tag, frozenset(words - {""}), hidden, number)
 
 
+def _matched(tokens: list[re.Match]) -> set[int]:
+    """Places of the start tags in SILENT that have an end tag of their own."""
+    opened: dict[str, list[int]] = {}
+    out: set[int] = set()
+    for i, m in enumerate(tokens):
+        if m[3] and (tag := m[3].lower()) in SILENT:
+            own = opened.setdefault(tag, [])
+            if m[2]:
+                if own:
+                    out.add(own.pop())
+            else:
+                if tag not in NESTED:
+                    own.clear()
+                own.append(i)
+    return out
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order, with the block elements around them; unclosed elements end with their parent."""
+    """The text blocks of a page in order, with the block elements around them; unclosed elements end with their parent.
+
+    Silent elements are kept on a stack of their own. An end tag also ends what is open inside; option ends option; an
+    element without an end tag ends at the next block, and a head at the first tag or text that it can't hold.
+    """
     stack: list[Element] = []
     out: list[Block] = []
     current = Block(())
-    silent, links, number, at = 0, 0, 0, 0
+    silent: list[tuple[str, bool, int]] = []  # tag, whether it has an end tag, and the block elements around it
+    links, number, at = 0, 0, 0
+    tokens = list(TOKEN.finditer(page))
+    matched = _matched(tokens)
 
     def flush(current: Block) -> Block:
         current.text = " ".join(entities.unescape("".join(current.parts)).split())
@@ -83,25 +110,47 @@ def blocks_of(page: str) -> list[Block]:
             out.append(current)
         return Block(tuple(stack))
 
+    def end_unmatched(depth: int = -1) -> None:
+        while silent and not silent[-1][1] and silent[-1][0] != "head" and silent[-1][2] > depth:
+            silent.pop()
+
     def say(text: str) -> None:
+        if silent and silent[-1][0] == "head" and text.strip() and "<" not in text:
+            silent.pop()
         if text and not silent:
             current.parts.append(text)
             if links:
                 current.linked += len(text)
 
-    for m in TOKEN.finditer(page):
+    for place, m in enumerate(tokens):
         say(page[at : m.start()])
         at = m.end()
         if not m[3]:
             continue  # a comment, a declaration, or an element whose content is no text
         tag, closing = m[3].lower(), bool(m[2])
+        if not closing:
+            if tag in BLOCKS and tag != "html":
+                end_unmatched()
+            if tag == "body":
+                silent.clear()
+            elif silent and silent[-1][0] == "head" and tag not in HEAD:
+                silent.pop()
         if tag in SILENT:
-            if not closing and not m[4].endswith("/"):
-                silent += 1
-            elif closing:
-                silent = max(0, silent - 1)
-        elif tag == "body":
-            silent = 0  # an unclosed head ends here
+            if closing:
+                at_tag = next((k for k in reversed(range(len(silent))) if silent[k][0] == tag), None)
+                if at_tag is not None:
+                    del silent[at_tag:]
+            elif not m[4].endswith("/"):
+                if tag == "option" and silent and silent[-1][0] == "option":
+                    silent.pop()
+                elif tag not in NESTED:  # a second one without an end tag between ends the first
+                    k = len(silent)
+                    while k and not silent[k - 1][1] and silent[k - 1][0] != "head":
+                        k -= 1
+                        if silent[k][0] == tag:
+                            del silent[k:]
+                            break
+                silent.append((tag, place in matched, len(stack)))
         if tag == "a":
             links = 0 if closing else 1
         elif tag == "br":
@@ -112,6 +161,7 @@ def blocks_of(page: str) -> list[Block]:
                 if any(e.tag == tag for e in stack):
                     while stack.pop().tag != tag:
                         pass
+                    end_unmatched(len(stack))
             elif tag not in VOID:
                 while stack and stack[-1].tag in CLOSES.get(tag, ()) or (stack and stack[-1].tag == "p" and tag != "p"):
                     stack.pop()

@@ -52,6 +52,32 @@ def test_words_of_wide_ancestors_do_not_cost_the_article(page):
     assert len(want) == 7 and html_mincut.main_text(page.format(a=ARTICLE, n=NOISE)).split("\n") == want
 
 
+@pytest.mark.parametrize("page", [
+    "<body><select><option>A<option>B<option>C</select>{a}</body>",
+    "<body><select><option>A<option>B</option></select>{a}</body>",
+    "<body><datalist><option value=1>A<option value=2>B</datalist>{a}</body>",
+    "<body><div><select><option>A<option>B</div>{a}</body>",
+    "<body><select><option>A<select><option>B</select>{a}</body>",
+    "<body><iframe src=x>{a}</body>",
+    "<body><iframe src=x>{a}<iframe src=y></iframe></body>",
+    "<body><div><button>Go</div><p></p>{a}</body>",
+    "<body><object data=x><param name=y>{a}</body>",
+    "<body><object><object></object>{a}</body>",
+    "<body><svg><title>T</title><path>{a}</body>",
+    "<html><head><title>T</title><meta charset=utf-8>{a}",
+    "<head><title>T</title><noscript><style>p{{}}</style></noscript><select><option>A<option>B</select>{a}",
+    "<body><template><div>no</div></template><noscript><p>No script. Please turn it on, it is needed here.</p></noscript>{a}</body>",
+    "<body><button>One <b>word</b></button><button>Two</button>{a}</body>",
+])
+def test_silent_elements_end_where_their_text_ends(page):
+    article = f"<article>{ARTICLE}</article>"
+    assert html_mincut.main_text(page.format(a=article)) == html_mincut.main_text(article) != ""
+
+
+def test_text_ends_a_head():
+    assert html_mincut.main_text("<head><title>T</title>Plain text, of a page that has no other tags at all, to the end.") == "Plain text, of a page that has no other tags at all, to the end."
+
+
 def test_more_comments_than_article_stay_out():
     comment = "".join(f"<p>I think this is comment {i}, long and by a reader. It goes on and on.</p>" for i in range(30))
     got = html_mincut.main_text(f"<article>{ARTICLE}</article><section id='comments'>{comment}</section>")
