@@ -27,8 +27,13 @@ CLASSES = 64
 CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
 OTHER = len(ALPHABET) + 1
 NOISY = re.compile(r"(?=.*[^\W\d_])(?:.*[0-9@$!|+(€£].*|.*[^\W\d_][.\-_*~']+[^\W\d_].*|.*([^\W\d_])\1\1.*)", re.S)
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]){3,}[^\W_](?![^\W_])")
-SPACED_RE2 = r"(?:[\pL\pN][ .\-_*]){3}[\pL\pN](?:$|[^\pL\pN])"
+DOUBLED = re.compile(r"([^\W\d_])\1")
+#: Three or more single symbols with up to three separators between any two: a word that is spelled out.
+SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+(€£])(?:[ \t.\-_*~'/\\,:]{1,3}(?:[^\W_]|[@$!|+(€£])){2,}(?![^\W_])")
+SPACED_RE2 = r"(?:[\pL\pN]|[@$!|+(€£])(?:[ \t.\-_*~'/\\,:]{1,3}(?:[\pL\pN]|[@$!|+(€£])){2}(?:$|[^\pL\pN])"
+GAP = re.compile(r"[ \t.\-_*~'/\\,:]+")
+#: Words of up to so many characters may be pieces of one word, and the cost of joining two of them.
+PIECE, JOIN = 3, 1.0
 NGRAMS = (4, 5, 6)
 
 
@@ -89,11 +94,33 @@ def options(run: str, ch: str) -> list[tuple[str, float]]:
 
 
 def restore(word: str, model: CharModel) -> str:
-    """The cheapest path through the lattice of ``word`` under the language model (Viterbi over the last two letters)."""
+    """The cheapest reading of ``word``."""
+    return cheapest([options("".join(same), ch) for ch, same in groupby(word)], model)
+
+
+def restore_spaced(run: str, model: CharModel) -> str:
+    """The cheapest reading of a spelled-out run: each gap is nothing or a space."""
+    lattice, at = [], 0
+    for gap in [*GAP.finditer(run), None]:
+        piece = run[at : gap.start()] if gap else run[at:]
+        lattice += [options("".join(same), ch) for ch, same in groupby(piece)]
+        if gap:
+            lattice.append([("", SKIP), (" ", 1.0)])
+            at = gap.end()
+    return cheapest(lattice, model)
+
+
+def joined(a: str, b: str, model: CharModel) -> str | None:
+    """Two short words as one, if that is the cheaper reading."""
+    out = cheapest([*(options("".join(s), c) for c, s in groupby(a)), [("", JOIN), (" ", 0.0)], *(options("".join(s), c) for c, s in groupby(b))], model)
+    return None if " " in out else out
+
+
+def cheapest(lattice: list[list[tuple[str, float]]], model: CharModel) -> str:
+    """The cheapest path through a lattice of readings under the language model (Viterbi over the last two letters)."""
     best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-    for ch, same in groupby(word):
+    for choices in lattice:
         step: dict[tuple[int, int], tuple[float, tuple]] = {}
-        choices = options("".join(same), ch)
         for (a, b), (cost, path) in best.items():
             for text, extra in choices:
                 x, y, total = a, b, cost + extra
@@ -127,30 +154,59 @@ class Restorer:
     """Restored words of whole batches; up to ``limit`` distinct words are kept with their values."""
 
     def __init__(self, model: CharModel, weigh=None, limit: int = 200_000):
-        self.model, self.weigh, self.limit, self.memo = model, weigh, limit, {}
+        self.model, self.weigh, self.limit, self.memo, self.pairs = model, weigh, limit, {}, {}
 
     def value(self, word: str):
         if word not in self.memo:
             if len(self.memo) > self.limit:
                 self.memo.clear()
             clean = restore(word, self.model) if NOISY.fullmatch(word) else word
+            if clean == word and DOUBLED.search(word):  # doubled letters may be meant: both readings count
+                clean = f"{word} {restore(word, self.model)}"
             self.memo[word] = self.weigh(clean) if self.weigh else clean
         return self.memo[word]
 
     def words(self, texts: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Distinct words, the code of every word, and where each text starts; joined spaced-out words come as more words."""
+        """Distinct words, the code of every word, and where each text starts; words that were spelled out or cut come as more words."""
         low = pc.utf8_lower(texts)
         spaced = pc.match_substring_regex(low, SPACED_RE2).to_numpy(zero_copy_only=False).astype(bool)
         if spaced.any():
             rows = low.to_pylist()
             for i in np.flatnonzero(spaced).tolist():
-                joined = [re.sub(r"[ .\-_*]", "", m) for m in SPACED.findall(rows[i])]
-                rows[i] = " ".join([rows[i], *joined])
+                rows[i] = " ".join([rows[i], *(restore_spaced(m, self.model) for m in SPACED.findall(rows[i]))])
             low = pa.array(rows, pa.string())
         lists = pc.utf8_split_whitespace(low)
         ends = offsets_of(lists)
         flat = lists.flatten().dictionary_encode()
-        return flat.dictionary.to_pylist(), flat.indices.to_numpy(), ends - ends[0]
+        return self._with_pairs(flat.dictionary.to_pylist(), flat.indices.to_numpy(), ends - ends[0])
+
+    def _with_pairs(self, names: list[str], codes: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Adds the joined word after two adjacent short words that read better as one."""
+        cores = [w.rstrip(".,;:?!\"')") for w in names]
+        right = np.fromiter((0 < len(c) <= PIECE and c.isalpha() for c in cores), bool, len(cores))
+        left = right & np.fromiter((c == w for c, w in zip(cores, names, strict=True)), bool, len(cores))
+        letters = np.fromiter(map(len, cores), int, len(cores))
+        a, b = codes[:-1].astype(np.int64), codes[1:].astype(np.int64)
+        ok = left[a] & right[b] & (letters[a] + letters[b] > 2)
+        ok[ends[1:-1][(ends[1:-1] > 0) & (ends[1:-1] < len(codes))] - 1] = False
+        at = np.flatnonzero(ok)
+        if not len(at):
+            return names, codes, ends
+        keys, which = np.unique(a[at] * len(names) + b[at], return_inverse=True)
+        found = np.full(len(keys), -1, np.int64)
+        names = list(names)
+        for k, key in enumerate(keys.tolist()):
+            pair = tuple(cores[i] for i in divmod(key, len(cores)))
+            if pair not in self.pairs:
+                if len(self.pairs) > self.limit:
+                    self.pairs.clear()
+                self.pairs[pair] = joined(*pair, self.model)
+            if self.pairs[pair] is not None:
+                found[k] = len(names)
+                names.append(self.pairs[pair])
+        more = found[which]
+        at, more = at[more >= 0], more[more >= 0]
+        return names, np.insert(codes.astype(np.int64), at + 2, more), ends + np.searchsorted(at + 1, ends, "left")
 
 
 def _evidence(texts: pa.StringArray, restorer: Restorer) -> np.ndarray:

@@ -151,6 +151,24 @@ def test_noisy_words_are_restored():
     assert toxicity.SPACED.findall("you s t u p i d one") == ["s t u p i d"]
 
 
+def test_spaced_doubled_and_cut_words_are_restored():
+    import pyarrow as pa
+
+    text = " ".join(["stupid", "loser", "idiot", "fag", "the", "less", "one", "on", "of", "all", "it", "is"] * 50)
+    counts = {}
+    for out in toxicity._trigram_counts(iter([pa.record_batch({"t": [text]})])):
+        counts = dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
+    restorer = toxicity.Restorer(toxicity.CharModel(counts))
+    noisy = {"i d ! o t": "idiot", "s t u p ! d": "stupid", "i  d  i  o  t": "idiot", "i/d/i/o/t": "idiot", "f a g": "fag", "i d - i . o  t": "idiot", "id iot": "idiot", "stu pid.": "stupid", "iddiiott": "idiot", "stuuppiidd": "stupid"}
+    texts = [f"the one {n} of it" for n in noisy] + ["", "it is all of the one", "the"]
+    names, codes, ends = restorer.words(pa.array(texts))
+    assert len(ends) == len(texts) + 1 and ends[-1] == len(codes)
+    words = [" ".join(restorer.value(names[c]) for c in codes[ends[i] : ends[i + 1]]).split() for i in range(len(texts))]
+    for clean, got in zip(noisy.values(), words, strict=False):
+        assert clean in got, (clean, got)
+    assert words[len(noisy)] == [] and not {"idiot", "stupid", "fag"} & set(words[len(noisy) + 1]) and words[-1] == ["the"]
+
+
 def test_toxicity_learns_without_held_out_labels(spark, documents):
     rng = random.Random(6)
     plain = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
