@@ -11,11 +11,11 @@ RANGES = "array<struct<first:int,last:int>>"
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per line: document key, place, a 128-bit id of its content and its words."""
+    """One row per line: document key, place, a 128-bit id of its content (two hashes of it, from unlike seeds) and its words."""
     text = text_or_empty(text_col)
     lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n", -1)).alias("line", "s"))
     words = F.size(F.filter(F.split("s", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    return lines.select("doc_id", "h", "line", F.xxhash64("s").alias("a"), F.xxhash64("s", F.lit(1)).alias("b"), words.alias("words"))
+    return lines.select("doc_id", "h", "line", F.xxhash64("s").alias("a"), F.xxhash64(F.lit(1), "s").alias("b"), words.alias("words"))
 
 
 def _repeated(lines: DataFrame, min_words: int) -> DataFrame:
