@@ -31,9 +31,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8, that with the smallest id stays."""
-    groups = jaccard.jaccard_components(docs, words=5, percent=80)
-    return docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of documents linked by five-word shingles at a similarity of 0.8, that with the smallest id stays.
+
+    Rows are judged one by one, by a key of their own: of a group one row stays, that with the smallest
+    id, of equal ids that with the smallest key. A row without an id stays only if none of its group has one.
+    """
+    keyed = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    groups = jaccard.jaccard_components(keyed.select(F.col("__row").alias("doc_id"), "text"), words=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias("__row"), "component_id").join(keyed.select("__row", "doc_id"), "__row")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first"))
+    return keyed.join(first.select("first.__row"), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,15 @@ def test_run(spark, planted):
         sequences[r.sequence_id] += r.length
     assert all(n == 4096 or n & (n - 1) == 0 for n in sequences.values())
     assert not re.search("abcdef0123456789", str(out[0]))
+
+
+def test_near_copies_go_by_row(spark, documents):
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(100))
+    a, b, c, d, clean = text(), text(), text(), text(), text()
+    rows = [(1, a), (1, a), (1, a), (2, b), (5, b + " more"), (5, clean), (None, c), (None, c + " more"), (None, d), (7, d + " more"), (8, None), (8, None), (9, "")]
+    got = corpus_pipeline.drop_near_copies(spark, documents(rows), "").collect()
+    kept = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in got)
+    third = [t for i, t in kept if i == -1]
+    assert len(third) == 1 and third[0] in (c, c + " more")
+    assert [k for k in kept if k[0] != -1] == sorted([(1, a), (2, b), (5, clean), (7, d + " more"), (8, ""), (8, ""), (9, "")])
