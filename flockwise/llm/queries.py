@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from flockwise.llm import bpe as _bpe
 from flockwise.llm import exact_dedup as _exact
+from flockwise.llm import hard_negatives as _negatives
 from flockwise.llm import html_mincut as _html
 from flockwise.llm import jaccard as _jaccard
 from flockwise.llm import line_dedup as _lines
 from flockwise.llm import maxscore as _maxscore
+from flockwise.llm import mixing as _mixing
 from flockwise.llm import packing as _packing
 from flockwise.llm import secrets as _secrets
 from flockwise.llm import toxicity as _toxicity
+from flockwise.llm import trie_codes as _codes
 from flockwise.llm import warc as _warc
 from flockwise.llm.common import table
 
@@ -213,3 +216,99 @@ def op6_maxscore(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_html_mincut")
 def op3_html_mincut(spark: SparkSession, sf: str) -> DataFrame:
     return _html.extract(table(spark, sf, "pages"))
+
+
+#: Quality weights of the mix: labelled good, labelled bad; all others weigh 1.
+GOOD, BAD = 2.0, 0.5
+
+
+@query(
+    "op11_source_mixing",
+    r"""
+WITH t AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+q AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 2.0::DOUBLE WHEN quality = 0 THEN 0.5 END) AS weight FROM labels GROUP BY 1),
+k AS (
+  SELECT t.*, -ln((('0x' || md5(concat_ws(':', '0', doc_id, size))[1:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / coalesce(weight, 1.0::DOUBLE) AS key
+  FROM t LEFT JOIN q USING (doc_id)),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM t GROUP BY 1),
+w AS (SELECT *, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS weight FROM s),
+f AS (
+  SELECT *, sum(source_size) OVER () AS total, row_number() OVER o AS place, coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+    sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM w WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST)),
+g AS (SELECT *, (1.5::DOUBLE * CAST(total AS DOUBLE) - CAST(used AS DOUBLE)) / CAST(open AS DOUBLE) AS level FROM f),
+cut AS (SELECT level FROM g WHERE level * weight <= 2.0::DOUBLE * source_size ORDER BY place LIMIT 1),
+aims AS (SELECT source, source_size, least((SELECT level FROM cut) * weight, 2.0::DOUBLE * source_size) AS target FROM w),
+b AS (SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), 2 * source_size) AS budget FROM aims),
+p AS (
+  SELECT k.doc_id, k.size, b.source_size, b.target, b.budget, CASE WHEN b.source_size > 0 THEN b.budget // b.source_size ELSE 0 END AS epochs,
+    sum(k.size) OVER (PARTITION BY k.source ORDER BY key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - k.size AS before
+  FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(least(budget - epochs * source_size - before, size), 0) AS BIGINT) AS taken FROM p
+""",
+)
+def op11_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    weight = F.when(F.col("quality") == 1, GOOD).when(F.col("quality") == 0, BAD)
+    quality = table(spark, sf, "labels").select("doc_id", weight.alias("weight"))
+    return _mixing.mix(table(spark, sf, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0, quality=quality).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    """The rounds of the codebooks one after the other."""
+    head = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT r, vec_id, j.range AS part, e[CAST(j.range * (len(e) // 16) AS INTEGER) + 1 : CAST((j.range + 1) * (len(e) // 16) AS INTEGER)] AS x FROM v, range(16) j),
+b0 AS (SELECT part, n - 1 AS entry, x FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY vec_id NULLS LAST, r) AS n FROM p) WHERE n <= 64)"""
+    near = """,
+a{i} AS (
+  SELECT r, part, any_value(x) AS x, min(struct_pack(d := d, e := entry)) AS m FROM (
+    SELECT p.r, part, p.x, entry, CAST(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM p JOIN b{i} b USING (part))
+  GROUP BY r, part)"""
+    move = """,
+m{i} AS (
+  SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS x FROM (
+    SELECT part, m.e AS entry, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT part, m, x, unnest(range(1, len(x) + 1)) AS i FROM a{i}) GROUP BY 1, 2, 3)
+  GROUP BY 1, 2),
+b{j} AS (SELECT part, entry, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN m{i} m USING (part, entry))"""
+    tail = """,
+c AS (
+  SELECT r, string_agg(printf('%02x', CAST(m.e AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{i} GROUP BY r),
+h AS (SELECT sha256(string_agg(CAST(x[i] AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM b{i}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN c USING (r), h"""
+    steps = [near.format(i=i) + move.replace("{i}", str(i)).replace("{j}", str(i + 1)) for i in range(rounds)]
+    return head + "".join(steps) + near.format(i=rounds) + tail.replace("{i}", str(rounds))
+
+
+@query("op12_trie_codes", _codes_sql())
+def op12_trie_codes(spark: SparkSession, sf: str) -> DataFrame:
+    coded = _codes.encode(table(spark, sf, "embeddings"), parts=16, entries=64, rounds=2)
+    return _codes.with_label_error(coded.rows).select("vec_id", "code", "error", "label_error", F.lit(coded.digest()).alias("codebooks_sha256"))
+
+
+@query(
+    "op13_hard_negatives",
+    r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.e, c.e), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same) WHERE place <= 5),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+""",
+)
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _negatives.prepared(table(spark, sf, "embeddings").select("vec_id", "embedding", label.alias("label")))
+    return _negatives.mine(rows, rows.where("vec_id % 100 = 0"), positives=5, negatives=10, low=30, high=90, scale=100)
