@@ -15,6 +15,8 @@ from flockwise.operators.history import EPS, Segment, unpack_state
 LONG = 512
 #: Event-candidate rows that are expanded together.
 EXPAND = 60_000
+#: Fits up to this size may be met pair by pair, so many pairs at a time.
+PAIRED, PAIRS = 192, 1_000_000
 
 
 def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -23,48 +25,33 @@ def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-class Chunk:
-    """Events of a chunk in order, their interval weights, and the parameter rows of its fits."""
+class Events:
+    """Events of a chunk in order, and where each of its fits begins."""
 
-    def __init__(self, pdf: pd.DataFrame, ctx: pd.DataFrame, K: int, M: int):
+    def __init__(self, pdf: pd.DataFrame, K: int, M: int):
         pdf = pdf.sort_values("pos", kind="stable")
+        self._hold(K, M, pdf["fit_id"].to_numpy(), *(pdf[c].to_numpy() for c in ("t", "b", "actor", "mark", "t_end")))
+
+    def _hold(self, K, M, fit_id, t, b, i, m, t_end) -> None:
         self.K, self.M, self.S = K, M, K * M
-        self.t, self.b, self.i, self.m, self.t_end = (pdf[c].to_numpy() for c in ("t", "b", "actor", "mark", "t_end"))
-        self.src = self.i * M + self.m
-        ids = pdf["fit_id"].to_numpy()
-        self.heads = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        self.sizes = np.diff(np.r_[self.heads, len(ids)])
-        index = pd.Index(ids[self.heads])
-        place = np.repeat(np.arange(len(index)), self.sizes)
-        kinds = dict(iter(ctx.groupby("kind")))
-        rows = kinds["p"].sort_values(["fit_id", "cand"])
-        rows = rows.assign(at=index.get_indexer(rows["fit_id"])).query("at >= 0")
-        self.fit_ids, self.cands, self.fit_of = rows["fit_id"].to_numpy(), rows["cand"].to_numpy(), rows["at"].to_numpy()
-        flat = np.stack(rows["arr"].to_list()) if len(rows) else np.empty((0, 0))
-        cut = np.cumsum([K * M, K * K, K * K, M * M, M * M]) if len(rows) else None
-        if cut is not None:
-            nu, a0, a1, r0, r1, decays = np.split(flat, cut, axis=1)
-            self.nu, self.a0, self.a1 = nu.reshape(-1, K, M), a0.reshape(-1, K, K), a1.reshape(-1, K, K)
-            self.rho0, self.rho1, self.decays = r0.reshape(-1, M, M), r1.reshape(-1, M, M), decays
-        self.w = self.g1 = np.ones(len(ids))
-        if "g" in kinds:
-            g = kinds["g"]
-            at, width = index.get_indexer(g["fit_id"]), int(max(g["b"].max(), self.b.max())) + 1
-            table = np.ones((len(index) * width, 2))
-            table[(at * width + g["b"].to_numpy())[at >= 0]] = np.stack(g["arr"].to_list())[at >= 0]
-            self.w, self.g1 = table[place * width + self.b].T
-        self.carried = {}
-        if "c" in kinds:
-            self.carried = {(f, c): unpack_state(a, self.S) for f, c, a in kinds["c"][["fit_id", "cand", "arr"]].itertuples(index=False)}
+        self.t, self.b, self.i, self.m, self.t_end = t, b, i, m, t_end
+        self.src = i * M + m
+        self.heads = np.flatnonzero(np.r_[True, fit_id[1:] != fit_id[:-1]]) if len(fit_id) else np.zeros(0, int)
+        self.sizes = np.diff(np.r_[self.heads, len(fit_id)])
+        self.ids = fit_id[self.heads]
+        self.w = np.ones(len(fit_id))
+
+    def taken(self, keep: np.ndarray) -> Events:
+        """The events of some of the fits."""
+        out, at = Events.__new__(Events), np.repeat(keep, self.sizes)
+        out._hold(self.K, self.M, np.repeat(self.ids, self.sizes)[at], *(x[at] for x in (self.t, self.b, self.i, self.m, self.t_end)))
+        return out
 
-    def histories(self):
-        """Traces before each event per distinct (fit, decays): rows of R, pre and same, each history's start, and each row's history."""
-        keys, first, of = np.unique(np.column_stack([self.fit_of, self.decays]), axis=0, return_index=True, return_inverse=True)
-        fit, b0, b1 = keys[:, 0].astype(int), keys[:, 1], keys[:, 2]
+    def traces(self, fit: np.ndarray, b0: np.ndarray, b1: np.ndarray, carry: list):
+        """Traces before each event for histories (fit, decays, carried state): rows of R, pre and same, and each history's start."""
         sizes, heads = self.sizes[fit], self.heads[fit]
         starts = np.cumsum(sizes) - sizes
         R, pre, same = (np.empty((int(sizes.sum()), self.S)) for _ in range(3))
-        carry = [self.carried.get((self.fit_ids[p], self.cands[p])) for p in first]
         for h in np.flatnonzero(sizes > LONG):
             here, out = slice(heads[h], heads[h] + sizes[h]), slice(starts[h], starts[h] + sizes[h])
             ev = {"t": self.t[here], "b": self.b[here], "actor": self.i[here], "mark": self.m[here]}
@@ -72,7 +59,43 @@ class Chunk:
             R[out], pre[out], same[out] = seg.R, seg.pre, seg.same
         short = np.flatnonzero(sizes <= LONG)
         self._step(short[np.argsort(-sizes[short], kind="stable")], sizes, heads, starts, b0, b1, carry, R, pre, same)
-        return R, pre, same, starts, of.ravel()
+        return R, pre, same, starts
+
+    def pair_blocks(self) -> list[tuple]:
+        """Fits of up to ``PAIRED`` events in blocks of like sizes: their numbers, their events' places, what of them is filled, and per pair whether one is
+        earlier, the time since then and whether both share an interval; then the sources."""
+        small = np.flatnonzero(self.sizes <= PAIRED)
+        small = small[np.argsort(self.sizes[small], kind="stable")]
+        blocks, lo = [], 0
+        while lo < len(small):
+            hi = lo + 1
+            while hi < len(small) and (hi + 1 - lo) * self.sizes[small[hi]] ** 2 <= PAIRS:
+                hi += 1
+            fits, width = small[lo:hi], int(self.sizes[small[hi - 1]])
+            filled = np.arange(width) < self.sizes[fits][:, None]
+            at = np.where(filled, self.heads[fits][:, None] + np.arange(width), self.heads[fits][:, None])
+            t, b = self.t[at], self.b[at]
+            earlier = np.tri(width, k=-1, dtype=bool) & filled[:, None, :]
+            since = np.where(earlier, t[:, :, None] - t[:, None, :], 0.0)
+            blocks.append((fits, at, filled, earlier, since, b[:, :, None] == b[:, None, :], np.eye(self.S)[self.src[at]]))
+            lo = hi
+        return blocks
+
+    def paired_traces(self, blocks: list[tuple], b0, b1, wanted: np.ndarray, out: tuple, routine: bool = True, active: bool = True) -> None:
+        """Fill ``out`` (R, pre, same) for the wanted fits among ``blocks``: each event meets all earlier ones of its fit."""
+        for block in blocks:
+            k = wanted[block[0]]
+            if not k.any():
+                continue
+            f, rows, full, earlier, gap, near, source = block if k.all() else (x[k] for x in block)
+            faded = lambda b, f=f, gap=gap, earlier=earlier: np.exp(-b[f, None, None] * gap, where=earlier, out=np.zeros_like(gap))
+            if routine:
+                out[0][rows[full]] = ((faded(b0) @ source) * b0[f, None, None])[full]
+            if active:
+                fade = faded(b1)
+                inside = np.where(near, fade, 0.0)
+                out[2][rows[full]] = ((inside @ source) * b1[f, None, None])[full]
+                out[1][rows[full]] = (((fade - inside) @ (source * self.w[rows][:, :, None])) * b1[f, None, None])[full]
 
     def _step(self, hs, sizes, heads, starts, b0, b1, carry, R, pre, same):
         if not len(hs):
@@ -101,6 +124,41 @@ class Chunk:
             now[each, src] += b1[:n]
             last_t[:n], last_b[:n] = self.t[row], self.b[row]
 
+
+class Chunk(Events):
+    """Events of a chunk, their interval weights, and the parameter rows of its fits."""
+
+    def __init__(self, pdf: pd.DataFrame, ctx: pd.DataFrame, K: int, M: int):
+        super().__init__(pdf, K, M)
+        index = pd.Index(self.ids)
+        place = np.repeat(np.arange(len(index)), self.sizes)
+        kinds = dict(iter(ctx.groupby("kind")))
+        rows = kinds["p"].sort_values(["fit_id", "cand"])
+        rows = rows.assign(at=index.get_indexer(rows["fit_id"])).query("at >= 0")
+        self.fit_ids, self.cands, self.fit_of = rows["fit_id"].to_numpy(), rows["cand"].to_numpy(), rows["at"].to_numpy()
+        flat = np.stack(rows["arr"].to_list()) if len(rows) else np.empty((0, 0))
+        cut = np.cumsum([K * M, K * K, K * K, M * M, M * M]) if len(rows) else None
+        if cut is not None:
+            nu, a0, a1, r0, r1, decays = np.split(flat, cut, axis=1)
+            self.nu, self.a0, self.a1 = nu.reshape(-1, K, M), a0.reshape(-1, K, K), a1.reshape(-1, K, K)
+            self.rho0, self.rho1, self.decays = r0.reshape(-1, M, M), r1.reshape(-1, M, M), decays
+        self.g1 = np.ones(len(self.t))
+        if "g" in kinds:
+            g = kinds["g"]
+            at, width = index.get_indexer(g["fit_id"]), int(max(g["b"].max(), self.b.max())) + 1
+            table = np.ones((len(index) * width, 2))
+            table[(at * width + g["b"].to_numpy())[at >= 0]] = np.stack(g["arr"].to_list())[at >= 0]
+            self.w, self.g1 = table[place * width + self.b].T
+        self.carried = {}
+        if "c" in kinds:
+            self.carried = {(f, c): unpack_state(a, self.S) for f, c, a in kinds["c"][["fit_id", "cand", "arr"]].itertuples(index=False)}
+
+    def histories(self):
+        """Traces per distinct (fit, decays), and each row's history."""
+        keys, first, of = np.unique(np.column_stack([self.fit_of, self.decays]), axis=0, return_index=True, return_inverse=True)
+        carry = [self.carried.get((self.fit_ids[p], self.cands[p])) for p in first]
+        return *self.traces(keys[:, 0].astype(int), keys[:, 1], keys[:, 2], carry), of.ravel()
+
     def score_and_gradient(self, horizon: float, gradient: bool) -> list[tuple]:
         """Rows (fit, candidate, [Q, gradients in A1, A0, rho0, rho1]) of this chunk's events."""
         if not len(self.fit_of):

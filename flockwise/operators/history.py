@@ -10,7 +10,7 @@ chunk in parallel and carried forward by a segmented scan whose groups have boun
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -31,9 +31,9 @@ EPS = 1e-9
 class Layout:
     """Ordered, chunked events and the shape of their model."""
 
-    events: DataFrame  # fit_id, chunk, pos, event_id, t, actor, mark, b, t_end
+    events: DataFrame  # fit_id, chunk, pos, event_id, t, actor, mark, b, t_end, cut (its fit spans chunks)
     cells: DataFrame  # chunk, fit_id, b
-    fits: DataFrame  # chunk, fit_id
+    fits: DataFrame  # chunk, fit_id, cut
     n_chunks: int
     n_fits: int
     spans: bool  # some fit is larger than a chunk, so state must be carried
@@ -92,6 +92,7 @@ def layout(events: DataFrame, k: int, m: int, dt: float, horizon: float, chunk_r
         .withColumn("chunk", F.floor(anchor / chunk_rows).cast("long"))
         .withColumn("b", b)
         .withColumn("t_end", F.least((F.col("b") + 1) * F.lit(float(dt)), F.lit(float(horizon))))
+        .withColumn("cut", F.col("__size") > chunk_rows)
         .drop("__first", "__size")
     )
     n_chunks = max(1, -(-total // chunk_rows))
@@ -99,10 +100,19 @@ def layout(events: DataFrame, k: int, m: int, dt: float, horizon: float, chunk_r
     cells = out.select("chunk", "fit_id", "b").distinct().persist()
     seen = sizes.agg(F.count(F.lit(1)).alias("fits"), F.max("__size").alias("largest")).first()
     spans = (seen["largest"] or 0) > chunk_rows
-    fits = cells.select("chunk", "fit_id").distinct().persist()
+    fits = out.select("chunk", "fit_id", "cut").distinct().persist()
     return Layout(out, cells, fits, n_chunks, seen["fits"], spans, k, m, float(dt), float(horizon), events.filter(~in_domain(0.0, horizon, k, m)).select("fit_id"))
 
 
+def parted(lay: Layout) -> tuple[Layout, Layout | None]:
+    """The fits that lie whole in a chunk, and those that span chunks, if there are any."""
+    if not lay.spans:
+        return lay, None
+    whole = replace(lay, events=lay.events.filter("NOT cut"), fits=lay.fits.filter("NOT cut"), spans=False)
+    spanning = replace(lay, events=lay.events.filter("cut"), fits=lay.fits.filter("cut"))
+    return tuple(replace(x, cells=lay.cells.join(x.fits.select("chunk", "fit_id"), ["chunk", "fit_id"], "left_semi")) for x in (whole, spanning))
+
+
 # --- numpy inside a chunk ---------------------------------------------------------------
 
 

@@ -218,6 +218,7 @@ def posterior_gap(df: DataFrame, keys: Sequence[str], hat: str, star: str, truth
         F.max("__gap").alias("gap_max"), F.avg("__gap").alias("gap_mean"), wmean(F.col("__gap")).alias("gap_wmean"),
         wmean(F.abs(b - tr)).alias("bayes_gap_wmean"),
         wmean((F.col("__h") - tr) * (F.col("__h") - tr)).alias("brier_hat"), wmean((b - tr) * (b - tr)).alias("brier_star"),
-        F.when((F.stddev_pop("__h") > 1e-12) & (F.stddev_pop(tr) > 1e-12), F.corr("__h", tr)).alias("truth_corr"),
+        # not corr(): an aggregate divides before the condition is looked at
+        F.when((F.stddev_pop("__h") > 1e-12) & (F.stddev_pop(tr) > 1e-12), F.covar_pop("__h", tr) / (F.stddev_pop("__h") * F.stddev_pop(tr))).alias("truth_corr"),
     )
     return out.join(p95, list(keys)).withColumn("gap_over_lambda", F.col("gap_wmean") / lam)

@@ -193,15 +193,11 @@ def _rows(keys, b0, g, x, log_z, first):
     return parts
 
 
-def _check(log_z):
-    if not np.all(np.isfinite(log_z)):
-        raise FloatingPointError("smoothing produced a non-finite log normaliser")
-
-
 def forward_backward(emissions: DataFrame, chains: DataFrame, n_intervals: int, n_series: int, block: int = 65536) -> DataFrame:
     """Posterior ``g0, g1``, the posterior of the transition into each interval, and loglik.
 
-    ``emissions`` has ``fit_id, cand, b, ell0, ell1`` on a dense grid; ``chains`` has one row
+    A series whose emissions are not finite has a loglik that is not finite, which says that its posterior is void;
+    the other series are not touched. ``emissions`` has ``fit_id, cand, b, ell0, ell1`` on a dense grid; ``chains`` has one row
     of transition and start probabilities per series. Series are smoothed side by side. A grid
     longer than ``block`` is cut: 2x2 log-matrix products per block run in parallel, a fold of
     one small matrix per block gives the messages at block borders, and blocks are then
@@ -222,7 +218,6 @@ def forward_backward(emissions: DataFrame, chains: DataFrame, n_intervals: int,
                 first = np.ones(len(keys), dtype=bool)
                 prod = block_products(log_e, log_p, first)
                 log_z = _lse((log_pi[:, :, None] + prod).reshape(len(keys), 4), 1)
-                _check(log_z)
                 g, x = block_smooth(log_e, log_p, log_pi, np.zeros((len(keys), 2)), first, log_z)
                 parts += _rows(keys, b0, g, x, log_z, first)
             return pd.concat(parts) if parts else pd.DataFrame(columns=SMOOTH_COLS)
@@ -253,7 +248,6 @@ def forward_backward(emissions: DataFrame, chains: DataFrame, n_intervals: int,
             leave.append(_lse(m + leave[-1][None, :], 1))
         leave.reverse()
         log_z = float(_lse(enter[-1], 0))
-        _check(np.array([log_z]))
         return pd.DataFrame({"fit_id": pdf["fit_id"], "cand": pdf["cand"], "block": pdf["block"], "enter": [x.tolist() for x in enter[:-1]],
                              "leave": [x.tolist() for x in leave], "log_z": log_z})
 

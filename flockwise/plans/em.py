@@ -1,6 +1,8 @@
 """Distributed EM for the two-regime self-exciting model, many fits per job.
 
-Every step is either a pass over the chunked events (sums per fit and candidate) or a map
+Fits that lie whole in a chunk are fitted inside its task, see ``local``: one pass over the
+events, whatever the number of iterations. A fit that spans chunks is fitted by passes over them.
+There, every step is either a pass over the chunked events (sums per fit and candidate) or a map
 over parameter rows. Step sizes are not tried one after the other: all halvings of a step are
 candidates of one pass, which also returns the gradient at each candidate, so a block step
 costs one pass over the events. Progress is kept in reliable storage after each step.
@@ -20,8 +22,11 @@ from flockwise.functions import scalar as S
 from flockwise.operators import likelihood as L
 from flockwise.operators import profile as P
 from flockwise.operators import smoothing as SM
-from flockwise.operators.history import Layout, layout, place_weights
+from flockwise.operators.history import Layout, layout, parted, place_weights
+from flockwise.plans import local
 from flockwise.plans import rows as R
+from flockwise.plans import steps as T
+from flockwise.plans.steps import decay_projection, switch_rates  # noqa: F401
 from flockwise.session import cut_lineage
 
 VARIANTS = ("full_model", "single_gate", "dense_active_block", "shared_beta", "shared_beta_rho", "present_time_gating")
@@ -83,159 +88,58 @@ def floored_rates(eta_on, eta_off, share: float):
     return F.greatest(eta_on, F.lit(share / (1 - share)) * F.greatest(eta_off, F.lit(1e-12))), eta_off
 
 
-def switch_rates(x, occ0: float, occ1: float, on: float, off: float, delta: float, s: Settings) -> tuple[float, float]:
-    """Maximise the expected transition log-likelihood plus priors over (log s, logit π).
-
-    Only four sums enter, so a grid around the current point is refined until it is far below
-    the tolerance of the data.
-    """
-    if not np.any(x > 0):
-        return float(np.clip(on, 1e-4, 5.0)), float(np.clip(max(off, s.eta_off_floor), 1e-4, 5.0))
-    occ = occ1 / max(occ0 + occ1, 1e-9)
-    rate = max(on + off, 1e-4)
-    pi = float(np.clip(on / rate, max(occ * 0.5, 1e-4), min(max(occ * 1.5, 1e-3), 1 - 1e-4)))
-    logit = lambda p: float(np.log(np.clip(p, 1e-9, 1 - 1e-9)) - np.log1p(-np.clip(p, 1e-9, 1 - 1e-9)))
-    ref_s, ref_pi = np.log(rate), logit(np.clip(occ if s.eta_pi1_target is None else s.eta_pi1_target, 1e-4, 1 - 1e-4))
-
-    def objective(ls, lp):
-        r, p1 = np.exp(ls), 1.0 / (1.0 + np.exp(-lp))
-        e = np.exp(-r * delta)
-        p01, p10 = p1 * (1 - e), (1 - p1) * (1 - e)
-        probs = [1 - p01, p01, p10, 1 - p10]
-        q = sum(w * np.log(np.clip(p, 1e-12, 1.0)) for w, p in zip(x, probs))
-        q = q - 0.5 * s.eta_prior_s * (ls - ref_s) ** 2 - 0.5 * s.eta_prior_pi * (lp - ref_pi) ** 2
-        if s.eta_beta_kappa > 0:
-            t = float(np.clip(s.eta_beta_target, 1e-4, 1 - 1e-4))
-            q = q + (s.eta_beta_kappa * t - 1) * np.log(np.clip(p1, 1e-12, 1)) + (s.eta_beta_kappa * (1 - t) - 1) * np.log(np.clip(1 - p1, 1e-12, 1))
-        if s.eta_gamma_weight > 0:
-            q = q + s.eta_gamma_weight * ((s.eta_gamma_shape - 1) * ls - s.eta_gamma_rate * r)
-        return q
-
-    c, width = np.array([ref_s, logit(pi)]), np.array([3.0, 3.0])
-    for _ in range(14):
-        a = np.clip(c[0] + width[0] * np.linspace(-1, 1, 9), np.log(1e-6), np.log(50.0))
-        b = np.clip(c[1] + width[1] * np.linspace(-1, 1, 9), -20.0, 20.0)
-        q = objective(a[:, None], b[None, :])
-        i, j = np.unravel_index(np.argmax(q), q.shape)
-        c = np.array([a[i], b[j]])
-        width = np.where([i in (0, 8), j in (0, 8)], width, width * 0.4)
-    r, p1 = np.exp(c[0]), 1.0 / (1.0 + np.exp(-c[1]))
-    off = max((1 - p1) * r, s.eta_off_floor)
-    return float(np.clip(p1 * r, 1e-4, 5.0)), float(np.clip(off, 1e-4, 5.0))
-
-
 def switch_rate_table(xi: DataFrame, on: float, off: float, delta: float, s: Settings) -> DataFrame:
     """Switch rates per fit from its expected transitions and occupancies."""
     def run(batches):
         for pdf in batches:
-            x = pdf[["x00", "x01", "x10", "x11"]].to_numpy(dtype=float)
-            got = [switch_rates(np.nan_to_num(r), a * delta, b * delta, on, off, delta, s) for r, a, b in zip(x, pdf["occ0"], pdf["occ1"])]
-            yield pdf[["fit_id", "loglik"]].assign(eta_on=[g[0] for g in got], eta_off=[g[1] for g in got])
+            x = np.nan_to_num(pdf[["x00", "x01", "x10", "x11"]].to_numpy(dtype=float))
+            new = switch_rates(x, pdf["occ0"].to_numpy() * delta, pdf["occ1"].to_numpy() * delta, on, off, delta, s)
+            yield pdf[["fit_id", "loglik"]].assign(eta_on=new[0], eta_off=new[1])
 
     return xi.mapInPandas(run, "fit_id long, loglik double, eta_on double, eta_off double")
 
 
-def gradient(vec, K: int, M: int):
-    v = np.array(vec, dtype=float)[1:]
-    a, b, c, d = np.split(v, np.cumsum([K * K, K * K, M * M]))
-    return a.reshape(K, K), b.reshape(K, K), c.reshape(M, M), d.reshape(M, M)
+def gradients(vec, K: int, M: int) -> tuple:
+    """Slopes in A1, A0, rho0 and rho1 from stacked sums."""
+    v = np.stack([np.asarray(x, float) for x in vec])[:, 1:]
+    a, b, c, d = np.split(v, np.cumsum([K * K, K * K, M * M]), axis=1)
+    return a.reshape(-1, K, K), b.reshape(-1, K, K), c.reshape(-1, M, M), d.reshape(-1, M, M)
 
 
-def gate_candidates(p: dict, K: int, M: int, lg: float, lh: float, le: float, lr: float) -> list[dict]:
-    """Current row and the six halvings of a proximal step in g, h, U, V."""
-    d = gradient(p["vec"], K, M)[0]
-    np.fill_diagonal(d, 0.0)
-    _, sp, slope = R.coupling(p["g"], p["h"], p["u"], p["v"])
-    inner = np.outer(p["g"], p["h"]) * d * slope
-    grads = [np.nan_to_num(x) for x in ((d * sp) @ p["h"], (d * sp).T @ p["g"], inner @ p["v"], inner.T @ p["u"])]
-    norm = float(np.sqrt(sum(np.sum(x * x) for x in grads)))
-    out = [{**p, "cand": 0, "pen": 0.0}]
-    if norm == 0.0 or p.get("stop"):
-        return out
-    dg, dh, du, dv = [x * min(1.0, 50.0 / norm) for x in grads]
+def _candidate(p: dict, number: int, pen=0.0) -> dict:
+    n = len(p["fit_id"])
+    return {**p, "cand": np.full(n, number), "pen": np.broadcast_to(np.asarray(pen, float), n), "vec": np.full(n, None) if number else p["vec"]}
 
-    def shrink(x, step):
-        return x * np.maximum(0.0, 1.0 - step * le / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12))
 
-    for c in range(6):
-        st = lr * 0.5**c
-        q = {**p, "cand": c + 1, "pen": 0.0, "vec": None, "g": np.maximum(0.0, p["g"] + st * dg - st * lg), "h": np.maximum(0.0, p["h"] + st * dh - st * lh),
-             "u": shrink(p["u"] + st * du, st), "v": shrink(p["v"] + st * dv, st)}
-        out.append(R.with_coupling(q))
-    return out
+def gate_candidates(p: dict, K: int, M: int, lg: float, lh: float, le: float, lr: float) -> list[dict]:
+    """Current rows and the halvings of a proximal step in g, h, U, V."""
+    to, can = T.gate_directions(p, gradients(p["vec"], K, M)[0])
+    can &= ~p["stop"].astype(bool)
+    some, to = R.taken(p, can), R.taken(to, can)
+    return [_candidate(p, 0)] + [_candidate(T.moved_gates(some, to, lr * 0.5**c, lg, lh, le), c + 1) for c in range(T.HALVINGS) if can.any()]
 
 
 def block_candidates(p: dict, K: int, M: int, block: str, step: float, ridge: float, diagonal: bool) -> list[dict]:
-    """Current row and six halvings of a projected step in A0, rho0 or rho1."""
-    _, g0, gr0, gr1 = gradient(p["vec"], K, M)
-    out = [{**p, "cand": 0, "pen": ridge * float(np.sum(p["a0"] ** 2))}]
-    if block == "a0":
-        grad = g0 - 2.0 * ridge * p["a0"]
-        if not diagonal:
-            np.fill_diagonal(grad, 0.0)
-        project = lambda x: np.clip(x, 0.0, 2.0)
-    else:
-        raw = gr0 if block == "rho0" else gr1
-        grad = raw - np.sum(raw * p[block], axis=1, keepdims=True)
-        project = R.project_rows
-    if not np.all(np.isfinite(grad)) or not np.any(grad):
-        return out
-    for c in range(6):
-        x = project(p[block] + step * 0.5**c * grad)
-        q = {**p, "cand": c + 1, "vec": None, block: x}
-        q["pen"] = ridge * float(np.sum(q["a0"] ** 2))
-        out.append(q)
-    return out
+    """Current rows and the halvings of a projected step in A0, rho0 or rho1."""
+    slope, can = T.block_direction(p, block, dict(zip(("a1", "a0", "rho0", "rho1"), gradients(p["vec"], K, M), strict=True))[block], ridge, diagonal)
+    some, slope = R.taken(p, can), slope[can]
+    moved = [T.moved_block(some, block, slope, step * 0.5**c) for c in range(T.HALVINGS) if can.any()]
+    return [_candidate(p, 0, T.ridge_of(p, ridge))] + [_candidate(q, c, T.ridge_of(q, ridge)) for c, q in enumerate(moved, 1)]
 
 
-def decay_projection(b0: float, b1: float, s: Settings) -> tuple[float, float]:
-    """The decays as a mean and a half-gap of logarithms: the gap is widened to the least one, then both ends are bounded."""
-    low, high, gap = np.log([s.beta_min, s.beta_max, s.beta_ratio])
-    u = np.clip(np.log(np.maximum([b0, b1], 1e-300)), low, high)
-    half = max(u[1] - u[0], gap) / 2
-    first = float(np.clip(u.mean() - half, low, high))
-    second = float(np.clip(u.mean() + half, min(first + gap, high), high))
-    return float(np.exp(first)), float(np.exp(second))
-
-
-def decay_candidates(p: dict, s: Settings, factors=(0.75, 1.0, 1.3)) -> list[dict]:
-    """Projected grid around the current decays; an infeasible current point never wins."""
-    here = (p["beta0"], p["beta1"])
-    label = lambda pair: tuple(np.round(np.log(pair), 12))
-    feasible = label(decay_projection(*here, s)) == label(here)
-    grid = {label(q): q for q in (decay_projection(here[0] * a, here[1] * b, s) for a in factors for b in factors)}
-    grid.pop(label(here), None)
-    out = [{**p, "cand": 0, "pen": 0.0 if feasible else float("inf")}]
-    return out + [{**p, "cand": i, "vec": None, "pen": 0.0, "beta0": q[0], "beta1": q[1]} for i, q in enumerate(grid.values(), 1)]
-
-
-def enforce(p: dict, variant: str) -> dict:
-    if variant == "single_gate":
-        g = 0.5 * (p["g"] + p["h"])
-        p = {**p, "g": g, "h": g.copy()}
-    elif variant == "dense_active_block":
-        p = {**p, "u": np.eye(len(p["g"]))}
-    elif variant in ("shared_beta", "shared_beta_rho"):
-        b = 0.5 * (p["beta0"] + p["beta1"])
-        p = {**p, "beta0": b, "beta1": b}
-        if variant == "shared_beta_rho":
-            r = R.project_rows(0.5 * (p["rho0"] + p["rho1"]))
-            p = {**p, "rho0": r, "rho1": r.copy()}
-    return R.with_coupling(p)
-
-
-def stabilise(p: dict, threshold: float, target: float, keep_a0: bool, gates_only: bool = False) -> tuple[dict, float]:
-    """Shrink the coupling by ``target / radius`` where the joint branching matrix's spectral radius is over the threshold.
-
-    The active part is a product of two gates, so each takes the factor's square root; the other part takes all of it, or none.
-    """
-    radius = R.spectral_radius(p["a0"] + p["a1"])
-    if not (np.isfinite(radius) and radius > threshold):
-        return p, radius
-    factor = float(np.clip(target / radius, 0.0, 1.0))
-    powers = {"g": 0.5, "h": 0.5} if keep_a0 or gates_only else {"g": 0.5, "h": 0.5, "a0": 1.0}
-    q = R.with_coupling({**p, **{name: p[name] * factor**power for name, power in powers.items()}})
-    return q, R.spectral_radius(q["a0"] + q["a1"])
+def decay_offset_candidates(p: dict, s: Settings) -> list[dict]:
+    """Current rows, and those that forward differences in both decays compare with them."""
+    return [_candidate(p, 0)] + [_candidate({**p, "beta0": a, "beta1": b}, c) for c, (a, b) in enumerate(T.decay_offsets(p, s), 1)]
+
+
+def decay_candidates(p: dict, s: Settings) -> list[dict]:
+    """Where the decays stay (projected), and the halvings of a step along ``d0``, ``d1``; infeasible current rows never win."""
+    here = _candidate(p, 0)
+    slopes = [p["d0"].astype(float), p["d1"].astype(float)]
+    can = np.isfinite(slopes[0]) & np.isfinite(slopes[1]) & (np.hypot(*slopes) > 0)
+    some, slopes = R.taken(p, can), [x[can] for x in slopes]
+    still = _candidate(T.moved_decays(p, [0.0, 0.0], 0.0, s), T.HALVINGS + 1)
+    return [here, still] + [_candidate(T.moved_decays(some, slopes, T.DECAY_STEP * 0.5**c, s), c + 1) for c in range(T.HALVINGS) if can.any()]
 
 
 # --- start values -----------------------------------------------------------------------
@@ -276,29 +180,29 @@ def init_params(events: DataFrame, k: int, m: int, horizon: float, d: int = 2, s
 
 # --- M-step -----------------------------------------------------------------------------
 
+#: Fixed value: how far a gate step may lower the objective.
+GATE_TOL = 1e-8
 WORK = "vec array<double>, pen double, stop boolean"
+AIMED = WORK + ", d0 double, d1 double"
 
 
-def _score(lay: Layout, cands: DataFrame, weights: DataFrame) -> DataFrame:
+def _score(lay: Layout, cands: DataFrame, weights: DataFrame, gradient: bool = True) -> DataFrame:
     cands = cut_lineage(cands)
-    fresh = L.score_and_gradient(lay, cands.filter("vec IS NULL"), weights).withColumnRenamed("vec", "__vec")
+    fresh = L.score_and_gradient(lay, cands.filter("vec IS NULL"), weights, gradient).withColumnRenamed("vec", "__vec")
     return cands.join(fresh, ["fit_id", "cand"], "left").withColumn("vec", F.coalesce("vec", "__vec")).drop("__vec")
 
 
-def _choose(scored: DataFrame, rule: str, tol: float) -> DataFrame:
-    """Keep one candidate per fit: the first acceptable halving, or the best of a grid."""
+def _choose(scored: DataFrame, tol: float, still: int = -1) -> DataFrame:
+    """Keep one candidate per fit: the first acceptable halving, else the current row or its projection ``still``."""
     per = Window.partitionBy("fit_id")
     q = F.col("vec")[0] - F.col("pen")
     usable = ~F.isnan("__q") & F.col("__q").isNotNull()
     rows = scored.withColumn("__q", q).withColumn("__base", F.max(F.when(F.col("cand") == 0, F.col("__q"))).over(per))
-    if rule == "first":
-        good = (F.col("cand") > 0) & usable & (F.col("__q") >= F.col("__base") - tol)
-        order = [F.asc(F.when(good, F.col("cand")).otherwise(F.when(F.col("cand") == 0, 1_000_000)).cast("int"))]
-        rows = rows.filter(good | (F.col("cand") == 0))
-    else:
-        rows = rows.filter(usable)
-        order = [F.desc("__q"), F.asc("cand")]
-    best = rows.withColumn("__r", F.row_number().over(per.orderBy(*order))).filter("__r = 1")
+    good = (F.col("cand") > 0) & usable & (F.col("__q") >= F.col("__base") - tol)
+    # ``still`` is taken where no halving is good enough
+    order = F.when(F.col("cand") == still, 999_999).when(good, F.col("cand")).when(F.col("cand") == 0, 1_000_000)
+    rows = rows.filter(good | (F.col("cand") == 0) | (F.col("cand") == still))
+    best = rows.withColumn("__r", F.row_number().over(per.orderBy(F.asc(order.cast("int"))))).filter("__r = 1")
     return best.withColumn("stop", F.col("stop") | (F.col("cand") == 0)).withColumn("cand", F.lit(0)).drop("__q", "__base", "__r")
 
 
@@ -309,8 +213,34 @@ def refresh_baseline(lay: Layout, cur: DataFrame, weights: DataFrame) -> DataFra
     return cur.join(sums, "fit_id", "left").withColumn("nu", F.coalesce(rate, F.transform("nu", lambda x: F.lit(1e-9)))).drop("__nu")
 
 
+def decay_step(lay: Layout, cur: DataFrame, weights: DataFrame, s: Settings) -> DataFrame:
+    """One step of projected ascent in both decays: a pass for the slopes, a pass for the halvings."""
+    K, M = lay.K, lay.M
+    near = cut_lineage(R.update(cur, K, M, lambda p: decay_offset_candidates(p, s), WORK))
+    far = L.score_and_gradient(lay, near.filter("cand > 0"), weights, gradient=False).groupBy("fit_id").agg(
+        F.max(F.when(F.col("cand") == 1, F.col("vec")[0])).alias("q0"), F.max(F.when(F.col("cand") == 2, F.col("vec")[0])).alias("q1"))
+
+    def aimed(p):
+        here = np.array([v[0] for v in p["vec"]], float)
+        slopes, can = T.decay_slopes(p, here, [p["q0"].astype(float), p["q1"].astype(float)])
+        return [{**p, "d0": np.where(can, slopes[0], np.nan), "d1": np.where(can, slopes[1], np.nan)}]
+
+    ready = R.update(cur.join(far, "fit_id"), K, M, aimed, AIMED)
+    cands = R.update(ready, K, M, lambda p: decay_candidates(p, s), WORK)
+    return _choose(_score(lay, cands, weights, gradient=False), 0.0, still=T.HALVINGS + 1)
+
+
 def mstep(lay: Layout, params: DataFrame, weights: DataFrame, xi: DataFrame | None, s: Settings, anneal: float = 1.0, static: bool = False) -> DataFrame:
     """Switch rates, baseline, gates, nuisance blocks, decays, baseline again, in that order."""
+    whole, spanning = parted(lay)
+    out = local.mstep_whole(whole, params, weights, xi, s, anneal, static)
+    if spanning is None:
+        return out
+    return out.unionByName(mstep_spanning(spanning, params.join(spanning.fits.select("fit_id").distinct(), "fit_id", "left_semi"), weights, xi, s, anneal, static))
+
+
+def mstep_spanning(lay: Layout, params: DataFrame, weights: DataFrame, xi: DataFrame | None, s: Settings, anneal: float = 1.0, static: bool = False) -> DataFrame:
+    """The same by passes over the chunked events."""
     K, M = lay.K, lay.M
     delta = lay.horizon / lay.B
     weights = cut_lineage(place_weights(lay, weights))
@@ -319,7 +249,7 @@ def mstep(lay: Layout, params: DataFrame, weights: DataFrame, xi: DataFrame | No
         sums = xi.select("fit_id", "x00", "x01", "x10", "x11", "occ0", "occ1")
 
         def rates(p):
-            x = np.nan_to_num(np.array([p["x00"], p["x01"], p["x10"], p["x11"]], dtype=float))
+            x = np.nan_to_num(np.stack([p[c].astype(float) for c in ("x00", "x01", "x10", "x11")], axis=1))
             on, off = switch_rates(x, p["occ0"] * delta, p["occ1"] * delta, p["eta_on"], p["eta_off"], delta, s)
             return [{**p, "eta_on": on, "eta_off": off}]
 
@@ -331,44 +261,29 @@ def mstep(lay: Layout, params: DataFrame, weights: DataFrame, xi: DataFrame | No
     le = 0.0 if s.variant == "dense_active_block" else s.lambda_e
     for _ in range(s.n_inner_steps):
         cands = R.update(cur, K, M, lambda p: gate_candidates(p, K, M, lg, lh, le, s.lr), WORK)
-        cur = _choose(_score(lay, cands, weights), "first", 1e-8)
+        cur = _choose(_score(lay, cands, weights), GATE_TOL)
     cur = cur.withColumn("stop", F.lit(False))
     blocks = [] if s.freeze_nuisance else (["a0"] if static else ["a0", "rho0", "rho1"])
     for block in blocks:
         cands = R.update(cur, K, M, lambda p, block=block: block_candidates(p, K, M, block, 0.25 * s.lr, s.lambda_0, s.diagonal_a0), WORK)
-        cur = _choose(_score(lay, cands, weights), "first", 0.0)
-    if not static:
-        cands = R.update(cur, K, M, lambda p: decay_candidates(p, s), WORK)
-        cur = _choose(_score(lay, cands, weights), "best", 0.0)
+        cur = _choose(_score(lay, cands, weights), 0.0)
+    for _ in range(0 if static else T.DECAY_STEPS):
+        cur = decay_step(lay, cur, weights, s)
     return refresh_baseline(lay, cur, weights).select(*_columns(R.PARAM_SCHEMA))
 
 
-def _columns(schema: str) -> list[str]:
-    return [p.strip().split(" ")[0] for p in schema.split(", ")]
+_columns = R.names_of
 
 
 def blend(old: DataFrame, new: DataFrame, it: int, K: int, M: int, s: Settings, static: bool = False) -> DataFrame:
-    """Momentum, constraints of the variant, and the stability projection."""
-    mom, smom = (0.5, 0.2) if it <= 10 else (0.3, 0.1)
-    joined = new.join(old.select("fit_id", F.struct(*R.PARAMS).alias("old")), "fit_id")
+    """Momentum, constraints of the variant and the stability projection; ``sound`` is false where a fit did not stay finite."""
+    joined = new.join(old.select("fit_id", *[F.col(c).alias(f"old_{c}") for c in R.PARAMS]), "fit_id")
 
     def mix(p):
-        o = R.unflatten({k: p["old"][k] for k in R.PARAMS}, K, M)
-        q = dict(p)
-        for name in ("nu", "a0", "g", "h", "u", "v", "rho0", "rho1"):
-            q[name] = mom * o[name] + (1 - mom) * p[name]
-        for name in ("beta0", "beta1"):
-            q[name] = smom * o[name] + (1 - smom) * p[name]
-        if static:
-            q |= {k: o[k] for k in ("rho0", "rho1", "beta0", "beta1")} | {"eta_on": 0.5, "eta_off": 0.5}
-        q["rho0"], q["rho1"] = R.project_rows(q["rho0"]), R.project_rows(q["rho1"])
-        q = enforce(q, s.variant)
-        if not all(np.all(np.isfinite(q[n])) for n in ("g", "h", "u", "v", "a0", "rho0", "rho1")):
-            raise FloatingPointError(f"parameters of fit {p['fit_id']} became non-finite")
-        q, rad = stabilise(q, s.stability_threshold, s.stability_target, s.preserve_a0, static)
-        return [{**q, "radius": rad}]
-
-    return R.update(joined, K, M, mix, "radius double")
+        p, radius, good = T.blended({k: p[f"old_{k}"] for k in R.PARAMS}, p, it, s, static)
+        return [{**p, "radius": radius, "sound": good}]
+
+    return R.update(joined, K, M, mix, "radius double, sound boolean")
 
 
 # --- EM loop ----------------------------------------------------------------------------
@@ -396,32 +311,82 @@ def start_weights(lay: Layout, params: DataFrame, value) -> DataFrame:
         "fit_id", "b", F.col("__g").alias("w"), F.col("__g").alias("g1"))
 
 
+def _diagonal_mean(c: str):
+    m = F.sqrt(F.size(c)).cast("int")
+    on = F.filter(F.transform(c, lambda x, i: F.when(i % (m + 1) == 0, x)), lambda x: x.isNotNull())
+    return F.aggregate(on, F.lit(0.0), lambda a, x: a + x) / m
+
+
 def _trace(params: DataFrame, stats: DataFrame, it: int) -> DataFrame:
     mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)
     return params.join(stats, "fit_id").select(
         "fit_id", F.lit(it).alias("iteration"), "loglik", "active_frac", F.size(F.filter("g", lambda x: x > 0.01)).alias("nonzero_gates"), "radius",
-        "beta0", "beta1", "eta_on", "eta_off", mean("a0").alias("a0_mean"), F.array_max("a0").alias("a0_max"))
+        "beta0", "beta1", "eta_on", "eta_off", mean("a0").alias("a0_mean"), F.array_max("a0").alias("a0_max"),
+        *[_diagonal_mean(c).alias(f"{c}_diag_mean") for c in ("rho0", "rho1")])
 
 
 def _finish(running: DataFrame, prev: DataFrame | None, stats: DataFrame, tol: float) -> DataFrame:
-    """Flag fits whose log-likelihood moved by less than the tolerance."""
+    """Flag fits whose log-likelihood moved by less than the tolerance, and those that did not stay finite."""
     now = stats.select("fit_id", F.col("loglik").alias("__ll"))
-    if prev is None:
-        return running.join(now, "fit_id").withColumn("__done", F.lit(False))
-    rel = F.abs(F.col("__ll") - F.col("__prev")) / (F.abs(F.col("__prev")) + 1e-8)
-    return running.join(now, "fit_id").join(prev, "fit_id").withColumn("__done", rel < tol).drop("__prev")
+    out = running.join(now, "fit_id")
+    moved = F.lit(False)
+    if prev is not None:
+        out = out.join(prev, "fit_id")
+        moved = F.abs(F.col("__ll") - F.col("__prev")) / (F.abs(F.col("__prev")) + 1e-8) < tol
+    lost = F.isnan("__ll") | (F.abs("__ll") == float("inf")) | F.col("__ll").isNull()
+    failed = F.when(lost, local.LOST).when(~F.col("sound"), local.WILD)
+    out = out.withColumn("failed", failed).withColumn("__done", moved | F.col("failed").isNotNull())
+    return out.drop("__prev") if prev is not None else out
+
+
+def fit_all(lay: Layout, several: list[local.Run]) -> list[Fit]:
+    """EM over all fits of a layout, for several settings or clamps at once; small fits inside their chunks' tasks, all runs side by side, those
+    that span chunks by passes over the events.
+
+    A fit that does not stay finite keeps its last finite parameters, ``Fit.params.failed`` says why, and the others go on.
+    """
+    for r in several:
+        if r.settings.variant not in VARIANTS:
+            raise ValueError(f"unknown variant: {r.settings.variant}")
+    started = [replace(r, init=R.update(r.init, lay.K, lay.M, lambda p, v=r.settings.variant: [T.enforce(p, v)])) if not r.static else r for r in several]
+    whole, spanning = parted(lay)
+    fitted = local.fit_whole(whole, started, floors)
+    out = [_held(fitted.where(F.col("run") == i).drop("run"), lay, r) for i, r in enumerate(started)]
+    if spanning is None:
+        return out
+    ids = spanning.fits.select("fit_id").distinct()
+    large = []
+    for r in started:
+        init = r.init.join(ids, "fit_id", "left_semi")
+        held = None if r.clamp is None else r.clamp.join(ids, "fit_id", "left_semi")
+        large.append(_static_spanning(spanning, init, r.settings) if r.static else _fit_spanning(spanning, init, r.settings, held, r.xi))
+    return [_joined(a, b, r.clamp) for a, b, r in zip(out, large, started, strict=True)]
 
 
 def fit_regime_model(lay: Layout, init: DataFrame, s: Settings = Settings(), clamp: DataFrame | None = None, xi: DataFrame | None = None) -> Fit:
-    """EM over all fits of a layout.
+    """EM over all fits, see ``fit_all``. ``clamp`` holds a fixed posterior (``fit_id, b, g1``) and ``xi`` expected transitions: then only M-steps run."""
+    return fit_all(lay, [local.Run(init, s, clamp, xi)])[0]
 
-    Fits that converge leave the loop, so late iterations touch only what is still moving.
-    ``clamp`` holds a fixed posterior (``fit_id, b, g1``): then only M-steps run.
-    """
-    if s.variant not in VARIANTS:
-        raise ValueError(f"unknown variant: {s.variant}")
+
+def fit_static_gates(lay: Layout, init: DataFrame, s: Settings) -> Fit:
+    """The same model with the state fixed at one; routes and decays keep their start values."""
+    return fit_all(lay, [local.Run(init, s, static=True)])[0]
+
+
+def _held(fitted: DataFrame, lay: Layout, r: local.Run) -> Fit:
+    post = None if r.static else local.posterior_of(fitted) if r.clamp is None else r.clamp
+    return Fit(fitted.select(*_columns(R.PARAM_SCHEMA), "iterations", "failed"), post, local.traces_of(fitted), lay, r.settings)
+
+
+def _joined(a: Fit, b: Fit, clamp: DataFrame | None = None) -> Fit:
+    post = a.posterior if clamp is not None or a.posterior is None else a.posterior.unionByName(b.posterior)
+    return Fit(a.params.unionByName(b.params), post, a.trace.unionByName(b.trace), a.layout, a.settings)
+
+
+def _fit_spanning(lay: Layout, init: DataFrame, s: Settings, clamp: DataFrame | None, xi: DataFrame | None) -> Fit:
+    """The same by passes over the chunked events. Fits that converge or fail leave the loop, so late iterations touch only what is still moving."""
     K, M, present = lay.K, lay.M, s.variant == "present_time_gating"
-    running = cut_lineage(R.update(init, K, M, lambda p: [enforce(p, s.variant)]))
+    running = cut_lineage(init)
     weights = start_weights(lay, running, float(np.clip(s.pi1_init, 1e-4, 1 - 1e-4)))
     done: list[DataFrame] = []
     traces: list[DataFrame] = []
@@ -434,17 +399,16 @@ def fit_regime_model(lay: Layout, init: DataFrame, s: Settings = Settings(), cla
             eff = running.withColumn("eta_on", on).withColumn("eta_off", off)
             post = cut_lineage(SM.estep(lay, eff, weights.withColumn("w", F.lit(1.0)) if present else weights, present))
             stats = SM.xi_sums(post).withColumn("active_frac", F.col("occ1") / F.col("intervals"))
-            new = mstep(lay, running, _weights(post, 0.0, present), stats, s, min(1.0, it / 10.0))
         else:
             post = clamp
             occ = clamp.groupBy("fit_id").agg(F.sum(1 - F.col("g1")).alias("occ0"), F.sum("g1").alias("occ1"), F.avg("g1").alias("active_frac"))
             stats = xi.select("fit_id", "x00", "x01", "x10", "x11").join(occ, "fit_id").withColumn("loglik", F.lit(float(it)))
-            new = mstep(lay, running, _weights(clamp, 0.0, present), stats, s, min(1.0, it / 10.0))
+        new = mstep_spanning(lay, running, _weights(post, 0.0, present), stats, s, min(1.0, it / 10.0))
         mixed = cut_lineage(_finish(blend(running, new, it, K, M, s), prev, stats, s.tol if clamp is None else -1.0))
         traces.append(_trace(mixed, stats.select("fit_id", "loglik", "active_frac"), it))
         last = it == s.max_iters
         out = mixed if last else mixed.filter("__done")
-        done.append(out.select(*_columns(R.PARAM_SCHEMA)).withColumn("iterations", F.lit(it)))
+        done.append(out.select(*_columns(R.PARAM_SCHEMA), F.lit(it).alias("iterations"), "failed"))
         posts.append(post.join(out.select("fit_id"), "fit_id", "left_semi").select("fit_id", "b", "g1").withColumn("floor", F.lit(floor)).withColumn("share", F.lit(share)))
         if last or mixed.filter("NOT __done").isEmpty():
             break
@@ -462,7 +426,8 @@ def fit_regime_model(lay: Layout, init: DataFrame, s: Settings = Settings(), cla
     eff = params.join(share, "fit_id").withColumn("eta_on", on)
     w = F.greatest(F.least(F.col("g1"), 1 - F.col("floor")), F.col("floor"))
     final = last_post.select("fit_id", "b", (F.lit(1.0) if present else w).alias("w"), "g1")
-    return Fit(params, cut_lineage(SM.estep(lay, eff, final, present)), trace, lay, s)
+    smooth = cut_lineage(SM.estep(lay, eff, final, present))
+    return Fit(params, smooth.where(~F.isnan("loglik") & (F.abs("loglik") < float("inf"))), trace, lay, s)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -472,8 +437,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def fit_static_gates(lay: Layout, init: DataFrame, s: Settings) -> Fit:
-    """The same model with the state fixed at one; routes and decays keep their start values."""
+def _static_spanning(lay: Layout, init: DataFrame, s: Settings) -> Fit:
     K, M = lay.K, lay.M
     running = cut_lineage(init)
     ones = start_weights(lay, running, 1.0)
@@ -481,12 +445,12 @@ def fit_static_gates(lay: Layout, init: DataFrame, s: Settings) -> Fit:
     for it in range(1, s.max_iters + 1):
         em = SM.interval_emissions(lay, running, ones)
         stats = cut_lineage(em.groupBy("fit_id").agg(F.sum("ell1").alias("loglik")).withColumn("active_frac", F.lit(1.0)))
-        new = mstep(lay, running, ones, None, s, min(1.0, it / 10.0), static=True)
+        new = mstep_spanning(lay, running, ones, None, s, min(1.0, it / 10.0), static=True)
         mixed = cut_lineage(_finish(blend(running, new, it, K, M, s, static=True), prev, stats, s.tol))
         traces.append(_trace(mixed, stats, it))
         last = it == s.max_iters
         out = mixed if last else mixed.filter("__done")
-        done.append(out.select(*_columns(R.PARAM_SCHEMA)).withColumn("iterations", F.lit(it)))
+        done.append(out.select(*_columns(R.PARAM_SCHEMA), F.lit(it).alias("iterations"), "failed"))
         if last or mixed.filter("NOT __done").isEmpty():
             break
         running = mixed.filter("NOT __done").select(*_columns(R.PARAM_SCHEMA))

@@ -1,12 +1,12 @@
-"""Parameters as table rows: one row per fit, arrays as columns, small algebra per row.
+"""Parameters as table rows: one row per fit, arrays as columns.
 
-Fits are independent, so every update below is a map over parameter rows; nothing about a
-fit passes through the driver, and thousands of fits are updated side by side.
+Fits are independent, so every update below is a map over parameter rows. A batch of rows is
+stacked: each array has the fits along its first axis, and one expression moves them all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -19,71 +19,83 @@ PARAMS = [*ARRAYS, *SCALARS]
 PARAM_SCHEMA = "fit_id long, cand int, " + ", ".join(f"{a} array<double>" for a in ARRAYS) + ", " + ", ".join(f"{s} double" for s in SCALARS)
 
 
+def names_of(schema: str) -> list[str]:
+    return [part.strip().split(" ")[0] for part in schema.split(", ")]
+
+
 def softplus(x):
     return np.log1p(np.exp(-np.abs(x))) + np.maximum(x, 0.0)
 
 
+def turned(x):
+    """Each matrix transposed."""
+    return np.swapaxes(x, -1, -2)
+
+
 def coupling(g, h, u, v, clip: float = 40.0):
-    """``A1 = g hᵀ softplus(U Vᵀ)`` with a zero diagonal, and the softplus part's slope."""
-    inner = u @ v.T
+    """``A1 = g hᵀ softplus(U Vᵀ)`` with a zero diagonal, and the softplus part and its slope."""
+    inner = u @ turned(v)
     bounded = np.clip(inner, -clip, clip)
     sp = softplus(bounded)
-    a1 = np.outer(g, h) * sp
-    np.fill_diagonal(a1, 0.0)
+    a1 = g[..., :, None] * h[..., None, :] * sp * (1.0 - np.eye(g.shape[-1]))
     slope = np.where(np.abs(inner) < clip, 1.0 / (1.0 + np.exp(-bounded)), 0.0)
     return a1, sp, slope
 
 
-def unflatten(r: dict, K: int, M: int) -> dict:
-    """Arrays of a parameter row in their shapes."""
+def with_coupling(p: dict) -> dict:
+    return {**p, "a1": coupling(p["g"], p["h"], p["u"], p["v"])[0]}
+
+
+def stacked(pdf: pd.DataFrame, K: int, M: int, prefix: str = "") -> dict:
+    """Columns as arrays over the rows; parameters take their shapes."""
     shapes = {"nu": (K, M), "a0": (K, K), "g": (K,), "h": (K,), "u": (K, -1), "v": (K, -1), "rho0": (M, M), "rho1": (M, M), "a1": (K, K)}
-    out = dict(r)
-    for name, shape in shapes.items():
-        out[name] = np.array(r[name], dtype=float).reshape(shape)
+    out = {}
+    for c in pdf.columns:
+        shape = shapes.get(c.removeprefix("old_"))
+        out[c] = pdf[c].to_numpy() if shape is None else np.stack([np.asarray(x, float) for x in pdf[c]]).reshape(len(pdf), *shape)
     return out
 
 
-def flatten(p: dict) -> dict:
-    return {k: (np.asarray(x, dtype=float).ravel().tolist() if k in ARRAYS else x) for k, x in p.items()}
+def taken(p: dict, at) -> dict:
+    """The rows ``at`` (mask or places) of stacked parameters."""
+    return {k: x[at] for k, x in p.items()}
 
 
-def with_coupling(p: dict) -> dict:
-    return {**p, "a1": coupling(p["g"], p["h"], p["u"], p["v"])[0]}
+def table(p: dict, names: Iterable[str]) -> pd.DataFrame:
+    """Stacked parameters as rows; what is missing is null."""
+    n = len(p["fit_id"])
+    return pd.DataFrame({c: list(p[c].reshape(n, -1)) if c in ARRAYS else p.get(c, [None] * n) for c in names})
 
 
 def update(df: DataFrame, K: int, M: int, fn: Callable[[dict], list[dict]], extra: str = "") -> DataFrame:
-    """Map parameter rows: ``fn`` gets one row with shaped arrays and returns new rows."""
+    """Map parameter rows: ``fn`` gets stacked rows and returns stacked rows, one set or more."""
     schema = PARAM_SCHEMA + (", " + extra if extra else "")
-    names = [p.strip().split(" ")[0] for p in schema.split(", ")]
+    names = names_of(schema)
 
     def run(batches):
         for pdf in batches:
-            rows = [flatten(q) for r in pdf.to_dict("records") for q in fn(unflatten(r, K, M))]
-            yield pd.DataFrame([[q.get(n) for n in names] for q in rows], columns=names)
+            if len(pdf):
+                for q in fn(stacked(pdf, K, M)):
+                    yield table(q, names)
 
     return df.mapInPandas(run, schema)
 
 
 def project_rows(rho, eps: float = 1e-9):
     rho = np.maximum(rho, eps)
-    return rho / np.maximum(rho.sum(axis=1, keepdims=True), eps)
+    return rho / np.maximum(rho.sum(axis=-1, keepdims=True), eps)
 
 
-def spectral_radius(a) -> float:
-    return float(np.max(np.abs(np.linalg.eigvals(a)))) if np.all(np.isfinite(a)) else float("inf")
+def finite(x) -> np.ndarray:
+    """Per row, whether all values are finite."""
+    return np.isfinite(x).reshape(len(x), -1).all(axis=1)
 
 
-def to_long(params: DataFrame, K: int, M: int) -> DataFrame:
-    """``(fit_id, name, i, j, value)`` form of the parameters, for storage and joins."""
-    width = {"nu": M, "a0": K, "a1": K, "g": 1, "h": 1, "rho0": M, "rho1": M}
-    parts = None
-    for name, w in width.items():
-        one = params.select("fit_id", F.lit(name).alias("name"), F.posexplode(name).alias("pos", "value")).select(
-            "fit_id", "name", F.floor(F.col("pos") / w).cast("int").alias("i"), (F.col("pos") % w).cast("int").alias("j"), "value")
-        parts = one if parts is None else parts.unionByName(one)
-    for name in SCALARS:
-        parts = parts.unionByName(params.select("fit_id", F.lit(name).alias("name"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col(name).alias("value")))
-    return parts
+def spectral_radius(a) -> np.ndarray:
+    """Per matrix; infinite where it holds what is not finite."""
+    out, good = np.full(len(a), np.inf), finite(a)
+    out[good] = np.abs(np.linalg.eigvals(a[good])).max(axis=-1)
+    return out
 
 
 def edges(params: DataFrame, K: int, column: str = "a1") -> DataFrame:

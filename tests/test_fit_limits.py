@@ -16,7 +16,7 @@ CASES = [
     ("fit_regime_model", EM, "fit_regime_model", {"s": EM.REPLICATION}),
     ("fit_static_gates", EM, "fit_static_gates", {"s": EM.REPLICATION}),
     ("mstep", EM, "mstep", {"s": EM.REPLICATION}),
-    ("decay_step", EM, "decay_candidates", {"s": EM.REPLICATION}),
+    ("decay_step", EM, "decay_step", {"s": EM.REPLICATION}),
     ("switch_rate_step", EM, "switch_rate_table", {"s": EM.REPLICATION}),
     ("fit_clamped", D, "fit_clamped", {"settings": EM.REPLICATION}),
     ("dose_response", D, "dose_response", {"settings": EM.REPLICATION}),
@@ -68,13 +68,14 @@ def test_limits_are_the_operators_own(spark, mocked, query, module, operator, li
     elif operator == "heldout_static_gates":
         mocked.setattr(HO, "heldout_full_matrix", MagicMock())
     getattr(W, query)(spark, "")
-    assert len(seen) == 1 and {k: seen[0][k] for k in limits} == limits
+    assert len(seen) == (5 if query == "decay_step" else 1) and {k: seen[0][k] for k in limits} == limits
 
 
 def test_every_variant_is_fitted(spark, mocked):
-    fits, starts = calls_of(mocked, EM, "fit_regime_model"), calls_of(mocked, EM, "init_params")
+    fits, starts = [], calls_of(mocked, EM, "init_params")
+    mocked.setattr(EM, "fit_all", lambda lay, runs: fits.extend(runs) or [MagicMock() for _ in runs])
     W.fit_variant(spark, "")
-    assert [f["s"] for f in fits] == [EM.with_settings(EM.REPLICATION, variant=v) for v in EM.VARIANTS]
+    assert [f.settings for f in fits] == [EM.with_settings(EM.REPLICATION, variant=v) for v in EM.VARIANTS]
     assert [i["kwargs"]["dense"] for i in starts] == [v == "dense_active_block" for v in EM.VARIANTS]
 
 

@@ -41,7 +41,7 @@ def test_em_climbs_and_ignores_chunking(table):
 
 def test_switch_rates_beat_their_neighbours():
     x = np.array([40.0, 3.0, 2.0, 15.0])
-    on, off = EM.switch_rates(x, 43.0, 17.0, 0.05, 0.2, 1.0, EM.Settings())
+    on, off = (v[0] for v in EM.switch_rates(x, 43.0, 17.0, 0.05, 0.2, 1.0, EM.Settings()))
 
     def q(a, b):
         s, e = a + b, np.exp(-(a + b))

@@ -16,6 +16,7 @@ from flockwise.plans import heldout as HO
 from flockwise.plans import pairs as PR
 from flockwise.plans import rows as R
 from flockwise.plans import selection as SE
+from flockwise.plans import steps as ST
 from flockwise.session import cut_lineage
 from workload import canon as C
 from workload.aggregates import binned
@@ -57,17 +58,13 @@ def clamped(spark, sf):
     return lay, cur, w
 
 
-def moved(lay, cur, w, propose, rule, tol):
-    return EM._choose(EM._score(lay, R.update(cur, C.K, C.M, propose, EM.WORK), w), rule, tol)
-
-
-def block(spark, sf, propose, rule, tol):
-    return summary(moved(*clamped(spark, sf), propose, rule, tol))
+def moved(lay, cur, w, propose, tol):
+    return EM._choose(EM._score(lay, R.update(cur, C.K, C.M, propose, EM.WORK), w), tol)
 
 
 @query("gate_step")
 def gate_step(spark, sf):
-    return block(spark, sf, lambda p: EM.gate_candidates(p, C.K, C.M, 0.02, 0.02, 0.01, 0.01), "first", 1e-8)
+    return summary(moved(*clamped(spark, sf), lambda p: EM.gate_candidates(p, C.K, C.M, 0.02, 0.02, 0.01, 0.01), EM.GATE_TOL))
 
 
 @query("nuisance_step")
@@ -76,7 +73,7 @@ def nuisance_step(spark, sf):
     lay, cur, w = clamped(spark, sf)
     cur, out = cut_lineage(cur), None
     for name in ("a0", "rho0", "rho1"):
-        one = moved(lay, cur, w, lambda p, name=name: EM.block_candidates(p, C.K, C.M, name, 0.0025, 0.05, False), "first", 0.0)
+        one = moved(lay, cur, w, lambda p, name=name: EM.block_candidates(p, C.K, C.M, name, 0.0025, 0.05, False), 0.0)
         one = summary(one, "rho0", "rho1").withColumn("block", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
@@ -84,7 +81,11 @@ def nuisance_step(spark, sf):
 
 @query("decay_step")
 def decay_step(spark, sf):
-    return block(spark, sf, lambda p: EM.decay_candidates(p, EM.REPLICATION), "best", 0.0)
+    """All steps of the decays' ascent."""
+    lay, cur, w = clamped(spark, sf)
+    for _ in range(ST.DECAY_STEPS):
+        cur = cut_lineage(EM.decay_step(lay, cur, w, EM.REPLICATION))
+    return summary(cur)
 
 
 @query("switch_rate_step")
@@ -117,11 +118,15 @@ def fit_regime_model(spark, sf):
 
 @query("fit_variant")
 def fit_variant(spark, sf):
+    """All variants side by side in one job."""
     lay = laid_out(spark, sf)
-    out = None
+    runs = []
     for variant in EM.VARIANTS:
         init = cut_lineage(EM.init_params(lay.events, C.K, C.M, C.HORIZON, dense=variant == "dense_active_block"))
-        one = EM.fit_regime_model(lay, init, EM.with_settings(EM.REPLICATION, variant=variant)).trace.withColumn("variant", F.lit(variant))
+        runs.append(EM.local.Run(init, EM.with_settings(EM.REPLICATION, variant=variant)))
+    out = None
+    for variant, fit in zip(EM.VARIANTS, EM.fit_all(lay, runs), strict=True):
+        one = fit.trace.withColumn("variant", F.lit(variant))
         out = one if out is None else out.unionByName(one)
     return named(out)
 
