@@ -22,7 +22,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage that survives lost executors."""
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once all that was derived from them is stored itself."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def text_or_empty(name: str):
@@ -63,7 +73,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round hooks each node to its neighbour of least hashed priority, follows two
     pointers, and contracts the edges; hashing the order keeps chains of ascending ids short.
-    Edge lists shrink geometrically and are written to the shared folder each round.
+    Edge lists shrink geometrically and are written to the shared folder each round; what the next round replaces is deleted.
     """
     key = lambda c: F.struct(F.xxhash64(F.col(c)).alias("h"), F.col(c).alias("v"))
     edges = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
@@ -74,12 +84,16 @@ def components(edges: DataFrame) -> DataFrame:
         hook = stored(hook, "hook")
         for _ in range(2):
             up = hook.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            hook = stored(hook.join(up, "p").select("a", F.col("q").alias("p")), "hook")
-        names = hook.select(F.col("a").alias("node"), F.col("p").alias("root")) if names is None else stored(
-            names.join(hook.select(F.col("a").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")), "names"
-        )
-        left = edges.join(hook.select("a", F.col("p").alias("pa")), "a").join(hook.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b")
+            short, hook = hook, stored(hook.join(up, "p").select("a", F.col("q").alias("p")), "hook")
+            discard(short)
+        if names is None:
+            names = stored(hook.select(F.col("a").alias("node"), F.col("p").alias("root")), "names")
+        else:
+            old, names = names, stored(names.join(hook.select(F.col("a").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")), "names")
+            discard(old)
+        met, left = edges, edges.join(hook.select("a", F.col("p").alias("pa")), "a").join(hook.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b")
         edges = stored(left.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        discard(met, hook)
     if names is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     least = names.groupBy("root").agg(F.min("node").alias("component"))

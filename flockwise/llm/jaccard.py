@@ -11,10 +11,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flockwise.llm.common import components, offsets_of, slices, stored, text_or_empty
+from flockwise.llm.common import components, discard, offsets_of, slices, stored, text_or_empty
 
 U = np.uint64
 #: Ratio between the set sizes that bound a class.
@@ -200,6 +200,21 @@ def verified(pairs: DataFrame, segments: DataFrame, parts: int, percent: int) ->
     return counts.groupBy(*pair).agg(F.sum("x").alias("both")).where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
 
 
+def prefixed(left: DataFrame, names: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """Rarest shingles of the sets in ``left`` (node, comp): node, comp, n, free, t.
+
+    A set of n shingles shares at least percent * n / 100 with any set it links to. So of its shingles in any common order, the first
+    n - that number + 1 hold one that both have among their first. The order is by holders, then hash.
+    """
+    sets = names.join(left.select("node", "comp").distinct(), "node")
+    held = sets.join(segments, ["k1", "k2"]).select("node", "comp", "n", "free", F.explode("segment").alias("t"))
+    holders = held.groupBy("t").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    first = Window.partitionBy("node").orderBy("c", "t")
+    least = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
+    ranked = held.join(holders, "t").withColumn("place", F.row_number().over(first)).where(F.col("place") <= F.col("n") - least + 1)
+    return ranked.where("lo <> hi").select("node", "comp", "n", "free", "t")
+
+
 def jaccard_components(
     docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", parts: int = 8, rounds: int = 3
 ) -> DataFrame:
@@ -213,11 +228,12 @@ def jaccard_components(
     in each fragment by itself, and summed per pair.
 
     Equal sets are folded first. Of the candidates that share a signature, ``rounds`` rounds
-    check all against one leader, and only between groups that aren't linked yet; the last round
-    checks every remaining pair of unlinked groups. A pair is left out only if its overlap can't
-    reach the bound: by sizes, and by the shingles that no other candidate has, which each copy
-    with edits of its own brings along. So a large group of copies costs few pairs, and no link
-    is lost. Signatures are sorted by range, which splits a frequent one over tasks.
+    check all against one leader, and only between groups that aren't linked yet. The last round
+    finds what still can link by prefixes, see ``prefixed``: shingles of few holders come first, so copies
+    that differ by edits of their own never meet. A pair is left out only if its overlap can't
+    reach the bound: by sizes, by the shingles that no other candidate has, or as its prefixes share
+    none. So a large group of copies costs few pairs, and no link is lost. Signatures are sorted by
+    range, which splits a frequent one over tasks. Written tables are deleted once they are superseded.
 
     Hash collisions of 64 bits could add a wrong shingle to an overlap; sets are told apart by 128 bits.
     Null and empty texts and texts without words have no shingles and link with nothing: their
@@ -235,7 +251,9 @@ def jaccard_components(
     groups = met.join(of_row.where("node IS NOT NULL").select("row", "node"), "row").groupBy("sig", "node").agg(F.lit(1).alias("one")).drop("one")
     groups = stored(groups, "met")
     many = groups.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig")
-    groups = stored(groups.join(many, "sig", "left_semi").withColumn("comp", F.col("node")), "groups")
+    discard(signed)
+    pairs_met, groups = groups, stored(groups.join(many, "sig", "left_semi").withColumn("comp", F.col("node")), "groups")
+    discard(pairs_met)
     wanted = sets.join(groups.select("node").distinct(), "node", "left_semi")
     texts = rows.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
     segments = texts.mapInArrow(_segmenter(words, parts), "k1 long, k2 long, part long, segment array<long>")
@@ -245,26 +263,31 @@ def jaccard_components(
     alone = alone.where("c = 1").groupBy("k1", "k2").agg(F.count("*").alias("alone"))
     names = wanted.select("node", "n", "k1", "k2").join(alone, ["k1", "k2"], "left").withColumn("free", F.col("n") - F.coalesce("alone", F.lit(0)))
     names = stored(names.where(f"100 * free >= {percent} * n").select("node", "n", "free", "k1", "k2"), "names")
-    groups = stored(groups.join(names.select("node", "n", "free"), "node"), "groups")
+    found, groups = groups, stored(groups.join(names.select("node", "n", "free"), "node"), "groups")
+    whole_segments, segments = segments, stored(segments.join(names.select("k1", "k2"), ["k1", "k2"], "left_semi"), "segments")
+    discard(found, whole_segments, sets)
     comp = stored(names.select("node", F.col("node").alias("comp")), "comp")
     can = lambda na, nb, fa, fb: f"{100 + percent} * least({fa}, {fb}) >= {percent} * ({na} + {nb})"
-    done = None
+    done, before, checked = None, groups, []
     for turn in range(rounds + 1):
         # the first leader is a set with fewest shingles of its own: what the others are copies of
         own = F.col("n") - F.col("free") if turn == 0 else F.lit(0).cast("long")
         key = F.struct(own.alias("own"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp", "n", "free")
         heads = groups.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(key).alias("head")).where("lo <> hi")
         heads = heads.select("sig", F.col("head.node").alias("x"), F.col("head.comp").alias("cx"), F.col("head.n").alias("nx"), F.col("head.free").alias("fx"))
-        groups = stored(groups.join(heads, "sig"), "groups")
+        last, groups = before, stored(groups.join(heads, "sig"), "groups")
+        discard(last)
+        before = groups
         if groups.isEmpty():
             break
         if turn < rounds:
             pairs = groups.where("comp <> cx").where(can("n", "nx", "free", "fx")).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
         else:
-            one = groups.select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("free").alias("fa"))
-            other = groups.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("free").alias("fb"))
-            near = F.expr(f"a < b AND ca <> cb AND {can('na', 'nb', 'fa', 'fb')}")
-            pairs = one.alias("l").join(other.alias("r"), (F.col("l.sig") == F.col("r.sig")) & near).select("a", "b")
+            prefix = stored(prefixed(groups, names, segments, percent), "prefix")
+            one = prefix.select("t", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("free").alias("fa"))
+            other = prefix.select("t", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("free").alias("fb"))
+            near = F.expr(f"a < b AND ca <> cb AND {can('na', 'nb', 'fa', 'fb')} AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+            pairs = one.alias("l").join(other.alias("r"), (F.col("l.t") == F.col("r.t")) & near).select("a", "b")
         pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -272,12 +295,15 @@ def jaccard_components(
         pairs = pairs.join(side("a"), "a").join(side("b"), "b")
         pairs = stored(pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"), "pairs")
         links = stored(verified(pairs, segments, parts, percent), "links")
+        checked.append(pairs)
         done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
         at = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
         joined = components(links.join(at("a"), "a").join(at("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         joined = joined.select(F.col("node").alias("comp"), F.col("component").alias("now"))
-        comp = stored(comp.join(joined, "comp", "left").select("node", F.coalesce("now", "comp").alias("comp")), "comp")
+        old, comp = comp, stored(comp.join(joined, "comp", "left").select("node", F.coalesce("now", "comp").alias("comp")), "comp")
+        discard(old, links)
         groups = groups.select("sig", "node", "n", "free").join(comp, "node")
+    discard(before, segments, names, *checked)
     whole = of_row.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = whole.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = whole.join(least, "comp", "left")
