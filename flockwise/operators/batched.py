@@ -133,7 +133,7 @@ class Chunk(Events):
         index = pd.Index(self.ids)
         place = np.repeat(np.arange(len(index)), self.sizes)
         kinds = dict(iter(ctx.groupby("kind")))
-        rows = kinds["p"].sort_values(["fit_id", "cand"])
+        rows = kinds.get("p", ctx.iloc[:0]).sort_values(["fit_id", "cand"])
         rows = rows.assign(at=index.get_indexer(rows["fit_id"])).query("at >= 0")
         self.fit_ids, self.cands, self.fit_of = rows["fit_id"].to_numpy(), rows["cand"].to_numpy(), rows["at"].to_numpy()
         flat = np.stack(rows["arr"].to_list()) if len(rows) else np.empty((0, 0))

@@ -249,6 +249,8 @@ def _segments(pdf: pd.DataFrame, ctx: pd.DataFrame, K: int, M: int):
     ids = pdf["fit_id"].to_numpy()
     heads = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True])
     kinds = {k: g for k, g in ctx.groupby("kind")}
+    if "p" not in kinds:  # no fit of the chunk has a candidate
+        return
     params: dict = {}
     for f, c, arr in kinds["p"][["fit_id", "cand", "arr"]].itertuples(index=False):
         params.setdefault(f, []).append((c, arr))
@@ -380,5 +382,6 @@ def chunk_pass(lay: Layout, params: DataFrame, weights: DataFrame | None, fn: Ca
 
 
 def sum_vectors(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Element-wise sums of ``vec`` per key, added within each task first."""
-    return rows.groupBy(*keys).agg(vector_to_array(Summarizer.sum(array_to_vector("vec"))).alias("vec"))
+    """Element-wise sums of ``vec`` per key, added within each task first; what is not a number arrives as null."""
+    vec = F.transform("vec", lambda x: F.coalesce(x, F.lit(float("nan"))))
+    return rows.groupBy(*keys).agg(vector_to_array(Summarizer.sum(array_to_vector(vec))).alias("vec"))

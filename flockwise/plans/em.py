@@ -44,6 +44,7 @@ class Settings:
     lambda_0: float = 0.01
     lr: float = 0.01
     n_inner_steps: int = 5
+    n_decay_steps: int = T.DECAY_STEPS
     stability_threshold: float = 0.95
     stability_target: float = 0.80
     preserve_a0: bool = False
@@ -267,7 +268,7 @@ def mstep_spanning(lay: Layout, params: DataFrame, weights: DataFrame, xi: DataF
     for block in blocks:
         cands = R.update(cur, K, M, lambda p, block=block: block_candidates(p, K, M, block, 0.25 * s.lr, s.lambda_0, s.diagonal_a0), WORK)
         cur = _choose(_score(lay, cands, weights), 0.0)
-    for _ in range(0 if static else T.DECAY_STEPS):
+    for _ in range(0 if static else s.n_decay_steps):
         cur = decay_step(lay, cur, weights, s)
     return refresh_baseline(lay, cur, weights).select(*_columns(R.PARAM_SCHEMA))
 

@@ -1,8 +1,9 @@
 """Pairwise couplings: events of each actor pair inside active windows, and their fits.
 
-All pairs of all sessions are fitted together by expectation-maximisation. An iteration is one
-pass over the chunked pair events; a busy pair spans many chunks and carries its history from
-chunk to chunk, so no pair has to fit into one task.
+A pair whose events make few pairs of events among themselves is fitted inside a task, by projected
+quasi-Newton steps on its own sums until the projected gradient vanishes. Busy pairs are fitted by
+expectation-maximisation: an iteration is one pass over the chunked pair events, a pair spans many
+chunks and carries its history from chunk to chunk, and pairs that meet the same test leave the loop.
 """
 
 from __future__ import annotations
@@ -63,6 +64,110 @@ def decayed_pairs(t, src, beta, state, lagged, t_state):
     return S, V, state, lagged
 
 
+#: Event pairs up to which a pair of actors is fitted inside a task, and how many go to a task about.
+MEETINGS, TASK_MEETINGS = 2_000_000, 200_000
+#: Greatest component of the projected gradient at a solution, steps that the curvature remembers, least slope that a step keeps.
+GRADIENT_TOL, MEMORY, ARMIJO = 1e-4, 10, 1e-4
+#: Where a fit starts: least rate, jumps from the same and from another dimension, decay.
+START_RATE, START_OWN, START_OTHER, START_DECAY = 1e-3, 0.02, 0.05, 1.0
+
+
+class PairSums:
+    """Log-likelihood and gradient of one pair in (mu, alpha, beta), from its events' own pairs."""
+
+    def __init__(self, segment, t, dim, length, total: float, D: int):
+        self.D, self.n, self.dim, self.total = D, len(t), dim, total
+        order = np.lexsort((t, segment))
+        segment, t, self.dim, length = segment[order], t[order], dim[order], length[order]
+        heads = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+        place = np.arange(self.n)
+        first = heads[np.cumsum(np.isin(place, heads)) - 1]
+        # every event with all earlier ones of its segment
+        self.late = np.repeat(place, place - first)
+        early = np.arange(len(self.late)) - np.repeat(np.cumsum(place - first) - (place - first), place - first) + first[self.late]
+        self.gap = t[self.late] - t[early]
+        self.cell = self.dim[self.late] * D + self.dim[early]
+        self.left = (length - t)[:, None]
+        self.into = np.arange(D)[None, :] * D + self.dim[:, None]
+
+    def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        """The negative log-likelihood and its gradient."""
+        D, n = self.D, self.n
+        mu, alpha, beta = x[:D], x[D : D + D * D], x[D + D * D :]
+        fade = np.exp(-beta[self.cell] * self.gap)
+        lam = np.maximum(mu[self.dim] + np.bincount(self.late, weights=alpha[self.cell] * fade, minlength=n), 1e-300)
+        b = beta[self.into]
+        stay = np.exp(-b * self.left)
+        by_cell = lambda w, at: np.bincount(at.ravel(), weights=w.ravel(), minlength=D * D)
+        room, tail = by_cell(1.0 - stay, self.into), by_cell(self.left * stay, self.into)
+        value = np.log(lam).sum() - mu.sum() * self.total - (alpha / beta * room).sum()
+        pull = fade / lam[self.late]
+        slope = np.concatenate([
+            np.bincount(self.dim, weights=1.0 / lam, minlength=D) - self.total, by_cell(pull, self.cell) - room / beta,
+            alpha * (room / beta**2 - tail / beta - by_cell(self.gap * pull, self.cell)),
+        ])
+        return -float(value), -slope
+
+
+def pair_bounds(D: int) -> tuple[np.ndarray, np.ndarray]:
+    low, high = (np.concatenate([np.full(D, m[k]), np.full(D * D, a[k]), np.full(D * D, b[k])]) for k, (m, a, b) in enumerate([(MU_BOUNDS, ALPHA_BOUNDS, BETA_BOUNDS)] * 2))
+    return low, high
+
+
+def projected_gradient(x, slope, low, high) -> float:
+    """How far a unit step down the slope moves inside the bounds."""
+    return float(np.abs(np.clip(x - slope, low, high) - x).max(initial=0.0))
+
+
+def minimised(f, x: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int) -> tuple[np.ndarray, float, float, int]:
+    """Projected quasi-Newton steps with limited memory; the point, its value and projected gradient, and the steps taken.
+
+    Components at a bound that the slope pushes outwards are held; the others move along the remembered curvature, and the
+    step is halved until the value falls enough.
+    """
+    x = np.clip(x, low, high)
+    value, slope = f(x)
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    it = 0
+    while it < steps and np.isfinite(value) and projected_gradient(x, slope, low, high) > GRADIENT_TOL:
+        it += 1
+        free = ~(((x <= low) & (slope > 0)) | ((x >= high) & (slope < 0)))
+        d, used = np.where(free, slope, 0.0), []
+        for s, y in reversed(kept):
+            s, y = np.where(free, s, 0.0), np.where(free, y, 0.0)
+            sy = s @ y
+            if sy > 1e-12:
+                a = (s @ d) / sy
+                d = d - a * y
+                used.append((a, s, y, sy))
+        if used:
+            d = d * used[0][3] / (used[0][2] @ used[0][2])
+        else:
+            d = d / max(1.0, np.abs(d).max())
+        for a, s, y, sy in reversed(used):
+            d = d + (a - (y @ d) / sy) * s
+        moved = None
+        for direction in (d, np.where(free, slope, 0.0) / max(1.0, np.abs(slope).max())):
+            if direction @ slope <= 0:
+                continue
+            for c in range(40):
+                new = np.clip(x - 0.5**c * direction, low, high)
+                there, steep = f(new)
+                if np.isfinite(there) and there <= value + ARMIJO * (slope @ (new - x)):
+                    moved = new, there, steep
+                    break
+            if moved is not None:
+                break
+            kept = []
+        if moved is None:
+            break  # rounding hides any further fall
+        s, y = moved[0] - x, moved[2] - slope
+        if s @ y > 1e-10:
+            kept = [*kept, (s, y)][-MEMORY:]
+        x, value, slope = moved
+    return x, value, projected_gradient(x, slope, low, high), it
+
+
 def _units(pdf: pd.DataFrame, ctx: pd.DataFrame, D: int):
     if not len(pdf) or not len(ctx):
         return
@@ -140,52 +245,110 @@ def em_sums(lay: Layout, units: DataFrame, params: DataFrame, D: int) -> DataFra
     return sum_vectors(parts, ["pair"])
 
 
-def pairwise_coupling(segments: DataFrame, windows: DataFrame, keys: Sequence[str], m: int, iters: int = 25, min_events: int = 4,
-                      chunk_rows: int | None = None) -> DataFrame:
-    """Integrated coupling ``Σ alpha/beta`` in both directions of every pair with enough events."""
+FITTED = "alpha array<double>, beta array<double>, loglik double, gradient double, iterations int"
+
+
+def _small_pairs(named: DataFrame, good: DataFrame, D: int, steps: int) -> DataFrame:
+    """Pairs of few event pairs, several to a task: ``pair`` and ``FITTED``."""
+    spark = named.sparkSession
+    total = good.agg(F.sum("meetings")).first()[0] or 0
+    tasks = int(max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), total // TASK_MEETINGS + 1))
+    pack = F.pmod(F.xxhash64("pair"), F.lit(tasks)).cast("int").alias("pack")
+    rows = named.select("pair", "s", (F.col("e") - F.col("s")).alias("len"), "t_rel", "dim", pack).repartition(tasks, "pack")
+    heads = good.select(F.col("pair").alias("pair"), F.col("total").alias("total"), pack).repartition(tasks, "pack")  # fresh identities
+    low, high = pair_bounds(D)
+    names = ["pair", "alpha", "beta", "loglik", "gradient", "iterations"]
+
+    def run(pdf: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        out, total = [], dict(zip(heads["pair"], heads["total"], strict=True))
+        for pair, g in pdf.groupby("pair"):
+            if pair not in total:
+                continue
+            dim = g["dim"].to_numpy()
+            f = PairSums(g["s"].to_numpy(), g["t_rel"].to_numpy(), dim, g["len"].to_numpy(), total[pair], D)
+            start = np.concatenate([
+                np.maximum(np.bincount(dim, minlength=D) / total[pair], START_RATE), np.where(np.eye(D, dtype=bool), START_OWN, START_OTHER).ravel(), np.full(D * D, START_DECAY)
+            ])
+            x, value, slope, it = minimised(f, start, low, high, steps)
+            out.append((pair, x[D : D + D * D].tolist(), x[D + D * D :].tolist(), -value, slope, it))
+        return pd.DataFrame(out, columns=names)
+
+    return cut_lineage(rows.groupBy("pack").cogroup(heads.groupBy("pack")).applyInPandas(run, "pair string, " + FITTED))
+
+
+def pairwise_coupling(segments: DataFrame, windows: DataFrame, keys: Sequence[str], m: int, iters: int = 500, min_events: int = 4,
+                      chunk_rows: int | None = None, meetings: int = MEETINGS) -> DataFrame:
+    """Integrated coupling ``Σ alpha/beta`` in both directions of every pair with enough events.
+
+    Pairs whose fit has no finite log-likelihood, or whose projected gradient is above the tolerance after ``iters`` steps, are dropped.
+    Pairs of actors with more than ``meetings`` pairs of events are fitted by passes over their events.
+    """
     D = 2 * m
     named = segments.withColumn("pair", F.concat_ws("/", *[F.col(k).cast("string") for k in keys], "src", "dst"))
-    counts = named.groupBy("pair", *keys, "src", "dst").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("dim") < m).alias("__a"), F.count_if(F.col("dim") >= m).alias("__b"),
-        *[F.count_if(F.col("dim") == d).alias(f"__n{d}") for d in range(D)])
+    per_window = named.groupBy("pair", *keys, "src", "dst", "s").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("dim") < m).alias("__a"), *[F.count_if(F.col("dim") == d).alias(f"__n{d}") for d in range(D)])
+    counts = per_window.groupBy("pair", *keys, "src", "dst").agg(
+        F.sum("n").alias("n"), F.sum("__a").alias("__a"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("meetings"), *[F.sum(f"__n{d}").alias(f"__n{d}") for d in range(D)])
     total = windows.groupBy(*keys).agg(F.sum(F.col("e") - F.col("s")).alias("total"))
-    good = counts.filter((F.col("n") >= min_events) & (F.col("__a") > 0) & (F.col("__b") > 0)).join(total, list(keys))
+    good = cut_lineage(counts.filter((F.col("n") >= min_events) & (F.col("__a") > 0) & (F.col("__a") < F.col("n"))).join(total, list(keys)))
+    few, many = good.filter(F.col("meetings") <= meetings), good.filter(F.col("meetings") > meetings)
+    out = few.select("pair", *keys, "src", "dst").join(_small_pairs(named, few, D, iters), "pair")
+    if not many.isEmpty():
+        out = out.unionByName(_busy_pairs(named, many, windows, keys, D, iters, chunk_rows).select(*out.columns))
+    fine = F.col("loglik").isNotNull() & ~F.isnan("loglik") & (F.abs("loglik") < float("inf")) & (F.col("gradient") <= GRADIENT_TOL)
+    out = out.filter(fine).withColumn("ratio", F.zip_with("alpha", "beta", lambda a, b: F.greatest(a / F.greatest(b, F.lit(1e-12)), F.lit(0.0))))
+    pick = lambda test: F.aggregate(F.filter(F.transform("ratio", lambda x, i: F.when(test((i / D).cast("int"), i % D), x)), lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
+    ahead = out.select(*keys, "src", "dst", pick(lambda row, col: (row >= m) & (col < m)).alias("w"), "loglik")
+    back = out.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), pick(lambda row, col: (row < m) & (col >= m)).alias("w"), "loglik")
+    return ahead.unionByName(back)
+
+
+def _busy_pairs(named: DataFrame, good: DataFrame, windows: DataFrame, keys: Sequence[str], D: int, iters: int, chunk_rows: int | None) -> DataFrame:
+    """Expectation-maximisation by passes over the chunked events; pairs that meet the gradient test leave the loop."""
     arr = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
     params = cut_lineage(good.select(
         "pair", *keys, "src", "dst", "n", "total",
-        F.array(*[F.greatest(F.col(f"__n{d}") / F.col("total"), F.lit(1e-3)) for d in range(D)]).alias("mu"),
-        arr(0.02 if i // D == i % D else 0.05 for i in range(D * D)).alias("alpha"), arr(1.0 for _ in range(D * D)).alias("beta")))
+        F.array(*[F.greatest(F.col(f"__n{d}") / F.col("total"), F.lit(START_RATE)) for d in range(D)]).alias("mu"),
+        arr(START_OWN if i // D == i % D else START_OTHER for i in range(D * D)).alias("alpha"), arr(START_DECAY for _ in range(D * D)).alias("beta")))
     unit = named.withColumn("fit_id", F.concat_ws("@", "pair", F.col("s").cast("string")))
     longest = windows.agg(F.max(F.col("e") - F.col("s"))).first()[0] or 0.0
     events = unit.join(params.select("pair"), "pair", "left_semi").select("fit_id", "event_id", F.col("t_rel").alias("t"), F.col("dim").alias("actor"), F.lit(0).alias("mark"))
     lay = layout(events, D, 1, max(longest, 1.0), max(longest, 1.0), chunk_rows)
     units = cut_lineage(unit.select("fit_id", "pair", (F.col("e") - F.col("s")).alias("len")).distinct().join(params.select("pair"), "pair", "left_semi"))
     names = params.columns
-    schema = ", ".join(f"{n} {t}" for n, t in params.dtypes) + ", loglik double"
+    fit = ["loglik", "gradient", "iterations"]
+    schema = ", ".join(f"{n} {t}" for n, t in params.dtypes) + ", loglik double, gradient double, iterations int"
+    low, high = pair_bounds(D)
 
-    def update(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                v, n = np.asarray(r["vec"], dtype=float), D * D
-                born, lag, room, tail = v[1 + D :].reshape(4, D, D)
-                alpha, beta = np.asarray(r["alpha"]).reshape(D, D), np.asarray(r["beta"]).reshape(D, D)
-                r["loglik"] = float(v[0] - np.sum(r["mu"]) * r["total"] - np.sum(alpha / beta * room))
-                size = born / np.maximum(room, 1e-12)
-                new = np.where(born > 1e-12, born / np.maximum(lag + size * tail, 1e-12), beta)
-                new = np.clip(new, *BETA_BOUNDS)
-                r["mu"] = np.clip(v[1 : 1 + D] / r["total"], *MU_BOUNDS).tolist()
-                r["alpha"] = np.clip(np.where(room > 0, size * new, alpha), *ALPHA_BOUNDS).ravel().tolist()
-                r["beta"] = new.ravel().tolist()
-                rows.append([r[c] for c in (*names, "loglik")])
-            yield pd.DataFrame(rows, columns=[*names, "loglik"])
-
-    for _ in range(iters):
-        sums = em_sums(lay, units, params, D)
-        params = cut_lineage(params.select(*names).join(sums, "pair").mapInPandas(update, schema))
-    ratio = F.zip_with("alpha", "beta", lambda a, b: F.greatest(a / F.greatest(b, F.lit(1e-12)), F.lit(0.0)))
-    pick = lambda test: F.aggregate(F.filter(F.transform("ratio", lambda x, i: F.when(test((i / D).cast("int"), i % D), x)), lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
-    out = params.filter(F.col("loglik").isNotNull() & ~F.isnan("loglik") & (F.abs("loglik") < float("inf"))).withColumn("ratio", ratio)
-    ahead = out.select(*keys, "src", "dst", pick(lambda row, col: (row >= m) & (col < m)).alias("w"), "loglik")
-    back = out.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), pick(lambda row, col: (row < m) & (col >= m)).alias("w"), "loglik")
-    return ahead.unionByName(back)
+    def update(it: int):
+        def run(batches):
+            for pdf in batches:
+                rows = []
+                for r in pdf.to_dict("records"):
+                    v, n = np.asarray(r["vec"], dtype=float), D * D
+                    born, lag, room, tail = v[1 + D :].reshape(4, D, D)
+                    mu, alpha, beta = np.asarray(r["mu"]), np.asarray(r["alpha"]).reshape(D, D), np.asarray(r["beta"]).reshape(D, D)
+                    r["loglik"] = float(v[0] - mu.sum() * r["total"] - np.sum(alpha / beta * room))
+                    slope = np.concatenate([r["total"] - v[1 : 1 + D] / mu, (room / beta - born / alpha).ravel(), (lag - alpha * (room / beta**2 - tail / beta)).ravel()])
+                    r["gradient"], r["iterations"] = projected_gradient(np.concatenate([mu, alpha.ravel(), beta.ravel()]), slope, low, high), it
+                    if r["gradient"] > GRADIENT_TOL:
+                        size = born / np.maximum(room, 1e-12)
+                        new = np.clip(np.where(born > 1e-12, born / np.maximum(lag + size * tail, 1e-12), beta), *BETA_BOUNDS)
+                        r["mu"] = np.clip(v[1 : 1 + D] / r["total"], *MU_BOUNDS).tolist()
+                        r["alpha"] = np.clip(np.where(room > 0, size * new, alpha), *ALPHA_BOUNDS).ravel().tolist()
+                        r["beta"] = new.ravel().tolist()
+                    rows.append([r[c] for c in (*names, *fit)])
+                yield pd.DataFrame(rows, columns=[*names, *fit])
+
+        return run
+
+    done, running = None, params
+    for it in range(1, iters + 1):
+        sums = em_sums(lay, units, running, D)
+        moved = cut_lineage(running.select(*names).join(sums, "pair").mapInPandas(update(it), schema))
+        over = F.coalesce(F.col("gradient") <= GRADIENT_TOL, F.lit(False)) | F.isnan("gradient") | F.lit(it == iters)
+        part, running = moved.filter(over), moved.filter(~over)
+        done = part if done is None else done.unionByName(part)
+        if it == iters or running.isEmpty():
+            break
+    return done

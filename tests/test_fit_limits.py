@@ -24,9 +24,9 @@ CASES = [
     ("heldout_static", HO, "heldout_static_gates", {"settings": EM.REAL_DATA}),
     ("heldout_static", HO, "heldout_full_matrix", {"iters": 200}),
     ("fit_count_hmm", B, "fit_count_hmm", {"restarts": 10, "max_iters": 200, "tol": 1e-6}),
-    ("modular_pipeline", B, "modular_pipeline", {"restarts": 10, "hmm_iters": 200, "pair_iters": 25}),
+    ("modular_pipeline", B, "modular_pipeline", {"restarts": 10, "hmm_iters": 200, "pair_iters": 500}),
     ("fit_full_matrix", B, "fit_full_matrix", {"iters": 200, "every": 10}),
-    ("pairwise_coupling", PR, "pairwise_coupling", {"iters": 25}),
+    ("pairwise_coupling", PR, "pairwise_coupling", {"iters": 500}),
     ("oracle_posterior", D, "oracle_posterior", {"n_iters": 25, "tol": 1e-5}),
 ]
 

@@ -148,6 +148,39 @@ def fit_count_hmm(spark, sf):
     return named(B.fit_count_hmm(counts, NB, counts.select("fit_id").distinct().count())[0])
 
 
+def lse(a, b):
+    return f"(greatest({a}, {b}) + ln(1 + exp(-abs(({a}) - ({b})))))"
+
+
+PMF = "n * ln({r}) - {r} - lf"
+HMM_ROUND = f"""
+WITH RECURSIVE {C.EV}, {C.GRID}, {C.EVB}, ct AS (SELECT g.session_id, g.b, CAST(count(e.event_id) AS BIGINT) AS n FROM grid g LEFT JOIN evb e USING (session_id, b) GROUP BY 1, 2),
+mn AS (SELECT session_id, greatest(avg(n), 1e-3::DOUBLE) AS m FROM ct GROUP BY 1),
+st AS (SELECT session_id, greatest(0.5::DOUBLE * m, 1e-3::DOUBLE) AS r0, greatest(1.5::DOUBLE * m, greatest(0.5::DOUBLE * m, 1e-3::DOUBLE) + 1e-3::DOUBLE) AS r1 FROM mn),
+em AS (SELECT session_id, b, n, {PMF.format(r='r0')} AS e0, {PMF.format(r='r1')} AS e1 FROM (SELECT *, lgamma(n + 1) AS lf FROM ct) JOIN st USING (session_id)),
+fw AS (SELECT session_id, b, ln(0.9::DOUBLE) + e0 AS x0, ln(0.1::DOUBLE) + e1 AS x1 FROM em WHERE b = 0
+  UNION ALL SELECT f.session_id, e.b, e.e0 + {lse('x0 + ln(0.95::DOUBLE)', 'x1 + ln(0.1::DOUBLE)')}, e.e1 + {lse('x0 + ln(0.05::DOUBLE)', 'x1 + ln(0.9::DOUBLE)')} FROM fw f JOIN em e ON e.session_id = f.session_id AND e.b = f.b + 1),
+bw AS (SELECT session_id, b, 0::DOUBLE AS y0, 0::DOUBLE AS y1 FROM em WHERE b = {NB - 1}
+  UNION ALL SELECT k.session_id, e.b - 1, {lse('ln(0.95::DOUBLE) + e.e0 + y0', 'ln(0.05::DOUBLE) + e.e1 + y1')}, {lse('ln(0.1::DOUBLE) + e.e0 + y0', 'ln(0.9::DOUBLE) + e.e1 + y1')}
+  FROM bw k JOIN em e ON e.session_id = k.session_id AND e.b = k.b WHERE k.b > 0),
+ll AS (SELECT session_id, {lse('x0', 'x1')} AS ll FROM fw WHERE b = {NB - 1}),
+g AS (SELECT e.session_id, e.b, n, exp(x0 + y0 - ll) AS g0, exp(x1 + y1 - ll) AS g1 FROM em e JOIN fw USING (session_id, b) JOIN bw USING (session_id, b) JOIN ll ON ll.session_id = e.session_id),
+x AS (SELECT f.session_id, sum(exp(x0 + ln(0.95::DOUBLE) + e0 + y0 - ll)) AS x00, sum(exp(x0 + ln(0.05::DOUBLE) + e1 + y1 - ll)) AS x01,
+  sum(exp(x1 + ln(0.1::DOUBLE) + e0 + y0 - ll)) AS x10, sum(exp(x1 + ln(0.9::DOUBLE) + e1 + y1 - ll)) AS x11
+  FROM fw f JOIN em e ON e.session_id = f.session_id AND e.b = f.b + 1 JOIN bw k ON k.session_id = e.session_id AND k.b = e.b JOIN ll ON ll.session_id = f.session_id GROUP BY 1),
+r AS (SELECT session_id, greatest(sum(g0 * n) / sum(g0), 1e-3::DOUBLE) AS r0, greatest(sum(g1 * n) / sum(g1), 1e-3::DOUBLE) AS r1 FROM g GROUP BY 1),
+o AS (SELECT session_id, ll, r0, r1, x00 / (x00 + x01) AS p00, x11 / (x10 + x11) AS p11 FROM r JOIN x USING (session_id) JOIN ll USING (session_id))
+SELECT session_id, round(ll, 6) AS loglik, CAST(1 AS INTEGER) AS iterations, round(least(r0, r1), 6) AS rate0, round(greatest(r0, r1), 6) AS rate1,
+  round(CASE WHEN r0 > r1 THEN p11 ELSE p00 END, 6) AS p00, round(CASE WHEN r0 > r1 THEN p00 ELSE p11 END, 6) AS p11 FROM o"""
+
+
+@query("count_hmm_round", HMM_ROUND)
+def count_hmm_round(spark, sf):
+    """One round of the count HMM from its first start."""
+    counts = count_grid(spark, sf)
+    return named(B.fit_count_hmm(counts, NB, counts.select("fit_id").distinct().count(), restarts=1, max_iters=1)[0].drop("failed"))
+
+
 @query("pairwise_coupling")
 def pairwise_coupling(spark, sf):
     ev = fits(spark, sf)
