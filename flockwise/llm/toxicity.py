@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,6 +28,7 @@ CLASSES = 64
 CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
 OTHER = len(ALPHABET) + 1
 NOISY = re.compile(r"(?=.*[^\W\d_])(?:.*[0-9@$!|+(€£].*|.*[^\W\d_][.\-_*~']+[^\W\d_].*|.*([^\W\d_])\1\1.*)", re.S)
+LETTERS = re.compile(r"[^\W\d_]+")
 DOUBLED = re.compile(r"([^\W\d_])\1")
 #: Three or more single symbols with up to three separators between any two: a word that is spelled out.
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+(€£])(?:[ \t.\-_*~'/\\,:]{1,3}(?:[^\W_]|[@$!|+(€£])){2,}(?![^\W_])")
@@ -75,9 +77,16 @@ class CharModel:
         p2 = (n2 + 8 * p1) / (n2.sum(1, keepdims=True) + 8)
         p3 = (n3 + 8 * p2[None]) / (n3.sum(2, keepdims=True) + 8)
         self.cost = -np.log(p3)
+        self.flat: list[float] | None = None
 
-    def step(self, a: int, b: int, c: int) -> float:
-        return self.cost[a, b, c]
+    def __getstate__(self):
+        return {"cost": self.cost, "flat": None}
+
+    def steps(self) -> list[float]:
+        """Costs by (letter before the last * CLASSES + last letter) * CLASSES + letter, as a list: quicker to look up one by one."""
+        if self.flat is None:
+            self.flat = self.cost.ravel().tolist()
+        return self.flat
 
 
 def options(run: str, ch: str) -> list[tuple[str, float]]:
@@ -118,20 +127,22 @@ def joined(a: str, b: str, model: CharModel) -> str | None:
 
 def cheapest(lattice: list[list[tuple[str, float]]], model: CharModel) -> str:
     """The cheapest path through a lattice of readings under the language model (Viterbi over the last two letters)."""
-    best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    costs = model.steps()
+    best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}  # by the last two letters: one * CLASSES + other
     for choices in lattice:
-        step: dict[tuple[int, int], tuple[float, tuple]] = {}
-        for (a, b), (cost, path) in best.items():
-            for text, extra in choices:
-                x, y, total = a, b, cost + extra
-                for c in text:
-                    z = CODE.get(c, OTHER if c.isalpha() else 0)
-                    total += model.step(x, y, z) if (y or z) else 0.0
-                    x, y = y, z
-                if (x, y) not in step or total < step[x, y][0]:
-                    step[x, y] = (total, (path, text))
+        coded = [(text, [CODE.get(c, OTHER if c.isalpha() else 0) for c in text], extra) for text, extra in choices]
+        step: dict[int, tuple[float, tuple]] = {}
+        for last, (cost, path) in best.items():
+            for text, letters, extra in coded:
+                at, total = last, cost + extra
+                for z in letters:
+                    if at % CLASSES or z:
+                        total += costs[at * CLASSES + z]
+                    at = at % CLASSES * CLASSES + z
+                if at not in step or total < step[at][0]:
+                    step[at] = (total, (path, text))
         best = step
-    _, path = min(((cost + model.step(a, b, 0), path) for (a, b), (cost, path) in best.items()), key=lambda e: e[0])
+    _, path = min(((cost + costs[at * CLASSES], path) for at, (cost, path) in best.items()), key=lambda e: e[0])
     parts = []
     while path:
         path, text = path
@@ -142,7 +153,7 @@ def cheapest(lattice: list[list[tuple[str, float]]], model: CharModel) -> str:
 def features(word: str) -> set[str]:
     """Parts of a restored word: itself, and its n-grams with marked bounds."""
     out = set()
-    for part in re.findall(r"[^\W\d_]+", word):
+    for part in LETTERS.findall(word):
         marked = f"<{part}>"
         out.add(marked)
         for n in NGRAMS:
@@ -156,15 +167,28 @@ class Restorer:
     def __init__(self, model: CharModel, weigh=None, limit: int = 200_000):
         self.model, self.weigh, self.limit, self.memo, self.pairs = model, weigh, limit, {}, {}
 
+    def restored(self, word: str) -> str:
+        plain = word.isalpha()
+        double = DOUBLED.search(word)
+        if plain and not double:
+            return word
+        clean = restore(word, self.model) if NOISY.fullmatch(word) else word
+        # doubled letters may be meant: both readings count
+        return f"{word} {restore(word, self.model)}" if clean == word and double else clean
+
+    def values(self, words: list[str]) -> list:
+        """Restored words, or their weights; what is new is weighed together."""
+        fresh = [w for w in words if w not in self.memo]
+        if len(self.memo) + len(fresh) > self.limit:
+            self.memo.clear()
+            fresh = words
+        if fresh:
+            clean = [self.restored(w) for w in fresh]
+            self.memo.update(zip(fresh, self.weigh.many(clean) if self.weigh else clean, strict=True))
+        return [self.memo[w] for w in words]
+
     def value(self, word: str):
-        if word not in self.memo:
-            if len(self.memo) > self.limit:
-                self.memo.clear()
-            clean = restore(word, self.model) if NOISY.fullmatch(word) else word
-            if clean == word and DOUBLED.search(word):  # doubled letters may be meant: both readings count
-                clean = f"{word} {restore(word, self.model)}"
-            self.memo[word] = self.weigh(clean) if self.weigh else clean
-        return self.memo[word]
+        return self.values([word])[0]
 
     def words(self, texts: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct words, the code of every word, and where each text starts; words that were spelled out or cut come as more words."""
@@ -212,7 +236,7 @@ class Restorer:
 def _evidence(texts: pa.StringArray, restorer: Restorer) -> np.ndarray:
     """Per text: the sum of the words' weights, the greatest one, and the logarithm of the words."""
     names, codes, ends = restorer.words(texts)
-    weights = np.fromiter(map(restorer.value, names), float, len(names))[codes]
+    weights = np.array(restorer.values(names), float)[codes]
     total = np.concatenate(([0.0], np.cumsum(weights)))
     out = np.zeros((len(texts), 3))
     out[:, 0] = np.minimum(total[ends[1:]] - total[ends[:-1]], 60.0)
@@ -228,11 +252,31 @@ class Weights:
 
     def __init__(self, table: dict[str, float]):
         self.table = table
+        self.automaton = None
+
+    def __getstate__(self):
+        return {"table": self.table, "automaton": None}
+
+    def many(self, words: list[str]) -> list[float]:
+        """One walk of an automaton over all marked words. A part with a mark at both ends is a whole word, so every hit is one of its ``features``."""
+        if not self.table or not words:
+            return [0.0] * len(words)
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for part, weight in self.table.items():
+                self.automaton.add_word(part, weight)
+            self.automaton.make_automaton()
+        marked = [f"<{w}>" if w.isalpha() else "".join(f"<{part}>" for part in LETTERS.findall(w)) for w in words]
+        ends = np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked)))
+        out = np.zeros(len(words))
+        hits = list(self.automaton.iter("".join(marked)))
+        if hits:
+            at, weight = zip(*hits, strict=True)
+            np.maximum.at(out, np.searchsorted(ends, np.array(at), "right"), np.array(weight))
+        return out.tolist()
 
     def __call__(self, word: str) -> float:
-        if not self.table:
-            return 0.0
-        return max((self.table.get(f, 0.0) for f in features(word)), default=0.0)
+        return self.many([word])[0]
 
 
 def telling(counts: list[tuple[str, int, int]], positive: int, negative: int) -> dict[str, float]:
@@ -306,7 +350,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         restorer, seen = Restorer(chars, features, limit=5_000), Counter()  # a word's parts take far more room than a weight
         for batch in slices(batches, 0, 1 << 20):
             names, codes, ends = restorer.words(batch.column(0).cast(pa.string()))
-            parts = [restorer.value(w) for w in names]
+            parts = restorer.values(names)
             for i, (y, fold) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 own: set[str] = set().union(*(parts[c] for c in set(codes[ends[i] : ends[i + 1]].tolist())))
                 seen.update((f, fold, y) for f in own)
