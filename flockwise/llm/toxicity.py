@@ -184,7 +184,8 @@ class Restorer:
             fresh = words
         if fresh:
             clean = [self.restored(w) for w in fresh]
-            self.memo.update(zip(fresh, self.weigh.many(clean) if self.weigh else clean, strict=True))
+            values = clean if self.weigh is None else self.weigh.many(clean) if isinstance(self.weigh, Weights) else map(self.weigh, clean)
+            self.memo.update(zip(fresh, values, strict=True))
         return [self.memo[w] for w in words]
 
     def value(self, word: str):
