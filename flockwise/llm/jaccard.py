@@ -201,7 +201,7 @@ def verified(pairs: DataFrame, segments: DataFrame, parts: int, percent: int) ->
 
 
 def prefixed(left: DataFrame, names: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Rarest shingles of the sets in ``left`` (node, comp): node, comp, n, free, t.
+    """Rarest shingles of the sets in ``left`` (node, comp): node, comp, n, free, t, place.
 
     A set of n shingles shares at least percent * n / 100 with any set it links to. So of its shingles in any common order, the first
     n - that number + 1 hold one that both have among their first. The order is by holders, then hash.
@@ -212,7 +212,7 @@ def prefixed(left: DataFrame, names: DataFrame, segments: DataFrame, percent: in
     first = Window.partitionBy("node").orderBy("c", "t")
     least = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
     ranked = held.join(holders, "t").withColumn("place", F.row_number().over(first)).where(F.col("place") <= F.col("n") - least + 1)
-    return ranked.where("lo <> hi").select("node", "comp", "n", "free", "t")
+    return ranked.where("lo <> hi").select("node", "comp", "n", "free", "t", "place")
 
 
 def jaccard_components(
@@ -284,9 +284,11 @@ def jaccard_components(
             pairs = groups.where("comp <> cx").where(can("n", "nx", "free", "fx")).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
         else:
             prefix = stored(prefixed(groups, names, segments, percent), "prefix")
-            one = prefix.select("t", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("free").alias("fa"))
-            other = prefix.select("t", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("free").alias("fb"))
-            near = F.expr(f"a < b AND ca <> cb AND {can('na', 'nb', 'fa', 'fb')} AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+            one = prefix.select("t", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("free").alias("fa"), F.col("place").alias("pa"))
+            other = prefix.select("t", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("free").alias("fb"), F.col("place").alias("pb"))
+            # where two sets first meet in the order, all that they share is this shingle and what comes after it in either
+            rest = f"{100 + percent} * (1 + least(na - pa, nb - pb)) >= {percent} * (na + nb)"
+            near = F.expr(f"a < b AND ca <> cb AND {can('na', 'nb', 'fa', 'fb')} AND {rest} AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
             pairs = one.alias("l").join(other.alias("r"), (F.col("l.t") == F.col("r.t")) & near).select("a", "b")
         pairs = pairs.distinct()
         if done is not None:
