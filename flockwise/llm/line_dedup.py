@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flockwise.llm.common import stored, text_or_empty
+from flockwise.llm.common import discard, stored, text_or_empty
 
 RANGES = "array<struct<first:int,last:int>>"
 
@@ -22,13 +22,15 @@ def _repeated(lines: DataFrame, min_words: int) -> DataFrame:
     """Stretches of lines that all occur more than once and hold ``min_words`` words together."""
     place = F.struct("doc_id", "h", "line")
     often = lines.groupBy("a", "b").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("a", "b")
-    hits = stored(lines.join(often, ["a", "b"], "left_semi").distinct(), "lines")
+    hits = met = stored(lines.join(often, ["a", "b"], "left_semi").distinct(), "lines")
     by = Window.partitionBy("doc_id", "h").orderBy("line")
     hits = hits.withColumn("isle", F.col("line") - F.row_number().over(by))
     whole = Window.partitionBy("doc_id", "h", "isle")
     hits = hits.withColumn("total", F.sum("words").over(whole)).where(F.col("total") >= min_words)
     before = F.sum("words").over(whole.orderBy("line")) - F.col("words")
-    return hits.withColumn("before", before).withColumn("end", F.max("line").over(whole) + 1)
+    long = stored(hits.withColumn("before", before).withColumn("end", F.max("line").over(whole) + 1), "stretches")
+    discard(met)
+    return long
 
 
 def _windows(hits: DataFrame, min_words: int) -> DataFrame:
@@ -68,23 +70,26 @@ def suffix_ranks(hits: DataFrame, deepest: int) -> DataFrame:
     first = _ranked(hits, ["a", "b"])
     rows = hits.join(first, ["a", "b"], "left").select("doc_id", "h", "isle", "line", F.array("rank").alias("ranks"))
     rows, k = stored(rows, "depth"), 0
+    discard(first)
     while 2 ** (k + 1) <= deepest:
         isle = Window.partitionBy("doc_id", "h", "isle").orderBy("line")
-        here = F.element_at("ranks", k + 1)
+        here, last = F.element_at("ranks", k + 1), rows
         rows = rows.withColumn("r1", here).withColumn("r2", F.lead(here, 2**k).over(isle))
         pairs = rows.where("r1 IS NOT NULL AND r2 IS NOT NULL")
         ranks = _ranked(pairs, ["r1", "r2"])
         rows = rows.join(ranks, ["r1", "r2"], "left").select("doc_id", "h", "isle", "line", F.concat("ranks", F.array("rank")).alias("ranks"))
         rows, k = stored(rows, "depth"), k + 1
+        discard(last, ranks)
     return rows
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """Lines to delete, as ranges of a document: ``doc_id``, ``h`` (hash of its text), ``first``, ``last``."""
-    hits = stored(_repeated(_lines(docs, id_col, text_col), min_words), "stretches")
+    hits = _repeated(_lines(docs, id_col, text_col), min_words)
     windows = stored(_windows(hits, min_words), "windows")
     deepest = windows.agg(F.max("size")).first()[0]
-    ranks = suffix_ranks(hits, deepest or 0).select("doc_id", "h", "line", "ranks")
+    depth = suffix_ranks(hits, deepest or 0)
+    ranks = depth.select("doc_id", "h", "line", "ranks")
     level = F.floor(F.log2("size") + F.lit(1e-9)).cast("int")
     both = windows.withColumn("level", level).withColumn("far", (F.col("line") + F.col("size") - F.pow(F.lit(2), level)).cast("int"))
     at = ["doc_id", "h"]
@@ -94,6 +99,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     both = both.alias("w").join(ranks.alias("r"), null_safe("w", "r") & (F.col("w.far") == F.col("r.line")))
     both = both.select(*[f"w.{c}" for c in [*at, "line", "size", "r1"]], F.element_at("r.ranks", F.col("level") + 1).alias("r2"))
     both = stored(both.where("r1 IS NOT NULL AND r2 IS NOT NULL"), "intervals")
+    discard(hits, windows, depth)
     place = F.struct("doc_id", "h", "line")
     heads = both.groupBy("size", "r1", "r2").agg(F.min(place).alias("head"))
     later = both.join(heads, ["size", "r1", "r2"]).where(F.struct("doc_id", "h", "line") > F.col("head"))

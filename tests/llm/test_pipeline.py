@@ -73,3 +73,17 @@ def test_near_copies_go_by_row(spark, documents):
     third = [t for i, t in kept if i == -1]
     assert len(third) == 1 and third[0] in (c, c + " more")
     assert [k for k in kept if k[0] != -1] == sorted([(1, a), (2, b), (5, clean), (7, d + " more"), (8, ""), (8, ""), (9, "")])
+
+
+def test_columns_with_the_stages_own_names_pass_through(spark, planted):
+    from pyspark.sql import functions as F
+
+    folder, _, _ = planted
+    own = ["n_lines", "n_dropped", "__t", "__row", "__spans", "__blob", "toxic", "toxicity", "component_id", "row", "rank"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id >= 290")
+    for i, name in enumerate(own):
+        docs = docs.withColumn(name, F.col("doc_id") * 100 + i)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stored(stage(spark, docs, folder), "t")
+        wrong = " OR ".join(f"`{name}` <> doc_id * 100 + {i}" for i, name in enumerate(own))
+        assert docs.where(wrong).count() == 0 and docs.count() > 10 and docs.columns[-len(own) :] == own
