@@ -1,11 +1,13 @@
 """A training-data pipeline over ``documents``: each stage works on all that its predecessor kept.
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of
-``docs``. ``run`` writes each stage's result to the shared folder and reads it back.
+``docs``, whatever their names and values. ``run`` writes each stage's result to the shared folder and reads it back.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,18 +20,36 @@ def _recounted(changed, columns: list[str]) -> list:
     return [F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns]
 
 
+#: Columns that the stages work on; all others only pass through.
+USED = ("doc_id", "text", "n_chars")
+
+
+def passing(stage):
+    """A stage for tables with any further columns: they are renamed for its time, so that no name of theirs meets one of the stage's own."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in USED else f"column_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*names), sf_dir).select(*names).toDF(*docs.columns)
+
+    return run
+
+
+@passing
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go (score of 0.3 or more)."""
+    """Documents that the toxicity model rejects go (score of 0.3 or more). A null text is judged as an empty one."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where("toxic = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@passing
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs of 50 words or more are deleted; documents left without a line go."""
     out = line_dedup.line_dedup(docs, min_words=50).where("n_dropped < n_lines")
     return out.select(*_recounted(F.col("n_dropped") > 0, docs.columns))
 
 
+@passing
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8, that with the smallest id stays.
 
@@ -43,8 +63,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return keyed.join(first.select("first.__row"), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@passing
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret is replaced by a mark; all documents stay."""
+    """Every secret is replaced by a mark; all documents stay. A null text holds none and stays null."""
     ledger = secrets.update(docs)
     hits = ledger.select(F.col("blob").alias("__blob"), secrets.current(F.col("spans")).alias("__spans")).where(F.size("__spans") > 0)
     found = docs.withColumn("__blob", secrets.blob_of("text")).join(hits, "__blob", "left")
@@ -57,7 +78,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """All remaining tokens in sequences of at most 4096, one row per piece with its ids."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
