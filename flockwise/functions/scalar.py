@@ -102,9 +102,6 @@ def uniform_draw(seed, label, *ids) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def to_hours(ts, origin_us: int = 0) -> Column:
-    return (F.unix_micros(_c(ts).cast("timestamp")) - F.lit(origin_us)) / F.lit(3.6e9)
-
 
 def to_days(ts, origin) -> Column:
     return (F.unix_micros(_c(ts).cast("timestamp")) - F.unix_micros(_c(origin).cast("timestamp"))) / F.lit(8.64e10)

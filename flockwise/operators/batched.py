@@ -83,6 +83,10 @@ class Events:
 
     def paired_traces(self, blocks: list[tuple], b0, b1, wanted: np.ndarray, out: tuple, routine: bool = True, active: bool = True) -> None:
         """Fill ``out`` (R, pre, same) for the wanted fits among ``blocks``: each event meets all earlier ones of its fit."""
+        with np.errstate(all="ignore"):  # matrix products of padded blocks raise flags of their own
+            self._paired(blocks, b0, b1, wanted, out, routine, active)
+
+    def _paired(self, blocks, b0, b1, wanted, out, routine, active) -> None:
         for block in blocks:
             k = wanted[block[0]]
             if not k.any():

@@ -64,10 +64,6 @@ def date_window(df: DataFrame, column: str, start=None, end=None) -> DataFrame:
     return df.filter(F.col(column) < F.lit(end)) if end is not None else df
 
 
-def window_bounds(df: DataFrame, column: str) -> DataFrame:
-    """The default bounds themselves: minimum, and maximum plus one day."""
-    return df.agg(F.min(column).alias("start"), (F.max(column) + F.expr("INTERVAL 1 DAY")).alias("end"))
-
 
 def in_domain(lo: float, hi: float, k: int, m: int) -> Column:
     t, a, b = F.col("t"), F.col("actor"), F.col("mark")
@@ -180,10 +176,11 @@ def severity_mark(best) -> Column:
 
 
 def dense_code(df: DataFrame, column: str, name: str = "code", null_as=1) -> DataFrame:
-    """Codes 0..M-1 over the sorted distinct values, nulls taken as ``null_as``."""
-    value = F.coalesce(F.col(column), F.lit(null_as))
+    """Codes 0..M-1 over the sorted distinct values of any type, nulls taken as ``null_as``."""
+    kind = dict(df.dtypes)[column]
+    value = F.coalesce(F.col(column), F.lit(null_as).cast(kind))
     coded = df.withColumn("__v", value)
-    table = ordered.rank(coded.select("__v").distinct(), [], [F.asc("__v")], ordered.value_bucket(F.col("__v")), name).withColumn(name, (F.col(name) - 1).cast("int"))
+    table = ordered.sorted_rank(coded.select("__v").distinct(), [F.asc("__v")], name).withColumn(name, (F.col(name) - 1).cast("int"))
     return coded.join(table, "__v").drop("__v")
 
 
@@ -311,7 +308,3 @@ def stratified_cap(df: DataFrame, strata: Sequence[str], cap: int, ids: Sequence
     )
     placed = stable_order(df, strata, ids, seed, "cap", "__pos")
     return placed.join(keep.select(*strata, "keep"), list(strata)).filter("__pos <= keep").drop("__pos", "keep")
-
-
-def as_timestamp(text: str) -> datetime:
-    return datetime.fromisoformat(text)

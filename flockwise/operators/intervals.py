@@ -74,43 +74,56 @@ def range_join(points: DataFrame, windows: DataFrame, keys: Sequence[str], t: st
     return joined.select(*left, *right)
 
 
+def disjoint(windows: DataFrame, keys: Sequence[str], lo: str = "s", hi: str = "e") -> DataFrame:
+    """What each window ``[lo, hi)`` covers that no window with an earlier start does: per key disjoint pieces, so a point is in one at most."""
+    order = Window.partitionBy(*keys).orderBy(lo, F.desc(hi)) if keys else Window.partitionBy(F.lit(0)).orderBy(lo, F.desc(hi))
+    reached = F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = windows.filter(F.col(lo) < F.col(hi)).withColumn(lo, F.greatest(F.col(lo), F.coalesce(reached, F.col(lo))))
+    return pieces.filter(F.col(lo) < F.col(hi))
+
+
 def in_window(events: DataFrame, windows: DataFrame, keys: Sequence[str], ids: Sequence[str], t: str = "t",
               width: float = 24.0, name: str = "inside") -> DataFrame:
-    """Flag events inside any window ``[s, e)``; overlapping windows still count once."""
-    hits = range_join(events.select(*keys, *ids, t), windows, keys, t, "s", "e", width)
-    hits = hits.select(*keys, *ids).distinct().withColumn("__hit", F.lit(1))
-    return events.join(hits, [*keys, *ids], "left").withColumn(name, F.coalesce("__hit", F.lit(0))).drop("__hit")
+    """Flag events inside any window ``[s, e)``; overlapping windows still count once.
+
+    Windows become disjoint pieces first, so a left join by time cell meets one at most: events move once and keep their rows,
+    whether ``ids`` tell them apart or not.
+    """
+    pieces = disjoint(windows.select(*keys, "s", "e"), keys).withColumn("__hit", F.lit(1))
+    marked = range_join(events, pieces.select(*keys, F.col("s").alias("__s"), F.col("e").alias("__e"), "__hit"), keys, t, "__s", "__e", width, "left")
+    return marked.withColumn(name, F.coalesce("__hit", F.lit(0))).drop("__hit", "__s", "__e")
 
 
 def interval_overlap(grid: DataFrame, windows: DataFrame, keys: Sequence[str], width: float, name: str = "active") -> DataFrame:
-    """1 for intervals that overlap an active window: ``t_end > s and t_start < e``."""
-    w = F.lit(float(width))
-    act = windows.filter("z = 1").withColumn(
-        "__cell", F.explode(F.sequence(F.floor(F.col("s") / w).cast("long"), F.floor(F.col("e") / w).cast("long")))
-    ).select(*keys, "s", "e", "__cell")
-    cells = grid.withColumn(
-        "__cell", F.explode(F.sequence(F.floor(F.col("t_start") / w).cast("long"), F.floor(F.col("t_end") / w).cast("long")))
-    )
-    hit = cells.join(act, [*keys, "__cell"]).filter("t_end > s AND t_start < e")
-    hit = hit.select(*keys, "b").distinct().withColumn("__hit", F.lit(1))
-    return grid.join(hit, [*keys, "b"], "left").withColumn(name, F.coalesce("__hit", F.lit(0))).drop("__hit")
+    """1 for intervals that overlap an active window: ``t_end > s and t_start < e``.
+
+    Of disjoint windows only the last that starts before an interval's end can decide. So the time after each start, up to the next one or as far as an
+    interval can reach back, is a piece that carries the window's end, and ``t_end`` is in one at most.
+    """
+    longest = grid.agg(F.max(F.col("t_end") - F.col("t_start")).alias("__longest"))  # one row
+    active = disjoint(windows.filter("z = 1").select(*keys, "s", "e"), keys)
+    following = F.lead("s").over(Window.partitionBy(*keys).orderBy("s") if keys else Window.partitionBy(F.lit(0)).orderBy("s"))
+    pieces = active.withColumn("__next", following).crossJoin(F.broadcast(longest))
+    until = F.least(F.coalesce("__next", F.col("e") + F.col("__longest")), F.col("e") + F.col("__longest"))
+    pieces = pieces.select(*keys, F.col("s").alias("__s"), until.alias("__until"), F.col("e").alias("__e"))
+    met = range_join(grid, pieces, keys, "t_end", "__s", "__until", width, "left", closed="right")
+    return met.withColumn(name, F.coalesce((F.col("__e") > F.col("t_start")).cast("int"), F.lit(0))).drop("__s", "__until", "__e")
 
 
 def state_at_time(points: DataFrame, path: DataFrame, keys: Sequence[str], ids: Sequence[str], t: str, width: float,
                   default: str = "zero", name: str = "state") -> DataFrame:
     """State of the first path segment ``[s, e)`` that contains each point.
 
-    Outside every segment the state is 0, or with ``default='last'`` the path's last state.
+    Outside every segment the state is 0, or with ``default='last'`` the path's last state. Segments become disjoint pieces, so points move once.
     """
-    hit = range_join(points.select(*keys, *ids, t), path, keys, t, "s", "e", width)
-    first = hit.groupBy(*keys, *ids).agg(F.min_by("z", "s").alias("__z"))
-    out = points.join(first, [*keys, *ids], "left")
+    pieces = disjoint(path.select(*keys, "s", "e", "z"), keys).select(*keys, F.col("s").alias("__s"), F.col("e").alias("__e"), F.col("z").alias("__z"))
+    out = range_join(points, pieces, keys, t, "__s", "__e", width, "left")
     fallback = F.lit(0)
     if default == "last":
         last = path.groupBy(*keys).agg(F.max_by("z", "s").alias("__last")) if keys else path.agg(F.max_by("z", "s").alias("__last"))
         out = out.join(last, list(keys), "left") if keys else out.join(F.broadcast(last), how="left", on=F.lit(True))
         fallback = F.col("__last")
-    return out.withColumn(name, F.coalesce("__z", fallback).cast("int")).drop("__z", "__last")
+    return out.withColumn(name, F.coalesce("__z", fallback).cast("int")).drop("__s", "__e", "__z", "__last")
 
 
 def switch_intervals(path: DataFrame, grid_horizon: float, dt: float, keys: Sequence[str]) -> DataFrame:

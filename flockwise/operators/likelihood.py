@@ -193,13 +193,17 @@ def excitation_attribution(lay: Layout, params: DataFrame) -> DataFrame:
         a1, rho1 = p[2], p[4]
         i, m, b = seg.ev["actor"], seg.ev["mark"], seg.ev["b"]
         n = len(b)
-        mass = seg.same.reshape(n, K, M) * a1[:, i].T[:, :, None] * rho1[:, m].T[:, None, :]
         heads = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
         group = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, n]))
-        acc = np.zeros((len(heads), K, M, K, M))
-        np.add.at(acc, (group, slice(None), slice(None), i, m), mass)
-        g, j, a, k, c = np.nonzero(acc > 0)
-        return list(zip([fit] * len(g), b[heads][g].tolist(), j.tolist(), a.tolist(), k.tolist(), c.tolist(), acc[g, j, a, k, c]))
+        # only sources that an event has seen in its interval; then sums over runs of equal (interval, route)
+        at, source = np.nonzero(seg.same)
+        j, k = source // M, source % M
+        mass = seg.same[at, source] * a1[j, i[at]] * rho1[k, m[at]]
+        route = np.ravel_multi_index((group[at], j, k, i[at], m[at]), (len(heads), K, M, K, M))
+        kept, place = np.unique(route[mass > 0], return_inverse=True)
+        g, j, k, a, c = np.unravel_index(kept, (len(heads), K, M, K, M))
+        total = np.bincount(place, weights=mass[mass > 0], minlength=len(kept))
+        return list(zip([fit] * len(g), b[heads][g].tolist(), j.tolist(), k.tolist(), a.tolist(), c.tolist(), total.tolist()))
 
     cols = ["fit_id", "b", "src", "src_mark", "dst", "dst_mark", "mass"]
     rows = chunk_pass(lay, params, None, fn, "fit_id long, b int, src int, src_mark int, dst int, dst_mark int, mass double", cols)

@@ -16,6 +16,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flockwise.session import cut_lineage
+
 BUCKET = "__bucket"
 
 
@@ -76,6 +78,14 @@ def rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Co
     return out.drop("__local", "__before", BUCKET, "__all")
 
 
+def sorted_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``row_number`` over the whole table for columns of any type: ranges are sorted in parallel, and their row counts are the offsets."""
+    placed = cut_lineage(df.orderBy(*order).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")))
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row per shuffle partition
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column | Splits,
                 value: str, name: str, descending: bool = False, inclusive: bool = True) -> DataFrame:
     df, ks = _with_keys(df, keys)
@@ -119,7 +129,8 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str
         .groupBy(*ks, F.col(value).cast("double").alias("__x"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    counts = with_bucket(counts, value_bucket(F.col("__x")))
+    # stored: the split points, the totals and the buckets that hold a wanted rank are taken from it
+    counts = with_bucket(cut_lineage(counts), value_bucket(F.col("__x")))
     totals = counts.groupBy(*ks, BUCKET).agg(F.sum("__n").alias("__n"))
     whole = Window.partitionBy(*ks)
     offs = _offsets(totals, ks, "__n", False).withColumn("__total", F.sum("__n").over(whole))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flockwise.operators.history import Layout, decayed_prefix
 from flockwise.operators.likelihood import PARTIAL, interval_sums
+from flockwise.session import cut_lineage
 
 PACK_ROWS = 200_000
 
@@ -23,42 +24,97 @@ def _packs(rows: float) -> int:
 EMISSION = ["n", "log0", "log1", "comp_base", "comp_carried", "comp_routine", "comp_active", "ell0", "ell1"]
 
 
-def interval_emissions(lay: Layout, params: DataFrame, weights: DataFrame | None, present: bool = False, n_cands: int = 1) -> DataFrame:
+#: Intervals of a grid that a task fills at a time.
+GRID_BLOCK = 65_536
+
+
+def _block_carries(sums: DataFrame, keys: list[str], lay: Layout, block: int) -> DataFrame:
+    """Mass alive at the start of each grid block, per key and kind: ``keys, block, c0, c1``.
+
+    ``sums`` has ``b, block, d0, d1, beta0, beta1``: mass as of each interval's end. Blocks are summed in parallel; what is folded
+    along a grid is one row per block.
+    """
+    dt, horizon, blocks = lay.dt, lay.horizon, -(-lay.B // block)
+    ends = lambda n: F.least(n * F.lit(float(dt)), F.lit(float(horizon)))
+    left = ends((F.col("block") + 1) * block) - ends(F.col("b") + 1)
+    parts = sums.groupBy(*keys, "block").agg(*[F.sum(F.col(f"d{k}") * F.exp(-F.col(f"beta{k}") * left)).alias(f"m{k}") for k in (0, 1)], F.first("beta0").alias("beta0"), F.first("beta1").alias("beta1"))
+    kinds = dict(sums.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", block long, c0 double, c1 double"
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        at, first = pdf["block"].to_numpy(), int(pdf["block"].iloc[0])
+        mass = np.zeros((2, blocks))
+        mass[:, at] = pdf[["m0", "m1"]].to_numpy().T
+        beta = pdf[["beta0", "beta1"]].iloc[0].to_numpy(float)
+        held, rows = np.zeros(2), []
+        for k in range(first, blocks - 1):
+            held = held * np.exp(-beta * (min((k + 1) * block * dt, horizon) - k * block * dt)) + mass[:, k]
+            rows.append((k + 1, *held))
+        out = pd.DataFrame(rows, columns=["block", "c0", "c1"])
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    return parts.groupBy(*keys).applyInPandas(fold, schema)
+
+
+def _block_starts(lay: Layout, k: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and bounds of a block's intervals."""
+    b = np.arange(k * block, min((k + 1) * block, lay.B))
+    return b, np.minimum(np.append(b, b[-1] + 1) * lay.dt, lay.horizon)
+
+
+def _alive(d, bounds, beta: float, carry: float) -> np.ndarray:
+    """Mass alive at each interval start of a block: what earlier ends of the block left, and what came into it."""
+    zero = np.zeros(len(d), dtype=int)
+    return np.r_[0.0, _carried(d, bounds[1:], beta, zero)] + carry * np.exp(-beta * (bounds[:-1] - bounds[0]))
+
+
+def _shape_of(lay: Layout) -> Layout:
+    """The numbers of a layout, without its tables."""
+    return Layout(None, None, None, lay.n_chunks, lay.n_fits, lay.spans, lay.K, lay.M, lay.dt, lay.horizon)
+
+
+def interval_emissions(lay: Layout, params: DataFrame, weights: DataFrame | None, present: bool = False, n_cands: int = 1, block: int = GRID_BLOCK) -> DataFrame:
     """``ell[b, z]`` and its parts on the zero-filled grid of every fit.
 
     The compensator is separable: per interval only a scalar of routine and one of active
-    mass is carried forward, so the pass is over intervals, not over sources. One task holds
-    the intervals of a set of fits, sized to about ``PACK_ROWS`` rows.
+    mass is carried forward, so the pass is over intervals, not over sources. Grids are cut into blocks; one task holds
+    blocks of about ``PACK_ROWS`` rows, and what earlier blocks left comes in as two numbers.
     """
-    sums = interval_sums(lay, params, weights, present)
+    blocks, shape = -(-lay.B // block), _shape_of(lay)
+    sums = interval_sums(lay, params, weights, present).withColumn("block", F.floor(F.col("b") / block).cast("long"))
     nu_sum = F.aggregate("nu", F.lit(0.0), lambda a, x: a + x)
     head = params.select("fit_id", "cand", nu_sum.alias("nu"), "beta0", "beta1")
-    pack = F.pmod(F.xxhash64("fit_id", "cand"), F.lit(_packs(lay.n_fits * lay.B * n_cands)))
-    B, dt, horizon = lay.B, lay.dt, lay.horizon
+    if blocks > 1:
+        sums = cut_lineage(sums)
+        carries = _block_carries(sums.join(head.select("fit_id", "cand", "beta0", "beta1"), ["fit_id", "cand"]), ["fit_id", "cand"], lay, block)
+        head = head.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        head = head.join(carries, ["fit_id", "cand", "block"], "left").fillna(0.0, ["c0", "c1"])
+    else:
+        head = head.withColumn("block", F.lit(0).cast("long")).withColumn("c0", F.lit(0.0)).withColumn("c1", F.lit(0.0))
+    pack = F.pmod(F.xxhash64("fit_id", "cand", "block"), F.lit(_packs(lay.n_fits * lay.B * n_cands)))
 
     def run(rows: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
-        start = np.arange(B) * dt
-        end = np.minimum(start + dt, horizon)
-        groups = {k: g for k, g in rows.groupby(["fit_id", "cand"])}
+        groups = {k: g for k, g in rows.groupby(["fit_id", "cand", "block"])}
         out = []
-        for f, c, nu, b0, b1 in fits[["fit_id", "cand", "nu", "beta0", "beta1"]].itertuples(index=False):
-            v = np.zeros((len(PARTIAL), B))
-            if (f, c) in groups:
-                g = groups[(f, c)]
-                v[:, g["b"].to_numpy()] = g[PARTIAL].to_numpy().T
+        for f, c, k, nu, b0, b1, c0, c1 in fits[["fit_id", "cand", "block", "nu", "beta0", "beta1", "c0", "c1"]].itertuples(index=False):
+            b, bounds = _block_starts(shape, k, block)
+            v = np.zeros((len(PARTIAL), len(b)))
+            if (f, c, k) in groups:
+                g = groups[(f, c, k)]
+                v[:, g["b"].to_numpy() - b[0]] = g[PARTIAL].to_numpy().T
             n, l0, l1, w0, w1, d0, d1 = v
-            zero = np.zeros(B, dtype=int)
+            delta = np.diff(bounds)
             # mass d is as of the interval's end, which is the next interval's start
-            s0 = np.r_[0.0, _carried(d0, end, b0, zero)]
-            s1 = np.r_[0.0, _carried(d1, end, b1, zero)]
-            delta = end - start
-            k0, k1 = -np.expm1(-b0 * delta) / b0, -np.expm1(-b1 * delta) / b1
+            carried0 = _alive(d0, bounds, b0, c0) * -np.expm1(-b0 * delta) / b0
+            carried1 = _alive(d1, bounds, b1, c1) * -np.expm1(-b1 * delta) / b1
             base = nu * delta
-            carried0, carried1 = s0 * k0, s1 * k1
             shared = base + carried0 + (0.0 if present else carried1)
             active = w1 + (carried1 if present else 0.0)
             out.append(pd.DataFrame({
-                "fit_id": f, "cand": c, "b": np.arange(B, dtype=np.int32), "n": n.astype(np.int64), "log0": l0, "log1": l1,
+                "fit_id": f, "cand": c, "b": b.astype(np.int32), "n": n.astype(np.int64), "log0": l0, "log1": l1,
                 "comp_base": base, "comp_carried": shared - base, "comp_routine": w0, "comp_active": active,
                 "ell0": l0 - shared - w0, "ell1": l1 - shared - w0 - active,
             }))
@@ -66,7 +122,8 @@ def interval_emissions(lay: Layout, params: DataFrame, weights: DataFrame | None
 
     schema = "fit_id long, cand int, b int, n long, " + ", ".join(f"{c} double" for c in EMISSION[1:])
     left = sums.withColumn("pack", pack).groupBy("pack")
-    return left.cogroup(head.withColumn("pack", pack).groupBy("pack")).applyInPandas(run, schema)
+    right = head.select(*[F.col(c).alias(c) for c in head.columns])  # fresh identities
+    return left.cogroup(right.withColumn("pack", pack).groupBy("pack")).applyInPandas(run, schema)
 
 
 def _carried(d, end, beta, src):
@@ -77,10 +134,10 @@ def _carried(d, end, beta, src):
     return (pre[:, 0] + d)[:-1]
 
 
-def interval_start_traces(lay: Layout, events: DataFrame, betas: DataFrame, weights: DataFrame | None) -> DataFrame:
+def interval_start_traces(lay: Layout, events: DataFrame, betas: DataFrame, weights: DataFrame | None, block: int = GRID_BLOCK) -> DataFrame:
     """Traces per source at each interval start (events strictly before), non-zero rows only.
 
-    Events reduce to one decayed sum per interval and source; those few rows are scanned.
+    Events reduce to one decayed sum per interval and source; those few rows are scanned, block of the grid by block.
     """
     e = events.join(betas, "fit_id")
     if weights is not None:
@@ -88,28 +145,34 @@ def interval_start_traces(lay: Layout, events: DataFrame, betas: DataFrame, weig
     else:
         e = e.withColumn("w", F.lit(1.0))
     rem = F.col("t_end") - F.col("t")
-    sums = e.groupBy("fit_id", "actor", "mark", "b").agg(
+    keys, blocks, shape = ["fit_id", "actor", "mark"], -(-lay.B // block), _shape_of(lay)
+    sums = e.groupBy(*keys, "b").agg(
         F.sum(F.col("beta0") * F.exp(-F.col("beta0") * rem)).alias("d0"),
         F.sum(F.col("w") * F.col("beta1") * F.exp(-F.col("beta1") * rem)).alias("d1"),
         F.first("beta0").alias("beta0"), F.first("beta1").alias("beta1"),
-    )
-    B, dt, horizon = lay.B, lay.dt, lay.horizon
-    pack = F.pmod(F.xxhash64("fit_id", "actor", "mark"), F.lit(_packs(lay.n_fits * lay.B * lay.K * lay.M)))
+    ).withColumn("block", F.floor(F.col("b") / block).cast("long"))
+    none = F.lit(0.0)
+    rows = sums.select(*keys, "block", "b", "d0", "d1", "beta0", "beta1", none.alias("c0"), none.alias("c1"))
+    if blocks > 1:
+        sums = cut_lineage(sums)
+        carries = _block_carries(sums, keys, lay, block).join(betas.select("fit_id", "beta0", "beta1"), "fit_id")
+        rows = sums.select(*keys, "block", "b", "d0", "d1", "beta0", "beta1", none.alias("c0"), none.alias("c1")).unionByName(
+            carries.select(*keys, "block", F.lit(-1).alias("b"), none.alias("d0"), none.alias("d1"), "beta0", "beta1", "c0", "c1"))
+    pack = F.pmod(F.xxhash64(*keys, "block"), F.lit(_packs(lay.n_fits * lay.B * lay.K * lay.M)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        end = np.minimum((np.arange(B) + 1) * dt, horizon)
-        zero = np.zeros(B, dtype=int)
         out = []
-        for (f, a, m), g in pdf.groupby(["fit_id", "actor", "mark"]):
-            d = np.zeros((2, B))
-            d[:, g["b"].to_numpy()] = g[["d0", "d1"]].to_numpy().T
-            r = _carried(d[0], end, g["beta0"].iloc[0], zero)
-            s = _carried(d[1], end, g["beta1"].iloc[0], zero)
-            out.append(pd.DataFrame({"fit_id": f, "b": np.arange(1, B, dtype=np.int32), "actor": a, "mark": m, "routine": r, "active": s}))
+        for (f, a, m, k), g in pdf.groupby([*keys, "block"]):
+            b, bounds = _block_starts(shape, k, block)
+            d = np.zeros((2, len(b)))
+            own = g[g["b"] >= 0]
+            d[:, own["b"].to_numpy() - b[0]] = own[["d0", "d1"]].to_numpy().T
+            r, s = (_alive(d[z], bounds, g[f"beta{z}"].iloc[0], g[f"c{z}"].sum()) for z in (0, 1))
+            out.append(pd.DataFrame({"fit_id": f, "b": b.astype(np.int32), "actor": a, "mark": m, "routine": r, "active": s}))
         return pd.concat(out)
 
-    rows = sums.withColumn("pack", pack).groupBy("pack").applyInPandas(run, "fit_id long, b int, actor int, mark int, routine double, active double")
-    return rows.filter("routine > 0 OR active > 0")
+    found = rows.withColumn("pack", pack).groupBy("pack").applyInPandas(run, "fit_id long, b int, actor int, mark int, routine double, active double")
+    return found.filter("routine > 0 OR active > 0")
 
 
 # --- forward-backward -------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flockwise.operators import ordered
@@ -45,12 +45,15 @@ def write_sessions(df: DataFrame, path: str, meta: Sequence[str] = ()) -> DataFr
     )
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def append_results(df: DataFrame, path: str) -> None:
     """Append rows; when the table exists its schema wins and absent columns become null."""
     spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    if exists:
+    if table_exists(spark, path):
         schema = spark.read.parquet(path).schema
         df = df.select(*[
             (F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name)
@@ -59,10 +62,6 @@ def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def union_results(old: DataFrame, new: DataFrame) -> DataFrame:
-    return old.unionByName(new, allowMissingColumns=True)
-
-
 def resume_filter(tasks: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Drop tasks whose key already has a finished row."""
     finished = done.filter(F.coalesce(F.col("status"), F.lit("ok")) == "ok").select(*keys).distinct()

@@ -121,3 +121,16 @@ def test_decayed_prefix_survives_large_exponents():
     got, _ = H.decayed_prefix(t, np.zeros(5, dtype=int), np.ones(5), 1, 20.0, np.zeros(1), 0.0)
     want = [sum(20.0 * np.exp(-20.0 * (t[n] - t[k])) for k in range(n)) for n in range(5)]
     np.testing.assert_allclose(got[:, 0], want, rtol=1e-12)
+
+
+def test_long_grids_in_blocks_equal_whole_ones(inputs):
+    """Emissions, traces at interval starts and present-time gating with the grid cut into blocks of three intervals."""
+    events, params, weights = inputs
+    lay = H.layout(events, K, M, DT, T)
+    for present in (False, True):
+        a, b = (S.interval_emissions(lay, params, None if present else weights, present, block=n).orderBy("fit_id", "cand", "b").toPandas() for n in (S.GRID_BLOCK, 3))
+        assert len(a) == len(b)
+        np.testing.assert_allclose(a.drop(columns=["fit_id"]).to_numpy(float), b[a.columns].drop(columns=["fit_id"]).to_numpy(float), rtol=1e-10, atol=1e-12)
+    betas = params.select("fit_id", "beta0", "beta1").distinct()
+    x, y = (S.interval_start_traces(lay, lay.events, betas, weights, block=n).orderBy("fit_id", "actor", "mark", "b").toPandas() for n in (S.GRID_BLOCK, 3))
+    np.testing.assert_allclose(x.to_numpy(float), y.to_numpy(float), rtol=1e-10, atol=1e-13)

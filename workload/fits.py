@@ -17,10 +17,11 @@ from flockwise.plans import pairs as PR
 from flockwise.plans import rows as R
 from flockwise.plans import selection as SE
 from flockwise.plans import steps as ST
-from flockwise.session import cut_lineage
+from flockwise.plans import study as SY
+from flockwise.session import cut_lineage, scratch_path
 from workload import canon as C
 from workload.aggregates import binned
-from workload.processes import NB, SMOOTHED, SMOOTHED_PRESENT, fits, fixed_params, gates, laid_out, named, setup
+from workload.processes import EMIT, GATES, NB, OFF, ON, P00, P11, SMOOTHED, SMOOTHED_PRESENT, fits, fixed_params, gates, laid_out, named, setup
 from workload.registry import query, rounded
 
 
@@ -88,7 +89,33 @@ def decay_step(spark, sf):
     return summary(cur)
 
 
-@query("switch_rate_step")
+def lse(a, b):
+    return f"(greatest({a}, {b}) + ln(1 + exp(-abs(({a}) - ({b})))))"
+
+
+def moves(a: float, b: float, c: float, d: float) -> str:
+    """Forward and backward sums over ``em`` (session_id, b, e0, e1) with the given transition, and the expected moves as ``mv``."""
+    p = {k: f"ln({v!r}::DOUBLE)" for k, v in zip(("00", "01", "10", "11"), (a, b, c, d))}
+    return f"""fw AS (SELECT session_id, b, s0 + e0 AS x0, s1 + e1 AS x1 FROM em, st0 WHERE b = 0
+  UNION ALL SELECT f.session_id, e.b, e.e0 + {lse(f"x0 + {p['00']}", f"x1 + {p['10']}")}, e.e1 + {lse(f"x0 + {p['01']}", f"x1 + {p['11']}")} FROM fw f JOIN em e ON e.session_id = f.session_id AND e.b = f.b + 1),
+bw AS (SELECT session_id, b, 0::DOUBLE AS y0, 0::DOUBLE AS y1 FROM em WHERE b = {NB - 1}
+  UNION ALL SELECT k.session_id, e.b - 1, {lse(f"{p['00']} + e.e0 + y0", f"{p['01']} + e.e1 + y1")}, {lse(f"{p['10']} + e.e0 + y0", f"{p['11']} + e.e1 + y1")}
+  FROM bw k JOIN em e ON e.session_id = k.session_id AND e.b = k.b WHERE k.b > 0),
+ll AS (SELECT session_id, {lse('x0', 'x1')} AS ll FROM fw WHERE b = {NB - 1}),
+mv AS (SELECT f.session_id, sum(exp(x0 + {p['00']} + e0 + y0 - ll)) AS x00, sum(exp(x0 + {p['01']} + e1 + y1 - ll)) AS x01, sum(exp(x1 + {p['10']} + e0 + y0 - ll)) AS x10, sum(exp(x1 + {p['11']} + e1 + y1 - ll)) AS x11
+  FROM fw f JOIN em e ON e.session_id = f.session_id AND e.b = f.b + 1 JOIN bw k ON k.session_id = e.session_id AND k.b = e.b JOIN ll ON ll.session_id = f.session_id GROUP BY 1)"""
+
+
+RATES = f"""
+WITH RECURSIVE {EMIT.replace('em AS (', 'em_all AS (')}, em AS (SELECT session_id, b, ell0 AS e0, ell1 AS e1 FROM em_all), st0 AS (SELECT ln({OFF / (ON + OFF)!r}::DOUBLE) AS s0, ln({ON / (ON + OFF)!r}::DOUBLE) AS s1),
+{moves(P00, 1 - P00, 1 - P11, P11)},
+p AS (SELECT session_id, x01 / (x00 + x01) AS up, x10 / (x10 + x11) AS down, (x01 + x11) / (x00 + x01 + x10 + x11) AS ones FROM mv),
+r AS (SELECT session_id, CASE WHEN up + down < 1 THEN -ln(1 - up - down) / 24.0::DOUBLE ELSE 50.0::DOUBLE END AS rate, CASE WHEN up + down < 1 THEN up / (up + down) ELSE ones END AS share FROM p)
+SELECT session_id, round(ll, 6) AS loglik, round(greatest(least(share * rate, 5.0::DOUBLE), 1e-4::DOUBLE), 6) AS eta_on, round(greatest(least((1 - share) * rate, 5.0::DOUBLE), 1e-4::DOUBLE), 6) AS eta_off
+FROM r JOIN ll USING (session_id)"""
+
+
+@query("switch_rate_step", RATES)
 def switch_rate_step(spark, sf):
     lay, params, weights = setup(spark, sf)
     xi = S.xi_sums(S.estep(lay, params, weights))
@@ -102,9 +129,28 @@ def mstep(spark, sf):
     return summary(EM.mstep(lay, init, post.select("fit_id", "b", F.col("g1").alias("w"), "g1"), S.xi_sums(post), EM.REPLICATION))
 
 
-@query("stability_projection")
+def squared(key: str, times: int) -> str:
+    """The matrices ``m0`` (key, i, j, x) raised to the power 2^times, scaled on the way; ``lead``: their leading eigenvectors."""
+    steps = [f"""
+q{k} AS (SELECT a.{key}, a.i, b.j, sum(a.x * b.x) AS x FROM m{k} a JOIN m{k} b ON a.{key} = b.{key} AND a.j = b.i GROUP BY 1, 2, 3),
+m{k + 1} AS (SELECT {key}, i, j, x / max(x) OVER (PARTITION BY {key}) AS x FROM q{k}),""" for k in range(times)]
+    return "".join(steps) + f"""
+lead AS (SELECT {key}, i, sum(x) AS v FROM m{times} GROUP BY 1, 2)"""
+
+
+PROJECTION = f"""
+WITH {GATES}, w AS (SELECT session_id, src AS i, dst AS j, 0.05::DOUBLE + g * h * (ln(1 + exp(-abs(d))) + greatest(d, 0)) AS x FROM dot),
+c AS (SELECT session_id, avg(o) AS c FROM (SELECT session_id, i, sum(x) AS o FROM w GROUP BY 1, 2) GROUP BY 1),
+m0 AS (SELECT * FROM w UNION ALL SELECT DISTINCT session_id, i, i, c FROM w JOIN c USING (session_id)),
+{squared("session_id", 14)},
+s AS (SELECT session_id, sum(v) AS total FROM lead GROUP BY 1),
+r AS (SELECT w.session_id, sum(w.x * v.v) / max(s.total) AS radius FROM w JOIN lead v ON v.session_id = w.session_id AND v.i = w.j JOIN s ON s.session_id = w.session_id GROUP BY 1)
+SELECT session_id, round(radius, 6) AS radius, round(CASE WHEN radius > 0.95 THEN least(0.8::DOUBLE / radius, 1) ELSE 1.0::DOUBLE END, 6) AS scale FROM r"""
+
+
+@query("stability_projection", PROJECTION)
 def stability_projection(spark, sf):
-    """Radius of each session's joint coupling by power iteration, and its scale factor."""
+    """Radius of each session's joint coupling, and its scale factor; the SQL raises matrices to a high power instead."""
     a = G.active_coupling(gates(spark, sf), ["session_id"])
     routine = a.withColumn("w", F.lit(0.05))
     return rounded(G.stability_scale(routine, a, ["session_id"]))
@@ -148,28 +194,17 @@ def fit_count_hmm(spark, sf):
     return named(B.fit_count_hmm(counts, NB, counts.select("fit_id").distinct().count())[0])
 
 
-def lse(a, b):
-    return f"(greatest({a}, {b}) + ln(1 + exp(-abs(({a}) - ({b})))))"
-
-
 PMF = "n * ln({r}) - {r} - lf"
 HMM_ROUND = f"""
 WITH RECURSIVE {C.EV}, {C.GRID}, {C.EVB}, ct AS (SELECT g.session_id, g.b, CAST(count(e.event_id) AS BIGINT) AS n FROM grid g LEFT JOIN evb e USING (session_id, b) GROUP BY 1, 2),
 mn AS (SELECT session_id, greatest(avg(n), 1e-3::DOUBLE) AS m FROM ct GROUP BY 1),
 st AS (SELECT session_id, greatest(0.5::DOUBLE * m, 1e-3::DOUBLE) AS r0, greatest(1.5::DOUBLE * m, greatest(0.5::DOUBLE * m, 1e-3::DOUBLE) + 1e-3::DOUBLE) AS r1 FROM mn),
 em AS (SELECT session_id, b, n, {PMF.format(r='r0')} AS e0, {PMF.format(r='r1')} AS e1 FROM (SELECT *, lgamma(n + 1) AS lf FROM ct) JOIN st USING (session_id)),
-fw AS (SELECT session_id, b, ln(0.9::DOUBLE) + e0 AS x0, ln(0.1::DOUBLE) + e1 AS x1 FROM em WHERE b = 0
-  UNION ALL SELECT f.session_id, e.b, e.e0 + {lse('x0 + ln(0.95::DOUBLE)', 'x1 + ln(0.1::DOUBLE)')}, e.e1 + {lse('x0 + ln(0.05::DOUBLE)', 'x1 + ln(0.9::DOUBLE)')} FROM fw f JOIN em e ON e.session_id = f.session_id AND e.b = f.b + 1),
-bw AS (SELECT session_id, b, 0::DOUBLE AS y0, 0::DOUBLE AS y1 FROM em WHERE b = {NB - 1}
-  UNION ALL SELECT k.session_id, e.b - 1, {lse('ln(0.95::DOUBLE) + e.e0 + y0', 'ln(0.05::DOUBLE) + e.e1 + y1')}, {lse('ln(0.1::DOUBLE) + e.e0 + y0', 'ln(0.9::DOUBLE) + e.e1 + y1')}
-  FROM bw k JOIN em e ON e.session_id = k.session_id AND e.b = k.b WHERE k.b > 0),
-ll AS (SELECT session_id, {lse('x0', 'x1')} AS ll FROM fw WHERE b = {NB - 1}),
+st0 AS (SELECT ln(0.9::DOUBLE) AS s0, ln(0.1::DOUBLE) AS s1),
+{moves(0.95, 0.05, 0.1, 0.9)},
 g AS (SELECT e.session_id, e.b, n, exp(x0 + y0 - ll) AS g0, exp(x1 + y1 - ll) AS g1 FROM em e JOIN fw USING (session_id, b) JOIN bw USING (session_id, b) JOIN ll ON ll.session_id = e.session_id),
-x AS (SELECT f.session_id, sum(exp(x0 + ln(0.95::DOUBLE) + e0 + y0 - ll)) AS x00, sum(exp(x0 + ln(0.05::DOUBLE) + e1 + y1 - ll)) AS x01,
-  sum(exp(x1 + ln(0.1::DOUBLE) + e0 + y0 - ll)) AS x10, sum(exp(x1 + ln(0.9::DOUBLE) + e1 + y1 - ll)) AS x11
-  FROM fw f JOIN em e ON e.session_id = f.session_id AND e.b = f.b + 1 JOIN bw k ON k.session_id = e.session_id AND k.b = e.b JOIN ll ON ll.session_id = f.session_id GROUP BY 1),
 r AS (SELECT session_id, greatest(sum(g0 * n) / sum(g0), 1e-3::DOUBLE) AS r0, greatest(sum(g1 * n) / sum(g1), 1e-3::DOUBLE) AS r1 FROM g GROUP BY 1),
-o AS (SELECT session_id, ll, r0, r1, x00 / (x00 + x01) AS p00, x11 / (x10 + x11) AS p11 FROM r JOIN x USING (session_id) JOIN ll USING (session_id))
+o AS (SELECT session_id, ll, r0, r1, x00 / (x00 + x01) AS p00, x11 / (x10 + x11) AS p11 FROM r JOIN mv USING (session_id) JOIN ll USING (session_id))
 SELECT session_id, round(ll, 6) AS loglik, CAST(1 AS INTEGER) AS iterations, round(least(r0, r1), 6) AS rate0, round(greatest(r0, r1), 6) AS rate1,
   round(CASE WHEN r0 > r1 THEN p11 ELSE p00 END, 6) AS p00, round(CASE WHEN r0 > r1 THEN p00 ELSE p11 END, 6) AS p11 FROM o"""
 
@@ -201,7 +236,17 @@ def fit_full_matrix(spark, sf):
     return summary(B.fit_full_matrix(laid_out(spark, sf)))
 
 
-@query("spectral_members")
+SPECTRAL = f"""
+WITH {C.EV}, {C.ES.split('et AS (SELECT')[0].rstrip().rstrip(',')}, m0 AS (SELECT a.seed, a.dst AS i, b.dst AS j, sum(a.score * b.score) AS x FROM es a JOIN es b ON a.seed = b.seed AND a.src = b.src GROUP BY 1, 2, 3),
+{squared("seed", 14)},
+rt AS (SELECT seed, i AS actor, v / sqrt(sum(v * v) OVER (PARTITION BY seed)) AS v FROM lead),
+lf AS (SELECT es.seed, src AS actor, sum(score * v) AS u FROM es JOIN rt ON rt.seed = es.seed AND rt.actor = es.dst GROUP BY 1, 2),
+n AS (SELECT seed, actor, u / sqrt(sum(u * u) OVER (PARTITION BY seed)) AS u, v, sqrt(u / sqrt(sum(u * u) OVER (PARTITION BY seed)) * v) AS score FROM lf JOIN rt USING (seed, actor))
+SELECT seed, actor, round(u, 6) AS u, round(v, 6) AS v, round(score, 6) AS score, CAST(CASE WHEN row_number() OVER (PARTITION BY seed ORDER BY score DESC, actor DESC) <= 3 THEN 1 ELSE 0 END AS INTEGER) AS member,
+  CAST(CASE WHEN row_number() OVER (PARTITION BY seed ORDER BY u DESC, actor DESC) <= 1 THEN 1 ELSE 0 END AS INTEGER) AS hub FROM n"""
+
+
+@query("spectral_members", SPECTRAL)
 def spectral_members(spark, sf):
     e = C.edge_table(spark, sf).withColumnRenamed("score", "w")
     return rounded(G.spectral_members(e, ["seed"], 3))
@@ -252,3 +297,29 @@ def dose_response(spark, sf):
         F.col("session_id").alias("fit_id"), "b", F.coalesce("birth_fraction", F.lit(0.0)).alias("birth"), F.col("n_events").alias("n"))
     out = D.dose_response(lay, fixed_params(lay), init, cut_lineage(truth), [0, 1], 0, 0.25, EM.REPLICATION)
     return named(out)
+
+
+@query("study_run", f"""
+WITH {C.EV}, n AS (SELECT session_id, count(*) FILTER (WHERE t < 576) AS early, count(*) FILTER (WHERE t >= 576) AS late FROM ev WHERE t BETWEEN 0 AND 720 GROUP BY 1),
+s AS (SELECT session_id, early, late FROM n UNION ALL SELECT -1, NULL, NULL),
+m AS (SELECT * FROM (VALUES ('b1'), ('b2'), ('b3'), ('proposed')) m(method))
+SELECT session_id, method, CASE WHEN least(early, late) >= 10 THEN 'ok' ELSE 'error' END AS status, CASE WHEN least(early, late) >= 10 THEN late END AS test_events,
+  CAST(CASE WHEN least(early, late) < 10 OR early IS NULL THEN CASE WHEN method IN ('b2', 'b3') THEN 2 ELSE 1 END ELSE 1 END AS INTEGER) AS attempt,
+  CASE WHEN early IS NULL THEN 'no events inside the model' WHEN least(early, late) < 10 THEN 'fewer than 10 events on a side: ' || early || ' and ' || late END AS message
+FROM s, m""")
+def study_run(spark, sf):
+    """All methods on all sessions and one without events, begun with two methods, then resumed with all of them."""
+    shape, path = SY.Shape(C.K, C.M, C.DT, C.HORIZON), scratch_path(spark, "study")
+    ev = fits(spark, sf)
+    sessions = ev.select("fit_id").distinct().unionByName(spark.range(1).select((F.col("id") - 1).alias("fit_id")))
+    SY.run_study(sessions, ev, path, shape, EM.REAL_DATA, ("b2", "b3"))
+    out = SY.run_study(sessions, ev, path, shape, EM.REAL_DATA)
+    return named(out.select("fit_id", "method", "status", "test_events", "attempt", "message"))
+
+
+@query("study_summary")
+def study_summary(spark, sf):
+    """Held-out scores of the two quick methods over all sessions, as means, deviations and counts."""
+    shape, path = SY.Shape(C.K, C.M, C.DT, C.HORIZON), scratch_path(spark, "study")
+    ev = fits(spark, sf)
+    return rounded(SY.summary(SY.run_study(ev.select("fit_id").distinct(), ev, path, shape, EM.REAL_DATA, ("b2", "b3"))))

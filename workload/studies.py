@@ -9,6 +9,10 @@ from workload.registry import SQL, query, rounded
 PAIRS = f"{C.RES}, pr AS (SELECT a.window_id, a.seed, a.f1 - b.f1 AS d FROM res a JOIN res b ON a.window_id = b.window_id AND a.seed = b.seed WHERE a.method = 'F' AND b.method = 'O')"
 
 
+#: The reference's number of resamples of a slope.
+RESAMPLES = 1000
+
+
 def pairs(spark, sf):
     return T.paired_methods(C.results(spark, sf), ["window_id", "seed"], "f1", "F", "O")
 
@@ -16,11 +20,11 @@ def pairs(spark, sf):
 @query("paired_bootstrap", f"""
 WITH {PAIRS}, p AS (SELECT d, row_number() OVER (ORDER BY window_id, seed) - 1 AS pos FROM pr), n AS (SELECT count(*) AS n, avg(d) AS mean_delta FROM pr),
 dr AS (SELECT r.range AS boot, CAST(floor(('0x' || substr(md5(concat_ws('|', '0', 'boot', CAST(r.range AS VARCHAR), CAST(j.range AS VARCHAR))), 1, 13))::BIGINT / 4503599627370496.0 * n) AS BIGINT) AS pos
-  FROM range(200) r CROSS JOIN range(1000) j CROSS JOIN n WHERE j.range < n),
+  FROM range(2000) r CROSS JOIN range(1000) j CROSS JOIN n WHERE j.range < n),
 b AS (SELECT boot, avg(d) AS m FROM dr JOIN p USING (pos) GROUP BY 1)
 SELECT max(n) AS n_pairs, round(max(mean_delta), 6) AS mean_delta, round(quantile_cont(m, 0.025), 6) AS ci_lo, round(quantile_cont(m, 0.975), 6) AS ci_hi FROM b, n""")
 def paired_bootstrap(spark, sf):
-    return rounded(T.paired_bootstrap(pairs(spark, sf), ["window_id", "seed"], "d", 200, 0))
+    return rounded(T.paired_bootstrap(pairs(spark, sf), ["window_id", "seed"], "d", 2000, 0))
 
 
 @query("paired_t_test", f"""
@@ -76,21 +80,17 @@ def loglog_slope(spark, sf):
 
 @query("seed_bootstrap_slope", f"""
 WITH {C.WK}, seeds AS (SELECT seed, row_number() OVER (ORDER BY seed) - 1 AS pos FROM (SELECT DISTINCT seed FROM wk)), n AS (SELECT count(*) AS n FROM seeds),
-dr AS (SELECT r.range AS boot, CAST(floor(('0x' || substr(md5(concat_ws('|', '1', 'seedboot', CAST(r.range AS VARCHAR), CAST(j.range AS VARCHAR))), 1, 13))::BIGINT / 4503599627370496.0 * n) AS BIGINT) AS pos FROM range(60) r, n, range(1000) j WHERE j.range < n),
+dr AS (SELECT r.range AS boot, CAST(floor(('0x' || substr(md5(concat_ws('|', '1', 'seedboot', CAST(r.range AS VARCHAR), CAST(j.range AS VARCHAR))), 1, 13))::BIGINT / 4503599627370496.0 * n) AS BIGINT) AS pos FROM range(1000) r, n, range(1000) j WHERE j.range < n),
 w AS (SELECT boot, seed, count(*) AS w FROM dr JOIN seeds USING (pos) GROUP BY 1, 2), c AS (SELECT seed, level, exposure, sum(recovered) AS s, count(*) AS k FROM wk GROUP BY 1, 2, 3),
 cell AS (SELECT boot, level, exposure, sum(w * s) / sum(w * k) AS rec FROM c JOIN w USING (seed) GROUP BY 1, 2, 3), th AS (SELECT boot, level, min(exposure) FILTER (WHERE rec >= 0.9) AS threshold FROM cell GROUP BY 1, 2),
 sl AS (SELECT boot, CASE WHEN count(threshold) >= 3 THEN regr_slope(ln(threshold), CASE WHEN threshold IS NOT NULL THEN ln(level) END) END AS slope FROM th GROUP BY 1),
 f AS (SELECT count(slope) AS n_boot_ok, quantile_cont(slope, 0.025) AS lo, quantile_cont(slope, 0.975) AS hi FROM sl)
 SELECT n_boot_ok, round(CASE WHEN n_boot_ok >= 20 THEN lo END, 6) AS ci_lo, round(CASE WHEN n_boot_ok >= 20 THEN hi END, 6) AS ci_hi, coalesce(n_boot_ok >= 20 AND lo <= -2 + 1e-6 AND hi >= -2 - 1e-6, false) AS covers_neg2 FROM f""")
 def seed_bootstrap_slope(spark, sf):
-    return rounded(T.seed_bootstrap_slope(weak(spark, sf), "seed", "level", "exposure", "recovered", "alpha", "n_eff", 60, 1))
-
-
-#: The reference's number of resamples; the query above stays at the 60 that its SQL draws.
-RESAMPLES = 1000
+    return rounded(T.seed_bootstrap_slope(weak(spark, sf), "seed", "level", "exposure", "recovered", "alpha", "n_eff", RESAMPLES, 1))
 
 
-@query("seed_bootstrap_slope_full", SQL["seed_bootstrap_slope"].replace("FROM range(60) r", f"FROM range({RESAMPLES}) r"))
+@query("seed_bootstrap_slope_full", SQL["seed_bootstrap_slope"])
 def seed_bootstrap_slope_full(spark, sf):
     return rounded(T.seed_bootstrap_slope(weak(spark, sf), "seed", "level", "exposure", "recovered", "alpha", "n_eff", RESAMPLES, 1))
 
