@@ -67,7 +67,9 @@ def decayed_pairs(t, src, beta, state, lagged, t_state):
 #: Event pairs up to which a pair of actors is fitted inside a task, and how many go to a task about.
 MEETINGS, TASK_MEETINGS = 2_000_000, 200_000
 #: Greatest component of the projected gradient at a solution, steps that the curvature remembers, least slope that a step keeps.
-GRADIENT_TOL, MEMORY, ARMIJO = 1e-4, 10, 1e-4
+GRADIENT_TOL, MEMORY, ARMIJO = 1e-4, 30, 1e-4
+#: Size of a step in a jump, as a share of that in a decay.
+RATIO = 0.3
 #: Where a fit starts: least rate, jumps from the same and from another dimension, decay.
 START_RATE, START_OWN, START_OTHER, START_DECAY = 1e-3, 0.02, 0.05, 1.0
 
@@ -114,22 +116,34 @@ def pair_bounds(D: int) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
+def scales(rates: np.ndarray, D: int) -> np.ndarray:
+    """Sizes of a step in each component: rates are small and stiff, decays are not."""
+    return np.concatenate([rates, np.full(D * D, RATIO * START_DECAY), np.full(D * D, START_DECAY)])
+
+
 def projected_gradient(x, slope, low, high) -> float:
     """How far a unit step down the slope moves inside the bounds."""
     return float(np.abs(np.clip(x - slope, low, high) - x).max(initial=0.0))
 
 
-def minimised(f, x: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int) -> tuple[np.ndarray, float, float, int]:
+def minimised(f, x: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int, scale=1.0) -> tuple[np.ndarray, float, float, int]:
     """Projected quasi-Newton steps with limited memory; the point, its value and projected gradient, and the steps taken.
 
     Components at a bound that the slope pushes outwards are held; the others move along the remembered curvature, and the
-    step is halved until the value falls enough.
+    step is halved until the value falls enough. Steps are taken in units of ``scale``; the gradient test is not.
     """
+    inner, low, high, x = f, low / scale, high / scale, x / scale
+
+    def f(y):
+        value, slope = inner(y * scale)
+        return value, slope * scale
+
+    test = lambda y, slope: projected_gradient(y * scale, slope / scale, low * scale, high * scale)
     x = np.clip(x, low, high)
     value, slope = f(x)
     kept: list[tuple[np.ndarray, np.ndarray]] = []
     it = 0
-    while it < steps and np.isfinite(value) and projected_gradient(x, slope, low, high) > GRADIENT_TOL:
+    while it < steps and np.isfinite(value) and test(x, slope) > GRADIENT_TOL:
         it += 1
         free = ~(((x <= low) & (slope > 0)) | ((x >= high) & (slope < 0)))
         d, used = np.where(free, slope, 0.0), []
@@ -165,7 +179,7 @@ def minimised(f, x: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int) -
         if s @ y > 1e-10:
             kept = [*kept, (s, y)][-MEMORY:]
         x, value, slope = moved
-    return x, value, projected_gradient(x, slope, low, high), it
+    return x * scale, value, test(x, slope), it
 
 
 def _units(pdf: pd.DataFrame, ctx: pd.DataFrame, D: int):
@@ -269,7 +283,7 @@ def _small_pairs(named: DataFrame, good: DataFrame, D: int, steps: int) -> DataF
             start = np.concatenate([
                 np.maximum(np.bincount(dim, minlength=D) / total[pair], START_RATE), np.where(np.eye(D, dtype=bool), START_OWN, START_OTHER).ravel(), np.full(D * D, START_DECAY)
             ])
-            x, value, slope, it = minimised(f, start, low, high, steps)
+            x, value, slope, it = minimised(f, start, low, high, steps, scales(start[:D], D))
             out.append((pair, x[D : D + D * D].tolist(), x[D + D * D :].tolist(), -value, slope, it))
         return pd.DataFrame(out, columns=names)
 
@@ -277,11 +291,11 @@ def _small_pairs(named: DataFrame, good: DataFrame, D: int, steps: int) -> DataF
 
 
 def pairwise_coupling(segments: DataFrame, windows: DataFrame, keys: Sequence[str], m: int, iters: int = 500, min_events: int = 4,
-                      chunk_rows: int | None = None, meetings: int = MEETINGS) -> DataFrame:
+                      chunk_rows: int | None = None, meetings: int = MEETINGS, passes: int = 200) -> DataFrame:
     """Integrated coupling ``Σ alpha/beta`` in both directions of every pair with enough events.
 
     Pairs whose fit has no finite log-likelihood, or whose projected gradient is above the tolerance after ``iters`` steps, are dropped.
-    Pairs of actors with more than ``meetings`` pairs of events are fitted by passes over their events.
+    Pairs of actors with more than ``meetings`` pairs of events are fitted by at most ``passes`` passes over their events.
     """
     D = 2 * m
     named = segments.withColumn("pair", F.concat_ws("/", *[F.col(k).cast("string") for k in keys], "src", "dst"))
@@ -294,7 +308,7 @@ def pairwise_coupling(segments: DataFrame, windows: DataFrame, keys: Sequence[st
     few, many = good.filter(F.col("meetings") <= meetings), good.filter(F.col("meetings") > meetings)
     out = few.select("pair", *keys, "src", "dst").join(_small_pairs(named, few, D, iters), "pair")
     if not many.isEmpty():
-        out = out.unionByName(_busy_pairs(named, many, windows, keys, D, iters, chunk_rows).select(*out.columns))
+        out = out.unionByName(_busy_pairs(named, many, windows, keys, D, passes, chunk_rows).select(*out.columns))
     fine = F.col("loglik").isNotNull() & ~F.isnan("loglik") & (F.abs("loglik") < float("inf")) & (F.col("gradient") <= GRADIENT_TOL)
     out = out.filter(fine).withColumn("ratio", F.zip_with("alpha", "beta", lambda a, b: F.greatest(a / F.greatest(b, F.lit(1e-12)), F.lit(0.0))))
     pick = lambda test: F.aggregate(F.filter(F.transform("ratio", lambda x, i: F.when(test((i / D).cast("int"), i % D), x)), lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
