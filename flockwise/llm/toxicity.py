@@ -164,7 +164,7 @@ def features(word: str) -> set[str]:
 class Restorer:
     """Restored words of whole batches; up to ``limit`` distinct words are kept with their values."""
 
-    def __init__(self, model: CharModel, weigh=None, limit: int = 200_000):
+    def __init__(self, model: CharModel, weigh=None, limit: int = 100_000):
         self.model, self.weigh, self.limit, self.memo, self.pairs = model, weigh, limit, {}, {}
 
     def restored(self, word: str) -> str:
@@ -186,7 +186,10 @@ class Restorer:
             clean = [self.restored(w) for w in fresh]
             values = clean if self.weigh is None else self.weigh.many(clean) if isinstance(self.weigh, Weights) else map(self.weigh, clean)
             self.memo.update(zip(fresh, values, strict=True))
-        return [self.memo[w] for w in words]
+        out = [self.memo[w] for w in words]
+        if len(self.memo) > self.limit:  # nothing beyond the limit outlives a batch
+            self.memo.clear()
+        return out
 
     def value(self, word: str):
         return self.values([word])[0]
@@ -349,13 +352,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, seen = Restorer(chars, features, limit=5_000), Counter()  # a word's parts take far more room than a weight
-        for batch in slices(batches, 0, 1 << 20):
+        for batch in slices(batches, 0, 1 << 19):
             names, codes, ends = restorer.words(batch.column(0).cast(pa.string()))
             parts = restorer.values(names)
             for i, (y, fold) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 own: set[str] = set().union(*(parts[c] for c in set(codes[ends[i] : ends[i + 1]].tolist())))
                 seen.update((f, fold, y) for f in own)
-            if len(seen) > 300_000:
+            del parts, names  # before the next batch makes its own
+            if len(seen) > 200_000:
                 yield _counted(seen)
                 seen.clear()
         yield _counted(seen)
