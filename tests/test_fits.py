@@ -5,8 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from flockwise.operators.batched import Events
 from flockwise.operators.history import layout
 from flockwise.plans import em as EM
+from flockwise.plans.local import Whole
 from flockwise.plans.rows import coupling
 
 
@@ -158,3 +160,51 @@ def test_packed_rounds_equal_distributed_ones(spark):
     np.testing.assert_allclose(x[["loglik", "rate0", "rate1", "p00", "p11"]], y[["loglik", "rate0", "rate1", "p00", "p11"]], rtol=1e-9)
     x, y = (d.orderBy("fit_id", "b").toPandas() for d in (post, far_post))
     np.testing.assert_allclose(x.g1, y.g1, atol=1e-9)
+
+
+def paired(e, beta0, beta1, w):
+    """Routine, earlier and same-interval mass before each event, pair by pair."""
+    out = np.zeros((3, len(e.t), e.S))
+    for f, (lo, size) in enumerate(zip(e.heads, e.sizes)):
+        for n in range(lo, lo + size):
+            for k in range(lo, n):
+                out[0, n, e.src[k]] += beta0[f] * np.exp(-beta0[f] * (e.t[n] - e.t[k]))
+                x = beta1[f] * np.exp(-beta1[f] * (e.t[n] - e.t[k]))
+                out[1 + (e.b[k] == e.b[n]), n, e.src[k]] += x * (1.0 if e.b[k] == e.b[n] else w[k])
+    return out
+
+
+def grouped(sizes, seed=0):
+    rng = np.random.default_rng(seed)
+    ids = np.repeat(np.arange(len(sizes)), sizes)
+    t = np.concatenate([np.sort(np.round(rng.uniform(0, 100, n), 1)) for n in sizes])
+    return Events(pd.DataFrame({"pos": np.arange(len(ids)), "fit_id": ids, "t": t, "b": (t // 5).astype(int), "actor": rng.integers(0, 5, len(ids)), "mark": rng.integers(0, 3, len(ids)),
+                                "t_end": (t // 5 + 1) * 5.0}), 5, 3), rng
+
+
+def test_scanned_traces_are_sums_over_pairs():
+    e, rng = grouped([1, 40, 2, 90, 1, 13, 250])
+    n = len(e.sizes)
+    beta0, beta1, fits = rng.uniform(1e-3, 1, n), np.array([0.01, 0.5, 20.0, 3.0, 1.0, 2.0, 20.0]), np.arange(n) % 2 == 1
+    whole = Whole(e, 100.0, 5.0)
+    w = rng.uniform(0.01, 1, (n, 20))[whole.q, e.b]
+    want = paired(e, beta0, beta1, w)
+    found = whole.traces({"beta0": beta0, "beta1": beta1}, w)
+    for x, y in zip(found, want):
+        np.testing.assert_allclose(x.reshape(len(y), -1), y, rtol=1e-11, atol=1e-300)
+    # of some fits only, the others from before
+    part = whole.traces({"beta0": beta0 * 2, "beta1": beta1}, w, fits, found, active=False)
+    again = paired(e, beta0 * 2, beta1, w)[0]
+    np.testing.assert_allclose(part[0].reshape(len(again), -1), np.where(fits[whole.q][:, None], again, want[0]), rtol=1e-11, atol=1e-300)
+
+
+def test_traces_hold_no_pairs():
+    import tracemalloc
+
+    e, _ = grouped([190] * 100)
+    beta = np.full(100, 0.5)
+    tracemalloc.start()
+    Whole(e, 100.0, 5.0).traces({"beta0": beta, "beta1": beta}, np.ones(len(e.t)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(e.t) * e.S * 8
