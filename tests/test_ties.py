@@ -1,0 +1,34 @@
+"""Values on the border of two roundings do not hang on the order of a sum."""
+
+from decimal import ROUND_HALF_UP, Decimal
+from fractions import Fraction
+
+import pandas as pd
+
+from workload.aggregates import posterior_gap
+
+
+def half_up(x: Fraction) -> float:
+    return float((Decimal(x.numerator) / Decimal(x.denominator)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+
+
+def exact(ev: pd.DataFrame) -> tuple[float, float, float]:
+    """Weighted gaps of a session in fractions."""
+    rows = []
+    for _, g in ev.groupby((ev["ts"] - pd.Timestamp("2024-01-01")).dt.days):
+        z = (g["props"].str.extract("([0-9]+)")[0].astype(int) >= 70).astype(int)
+        n = len(g)
+        rows.append((n, Fraction(int((g["value"] > 40).sum()) + 1, n + 2), Fraction(2 * int(z.sum()) + 1, 2 * n + 2), int(z.max())))
+    flip = sum((h - s) ** 2 for _, h, s, _ in rows) > sum((1 - h - s) ** 2 for _, h, s, _ in rows)
+    rows = [(n, 1 - h if flip else h, s, z) for n, h, s, z in rows]
+    total = sum(n for n, *_ in rows)
+    gap = sum(n * abs(h - s) for n, h, s, _ in rows) / total
+    return half_up(gap), half_up(sum(n * abs(s - z) for n, _, s, z in rows) / total), half_up(gap * 4)
+
+
+def test_posterior_gap_rounds_halves_up(spark, tmp_path):
+    ev = pd.read_parquet("/root/testdata/sf0.1/events.parquet")
+    ev = ev[ev["user_id"].isin([14, 599, 911, 1062, 1255, 1461])]
+    spark.createDataFrame(ev).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    found = {r.session_id: (r.gap_wmean, r.bayes_gap_wmean, r.gap_over_lambda) for r in posterior_gap(spark, str(tmp_path)).collect()}
+    assert found == {int(k): exact(g) for k, g in ev.groupby("user_id")}
