@@ -1,6 +1,7 @@
 """Nulls, bounds, empty joins and hot keys."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,22 @@ def test_mixture_separates_two_groups():
     x = np.r_[rng.normal(-5, 0.3, 40), rng.normal(0, 0.3, 10)]
     weights = SE.mixture_weights(x)
     assert (weights[:40] < 0.01).all() and (weights[40:] > 0.99).all()
+
+
+def test_smoothing_in_blocks_joins_nothing_and_equals_one_block(spark):
+    """Messages go with the rows, so nothing is sent through the driver to be broadcast."""
+    from flockwise.operators import smoothing as SM
+
+    rng = np.random.default_rng(2)
+    em = pd.DataFrame({"fit_id": np.repeat(np.arange(7), 21), "cand": 0, "b": np.tile(np.arange(21), 7), "ell0": rng.normal(0, 3, 147), "ell1": rng.normal(0, 3, 147)})
+    em.loc[em.fit_id == 3, "ell1"] = np.nan  # a void series does not touch the others
+    chains = pd.DataFrame({"fit_id": np.arange(7), "cand": 0, "eta_on": rng.uniform(0.01, 0.2, 7), "eta_off": rng.uniform(0.01, 0.2, 7)})
+    e = spark.createDataFrame(em).withColumn("cand", F.col("cand").cast("int")).withColumn("b", F.col("b").cast("int"))
+    c = SM.ctmc_chains(spark.createDataFrame(chains).withColumn("cand", F.col("cand").cast("int")), 2.0)
+    cut, one = SM.forward_backward(e, c, 21, 7, block=4), SM.forward_backward(e, c, 21, 7)
+    assert "Join" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    a, b = (x.filter("fit_id <> 3").orderBy("fit_id", "b").toPandas() for x in (cut, one))
+    assert len(a) == 126
+    np.testing.assert_allclose(a[["g0", "g1", "loglik"]].to_numpy(float), b[["g0", "g1", "loglik"]].to_numpy(float), rtol=1e-9)
+    assert [x is None for x in a["xi"]] == [x is None for x in b["xi"]] == [k % 21 == 0 for k in range(126)]
+    np.testing.assert_allclose(np.stack(a["xi"].dropna()), np.stack(b["xi"].dropna()), rtol=1e-8, atol=1e-12)
