@@ -71,3 +71,33 @@ def test_pairs_of_few_events_are_left_out(spark):
     seg = PR.pair_segments(events, windows, ["fit_id"], 1, 5.0)
     assert PR.pairwise_coupling(seg, windows, ["fit_id"], 1).count() == 0
     assert isinstance(PR.pairwise_coupling(seg, windows, ["fit_id"], 1, min_events=3).toPandas(), pd.DataFrame)
+
+
+def many(count, D, seed=7):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(4, 20, count)
+    pair, n = np.repeat(np.arange(count), sizes), sizes.sum()
+    args = pair, rng.integers(0, 4, n), rng.uniform(0, 72, n), rng.integers(0, D, n), np.full(n, 72.0), np.full(count, 288.0), D
+    rates = np.maximum(np.bincount(pair * D + args[3], minlength=count * D).reshape(count, D) / 288.0, PR.START_RATE)
+    jumps = np.tile(np.where(np.eye(D, dtype=bool), PR.START_OWN, PR.START_OTHER).ravel(), (count, 1))
+    start = np.concatenate([rates, jumps, np.ones((count, D * D))], axis=1)
+    low, high = (np.tile(PR.by_target(x[None], D), (count, 1)) for x in PR.pair_bounds(D))
+    return args, PR.by_target(start, D), low, high, PR.by_target(PR.scales(rates, D), D)
+
+
+def test_targets_moved_together_end_where_each_ends_alone():
+    D, count = 4, 12
+    (pair, *events, total, _), start, low, high, scale = many(count, D)
+    x, value, slope, it = PR.minimised_together(PR.TargetSums(pair, *events, total, D), start, low, high, 200, scale)
+    for k in range(count):
+        at, rows = pair == k, slice(k * D, (k + 1) * D)
+        alone = PR.TargetSums(np.zeros(at.sum(), int), *(e[at] for e in events), total[k : k + 1], D)
+        y, there, _, steps = PR.minimised_together(alone, start[rows], low[rows], high[rows], 200, scale[rows])
+        assert np.allclose(value[rows], there, atol=1e-9) and np.allclose(x[rows], y, atol=1e-6) and (it[rows] == steps).all()
+
+
+def test_nearly_all_pairs_reach_the_gradient_test():
+    D, count = 6, 128
+    args, start, low, high, scale = many(count, D, 1)
+    _, _, slope, _ = PR.minimised_together(PR.TargetSums(*args), start, low, high, 500, scale)
+    assert (slope.reshape(count, D).max(axis=1) <= PR.GRADIENT_TOL).mean() > 0.95
