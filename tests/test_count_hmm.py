@@ -1,4 +1,4 @@
-"""Rounds of the packed count HMM against sums over all state paths."""
+"""Rounds of the packed count HMM against sums over all state paths; radii of dense matrices."""
 
 import itertools
 import math
@@ -34,3 +34,13 @@ def test_round_equals_sums_over_paths(big):
         if up + stay > 1e-6:
             assert new["p01"][s] == pytest.approx(up / (up + stay), abs=1e-9)
         assert new["rate1"][s] == pytest.approx(max((on * n[:, s]).sum() / max(on.sum(), 1e-12), 1e-3), rel=1e-9)
+
+
+def test_radius_is_found_wherever_it_may_exceed_the_bound():
+    from flockwise.plans import rows as R
+
+    rng = np.random.default_rng(4)
+    a = rng.uniform(0, 1, (40, 5, 5)) * rng.uniform(0, 0.6, 40)[:, None, None]
+    a[0] = np.nan
+    near, whole = R.radius_beyond(a, 0.95), R.spectral_radius(a)
+    assert ((near > 0.95) == (whole > 0.95)).all() and (near[whole > 0.95] == whole[whole > 0.95]).all() and (near == 0).any()
