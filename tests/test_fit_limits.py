@@ -3,6 +3,8 @@
 import inspect
 from unittest.mock import MagicMock
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from flockwise.plans import baselines as B
@@ -98,3 +100,24 @@ def test_every_nuisance_block_moves(spark):
     differ = lambda column, a, b: any(getattr(rows[a, s], column) != getattr(rows[b, s], column) for s in sessions)
     assert differ("rho0", "rho0", "a0") and differ("rho1", "rho1", "a0") and differ("sum_a0", "a0", "rho0")
     assert not differ("rho1", "rho0", "a0") and not differ("rho0", "rho1", "a0")
+
+
+def test_traces_are_kept_while_decays_and_weights_stand():
+    from flockwise.operators.batched import Events
+    from flockwise.plans.local import Whole
+
+    rng = np.random.default_rng(5)
+    n, K, M = 60, 3, 2
+    fit = np.repeat([4, 9, 11], 20)
+    t = np.sort(rng.uniform(0, 48, (3, 20)), axis=1).ravel()
+    pdf = pd.DataFrame({"pos": np.arange(n), "fit_id": fit, "t": t, "b": (t // 12).astype(int), "actor": rng.integers(0, K, n), "mark": rng.integers(0, M, n), "t_end": (t // 12 + 1) * 12})
+    whole, p, w = Whole(Events(pdf, K, M), 48.0, 12.0), {"beta0": np.full(3, 0.4), "beta1": np.full(3, 0.7)}, np.ones(n)
+    first = whole.same_traces(p, w)
+    assert whole.same_traces({k: v.copy() for k, v in p.items()}, w.copy()) is first
+    keep = np.array([True, False, True])
+    part, q = whole.taken(keep), {k: v[keep] for k, v in p.items()}
+    for a, b in zip(part.same_traces(q, w[keep[whole.q]]), part.traces(q, w[keep[whole.q]]), strict=True):
+        assert np.array_equal(a, b)
+    other = {**p, "beta1": np.full(3, 0.8)}
+    for a, b in zip(whole.same_traces(other, w), whole.traces(other, w), strict=True):
+        assert np.array_equal(a, b)
