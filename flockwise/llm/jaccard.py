@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -19,6 +20,8 @@ from flockwise.llm.common import components, discard, offsets_of, slices, stored
 U = np.uint64
 #: Ratio between the set sizes that bound a class.
 STEP = 1.5
+#: Signatures and shingles are shuffled in so many turns (by the remainder of the signature or of the fragment's number), each stored before the next.
+TURNS = 2
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -142,14 +145,20 @@ def _signer(words: int, percent: int):
 
 
 def _segmenter(words: int, parts: int):
-    """Sets cut into ``parts`` ranges of the hash order, one row per non-empty fragment."""
+    """Sets cut into ``parts`` ranges of the hash order, one row per non-empty fragment. A task leaves out copies of sets it has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in slices(batches, 0):
             sets = shingle_sets(batch.column(0).cast(pa.string()), words)
             k1, k2 = _keys(sets)
             rows: list[tuple] = []
             for a, b, s in zip(k1, k2, sets, strict=True):
+                if (a, b) in seen:
+                    continue
+                if len(seen) > 2_000_000:
+                    seen.clear()
+                seen.add((a, b))
                 part = ((s >> U(32)) * U(parts)) >> U(32)
                 for p in np.unique(part).tolist():
                     rows.append((a, b, p, s[part == p].view(np.int64)))
@@ -233,7 +242,8 @@ def jaccard_components(
     that differ by edits of their own never meet. A pair is left out only if its overlap can't
     reach the bound: by sizes, by the shingles that no other candidate has, or as its prefixes share
     none. So a large group of copies costs few pairs, and no link is lost. Signatures are sorted by
-    range, which splits a frequent one over tasks. Written tables are deleted once they are superseded.
+    range, which splits a frequent one over tasks. Signatures and the search for shingles of no other candidate
+    are shuffled in ``TURNS`` turns, and written tables are deleted once they are superseded.
 
     Hash collisions of 64 bits could add a wrong shingle to an overlap; sets are told apart by 128 bits.
     Null and empty texts and texts without words have no shingles and link with nothing: their
@@ -243,29 +253,35 @@ def jaccard_components(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     signed = stored(rows.mapInArrow(_signer(words, percent), "row long, doc_id long, n long, k1 long, k2 long, sigs array<long>"), "signed")
-    sets = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
+    sets = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.lit(1).alias("one")).drop("one")
     sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     of_row = stored(signed.select("row", "doc_id", "n", "k1", "k2").join(sets.select("k1", "k2", "n", "node"), ["k1", "k2", "n"], "left").select("row", "doc_id", "n", "node"), "rows")
-    met = signed.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "row")
-    met = met.repartitionByRange("sig", "row").sortWithinPartitions("sig", "row").mapInArrow(_runs, "sig long, row long")
-    groups = met.join(of_row.where("node IS NOT NULL").select("row", "node"), "row").groupBy("sig", "node").agg(F.lit(1).alias("one")).drop("one")
-    groups = stored(groups, "met")
+    turns_met = []
+    for turn in range(TURNS):
+        met = signed.select(F.explode(F.filter("sigs", lambda s: F.pmod(s, F.lit(TURNS)) == turn)).alias("sig"), "row")
+        met = met.repartitionByRange("sig", "row").sortWithinPartitions("sig", "row").mapInArrow(_runs, "sig long, row long")
+        met = met.join(of_row.where("node IS NOT NULL").select("row", "node"), "row").groupBy("sig", "node").agg(F.lit(1).alias("one")).drop("one")
+        turns_met.append(stored(met, "met"))
+    groups = functools.reduce(DataFrame.unionByName, turns_met)
     many = groups.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig")
     discard(signed)
-    pairs_met, groups = groups, stored(groups.join(many, "sig", "left_semi").withColumn("comp", F.col("node")), "groups")
-    discard(pairs_met)
+    groups = stored(groups.join(many, "sig", "left_semi").withColumn("comp", F.col("node")), "groups")
+    discard(*turns_met)
     wanted = sets.join(groups.select("node").distinct(), "node", "left_semi")
-    texts = rows.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-    segments = texts.mapInArrow(_segmenter(words, parts), "k1 long, k2 long, part long, segment array<long>")
+    segments = rows.select("text").mapInArrow(_segmenter(words, parts), "k1 long, k2 long, part long, segment array<long>")
     segments = stored(segments.join(wanted.select("k1", "k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2", "part"]), "segments")
     # shingles of no other candidate can't be shared: what remains bounds any overlap of the set
-    alone = segments.select("k1", "k2", F.explode("segment").alias("t")).groupBy("t").agg(F.count("*").alias("c"), F.min("k1").alias("k1"), F.min("k2").alias("k2"))
-    alone = alone.where("c = 1").groupBy("k1", "k2").agg(F.count("*").alias("alone"))
+    turns_alone = []
+    for turn in range(TURNS):
+        alone = segments.where(F.col("part") % TURNS == turn).select("k1", "k2", F.explode("segment").alias("t"))
+        alone = alone.groupBy("t").agg(F.count("*").alias("c"), F.min("k1").alias("k1"), F.min("k2").alias("k2"))
+        turns_alone.append(stored(alone.where("c = 1").groupBy("k1", "k2").agg(F.count("*").alias("alone")), "alone"))
+    alone = functools.reduce(DataFrame.unionByName, turns_alone).groupBy("k1", "k2").agg(F.sum("alone").alias("alone"))
     names = wanted.select("node", "n", "k1", "k2").join(alone, ["k1", "k2"], "left").withColumn("free", F.col("n") - F.coalesce("alone", F.lit(0)))
     names = stored(names.where(f"100 * free >= {percent} * n").select("node", "n", "free", "k1", "k2"), "names")
     found, groups = groups, stored(groups.join(names.select("node", "n", "free"), "node"), "groups")
     whole_segments, segments = segments, stored(segments.join(names.select("k1", "k2"), ["k1", "k2"], "left_semi"), "segments")
-    discard(found, whole_segments, sets)
+    discard(found, whole_segments, sets, *turns_alone)
     comp = stored(names.select("node", F.col("node").alias("comp")), "comp")
     can = lambda na, nb, fa, fb: f"{100 + percent} * least({fa}, {fb}) >= {percent} * ({na} + {nb})"
     done, before, checked = None, groups, []
