@@ -140,7 +140,7 @@ def write_streams(spark, sf):
 @query("write_sessions", f"WITH {C.EV} SELECT session_id, count(*) AS events, round(sum(t), 4) AS total_t FROM ev GROUP BY session_id")
 def write_sessions(spark, sf):
     path = scratch_path(spark, "by-session")
-    e = C.events(spark, sf).drop("value").repartition("session_id")
+    e = C.events(spark, sf).drop("value")
     manifest = W.write_sessions(e, path)
     back = spark.read.parquet(path).groupBy("session_id").agg(F.round(F.sum("t"), 4).alias("total_t"))
     return manifest.join(back.withColumn("session_id", F.col("session_id").cast("long")), "session_id").select("session_id", "events", "total_t")
