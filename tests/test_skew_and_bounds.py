@@ -103,3 +103,19 @@ def test_smoothing_in_blocks_joins_nothing_and_equals_one_block(spark):
     np.testing.assert_allclose(a[["g0", "g1", "loglik"]].to_numpy(float), b[["g0", "g1", "loglik"]].to_numpy(float), rtol=1e-9)
     assert [x is None for x in a["xi"]] == [x is None for x in b["xi"]] == [k % 21 == 0 for k in range(126)]
     np.testing.assert_allclose(np.stack(a["xi"].dropna()), np.stack(b["xi"].dropna()), rtol=1e-8, atol=1e-12)
+
+
+def test_sizes_meet_a_large_fit_in_many_tasks(spark):
+    old = {c: spark.conf.get(c, None) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for c, v in zip(old, ("-1", "false", "8")):
+            spark.conf.set(c, v)
+        rows = spark.range(4000).select(F.col("id").alias("pos"), F.when(F.col("id") < 3900, 1).otherwise(F.col("id")).alias("fit_id"))
+        sizes = rows.groupBy("fit_id").agg(F.min("pos").alias("__first"), F.count(F.lit(1)).alias("__size"))
+        got = H.with_sizes(rows, sizes, 100).withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        for c, v in old.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    assert len(got) == 4000 and set(got[got.fit_id == 1][["__first", "__size"]].itertuples(index=False, name=None)) == {(0, 3900)}
+    assert (got[got.fit_id > 1]["__first"] == got[got.fit_id > 1]["pos"]).all() and (got[got.fit_id > 1]["__size"] == 1).all()
+    assert got.groupby("task").size().max() < 2000  # on the fit alone, one task holds all 3,900
