@@ -140,3 +140,29 @@ def test_routes_are_ranked_alike_inside_and_across_chunks(spark):
         assert sorted(map(row, top.collect())) == want
     # nothing is shuffled behind a pass over whole fits; before, all routes were
     assert "Window" not in top._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_residuals_need_nothing_from_other_tasks(spark):
+    from flockwise.operators import likelihood as L
+
+    rng, n = np.random.default_rng(8), 90
+    ev = pd.DataFrame({"fit_id": np.where(np.arange(n) < 70, 1, 2), "event_id": np.arange(n), "t": rng.integers(0, 90, n) / 1.0, "actor": rng.integers(0, 2, n), "mark": 0})
+    one = {"nu": [0.1, 0.2], "a0": [0.0, 0.3, 0.2, 0.0], "a1": [0.0, 0.5, 0.4, 0.0], "rho0": [1.0], "rho1": [1.0], "beta0": 0.05, "beta1": 0.3}
+    params = spark.createDataFrame(pd.DataFrame([{"fit_id": f, **one} for f in (1, 2)])).withColumn("cand", F.lit(0))
+    weights = spark.createDataFrame([(f, b, (f + b) / 9.0, (2 * f + b) / 11.0) for f in (1, 2) for b in range(4)], "fit_id long, b int, w double, g1 double")
+    want = {}
+    for f, g in ev.sort_values(["fit_id", "t", "actor", "mark", "event_id"]).groupby("fit_id"):
+        last, seen = 0.0, []
+        for e in g.itertuples():
+            b, dt = int(e.t // 24), e.t - last
+            out = [(0.3, 0.2)[a] * np.exp(-0.05 * (last - t)) * (1 - np.exp(-0.05 * dt)) + (0.5, 0.4)[a] * (f + c) / 9.0 * np.exp(-0.3 * (last - t)) * (1 - np.exp(-0.3 * dt))
+                   for a, t, c in seen]
+            want[e.event_id] = 0.3 * dt + sum(out)
+            seen.append((e.actor, e.t, b))
+            last = e.t
+    for rows in (7, 1000):
+        lay = H.layout(spark.createDataFrame(ev), 2, 1, 24.0, 96.0, chunk_rows=rows)
+        got = L.rescaled_residuals(lay, params, weights)
+        assert {r.event_id: r.residual for r in got.collect()} == pytest.approx(want)
+        # before, a window and joins over all events lay behind the pass
+        assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
