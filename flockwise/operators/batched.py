@@ -14,7 +14,7 @@ from flockwise.operators.history import EPS, Segment, unpack_state
 #: Longer stretches of one fit are summed along time; shorter ones step side by side.
 LONG = 512
 #: Event-candidate rows that are expanded together.
-EXPAND = 60_000
+EXPAND = 8_000
 
 
 def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -166,3 +166,14 @@ def test_residuals_need_nothing_from_other_tasks(spark):
         assert {r.event_id: r.residual for r in got.collect()} == pytest.approx(want)
         # before, a window and joins over all events lay behind the pass
         assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parameter_rows_move_in_bounded_groups(spark):
+    from flockwise.plans import rows as R
+
+    n = 1300
+    params = spark.range(n).select(F.col("id").alias("fit_id"), F.lit(0).alias("cand"), *[F.array_repeat(F.col("id") / 7.0, 4 if a in ("a0", "a1") else 2 if a in ("nu", "g", "h", "u", "v") else 1).alias(a) for a in R.ARRAYS],
+                                   *[F.lit(0.1).alias(s) for s in R.SCALARS]).coalesce(1)
+    grown = R.update(params, 2, 1, lambda p: [{**p, "beta0": 0.0 * p["beta0"] + len(p["fit_id"])}], "").collect()
+    assert sorted((r.fit_id, r.a0) for r in grown) == [(i, [i / 7.0] * 4) for i in range(n)]
+    assert max(r.beta0 for r in grown) <= R.TOGETHER < n  # before, a batch of 10,000 rows and all its candidates stood in memory at once
